@@ -20,7 +20,8 @@ def type_name(value: Column, style: str = "neutral") -> Column:
     names of a scripting runtime, ``display`` is the same but tells arrays from objects.
     """
     schema = F.schema_of_variant(value)
-    integral = schema.isin("BIGINT") | schema.rlike(r"^DECIMAL\(\d+,0\)$")
+    # Whole numbers too long for 64 bits become decimals; so does 39.00, but short and a float.
+    integral = (schema == "BIGINT") | schema.rlike(r"^DECIMAL\((19|[23]\d),0\)$")
     neutral = (
         F.when(value.isNull() | (schema == "VOID"), "null")
         .when(schema == "BOOLEAN", "bool")
@@ -44,9 +45,19 @@ def type_name(value: Column, style: str = "neutral") -> Column:
 
 
 def text_of(value: Column) -> Column:
-    """Variant as text: strings bare, everything else as JSON."""
-    is_text = F.schema_of_variant(value) == "STRING"
-    return F.when(is_text, F.try_variant_get(value, "$", "string")).otherwise(F.to_json(value))
+    """Variant as text: strings bare, JSON null as null, everything else as JSON.
+
+    Objects come out with their keys in order and numbers without trailing zeros.
+    """
+    schema = F.schema_of_variant(value)
+    return (
+        F.when(schema == "STRING", F.try_variant_get(value, "$", "string"))
+        .when(schema != "VOID", F.to_json(value)))
+
+
+def member_text(text: Column, key: Column) -> Column:
+    """Compact JSON of one top-level member, its own members in the order they were written."""
+    return F.get_json_object(text, F.concat(F.lit("$['"), key, F.lit("']")))
 
 
 def compact_text(text: Column) -> Column:

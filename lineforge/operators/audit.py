@@ -199,7 +199,8 @@ def compile_errors(patterns: pd.Series) -> pd.Series:
     def error(pattern: str) -> str | None:
         if pattern not in seen:
             try:
-                re.compile(pattern)
+                # Both spellings of a named group count as valid here; another check tells them apart.
+                re.compile(re.sub(r"\(\?<(?![=!])", "(?P<", pattern))
                 seen[pattern] = None
             except (re.error, RecursionError, OverflowError) as problem:
                 seen[pattern] = str(problem)
@@ -208,6 +209,10 @@ def compile_errors(patterns: pd.Series) -> pd.Series:
     return patterns.map(lambda items: [error(p) for p in items])
 
 
+# Kept out of filters and other projections, so that it runs once per program.
+compile_errors = compile_errors.asNondeterministic()
+
+
 def _regex_literals(code: Column) -> Column:
     """All regex literals of a program with their line."""
     return _numbered(code, lambda text, n: F.transform(

@@ -212,19 +212,23 @@ def eval_grid(
         *by, F.timestamp_micros(F.col("__g") * step).alias("ts"), value)
 
 
-def relabel(samples: DataFrame, copy: Mapping[str, str] | None = None, constant: Mapping[str, str] | None = None) -> DataFrame:
+def _set_label(labels: Column, name: str, value: Column) -> Column:
+    others = F.map_filter(labels, lambda k, _: k != name)
+    return F.map_concat(others, F.create_map(F.lit(name), value))
+
+
+def relabel(
+    samples: DataFrame, copy: Mapping[str, str] | None = None, constant: Mapping[str, str] | None = None
+) -> DataFrame:
     """Copies labels (target -> source), then sets constants; later ones win.
 
     A copy reads what the copies before it have set.
     """
     labels = F.col("labels")
     for target, source in (copy or {}).items():
-        found = F.try_element_at(labels, F.lit(source))
-        labels = F.map_concat(
-            F.map_filter(labels, lambda k, _, t=target: k != t), F.create_map(F.lit(target), found))
+        labels = _set_label(labels, target, F.try_element_at(labels, F.lit(source)))
     for target, value in (constant or {}).items():
-        labels = F.map_concat(
-            F.map_filter(labels, lambda k, _, t=target: k != t), F.create_map(F.lit(target), F.lit(value)))
+        labels = _set_label(labels, target, F.lit(value))
     return samples.withColumn("labels", F.map_filter(labels, lambda _, v: v.isNotNull()))
 
 

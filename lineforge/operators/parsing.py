@@ -439,14 +439,14 @@ def flatten_object(event: Column, separator: str = ".", depth: int = 5) -> Colum
     def entry(key: Column, value: Column) -> Column:
         return F.struct(key.alias("key"), value.alias("value"))
 
+    def opened(outer: Column) -> Column:
+        inner = F.map_entries(js.fields(outer["value"]))
+        nested = F.transform(inner, lambda x: entry(F.concat(outer["key"], F.lit(separator), x["key"]), x["value"]))
+        return F.when(F.size(inner) > 0, nested).otherwise(F.array(entry(outer["key"], outer["value"])))
+
     entries = F.transform(F.map_entries(js.fields(event)), lambda e: entry(e["key"], e["value"]))
     for _ in range(depth):
-        entries = F.flatten(F.transform(entries, lambda e: F.when(
-            F.size(F.map_keys(js.fields(e["value"]))) > 0,
-            F.transform(
-                F.map_entries(js.fields(e["value"])),
-                lambda x, e=e: entry(F.concat(e["key"], F.lit(separator), x["key"]), x["value"]))
-        ).otherwise(F.array(e))))
+        entries = F.flatten(F.transform(entries, opened))
     return F.map_from_entries(F.transform(entries, lambda e: entry(
         e["key"], F.when(js.type_name(e["value"]) != "null", js.text_of(e["value"])))))
 

@@ -162,7 +162,9 @@ def field_profile(rows: DataFrame, id_col: str = "event_id", col: str = "event_j
         id_col, "__text", "__object", F.col("__f.field").alias("field"),
         F.when(F.col("__object"), js.type_name(value, "display")).otherwise("string").alias("type"),
         js.text_of(value).alias("__value"))
-    text, shown = F.col("__value"), F.col("__value")
+    text = F.col("__value")
+    written = F.when(F.col("type").isin("object", "array"), js.member_text(F.col("__text"), F.col("field")))
+    shown = F.coalesce(written, text)
     trimmed = tx.strip(text)
     preview = (
         F.when(~F.col("__object"), F.substring("__text", 1, 120))

@@ -101,13 +101,11 @@ def scan_events(v: Views) -> DataFrame:
 
 @query
 def scan_events_array(v: Views) -> DataFrame:
-    """One JSON array file per source and day."""
+    """One JSON array file per 5,000 events."""
     path = scratch_path(v.spark, "arrays")
-    day = F.to_date("ts").cast("string")
-    events = v.raw_events().join(v.table("events").select("event_id", day.alias("day")), "event_id")
-    arrays = events.groupBy("source", "day").agg(
+    arrays = v.raw_events().groupBy(F.floor(F.col("event_id") / 5000).alias("chunk")).agg(
         F.concat(F.lit("[\n"), F.array_join(F.collect_list("event_json"), ",\n"), F.lit("]")).alias("value"))
-    arrays.write.partitionBy("source", "day").text(path)
+    arrays.write.partitionBy("chunk").text(path)
     return files.scan_events(v.spark, path, shape="auto").select(
         F.try_variant_get("event", "$.event", "string").alias("event"),
         F.try_variant_get("event", "$.user_id", "long").alias("user_id"), "ok")

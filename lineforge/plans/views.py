@@ -123,25 +123,25 @@ def reply_columns(d: Dialect) -> list[str]:
 
 
 # Programs with known defects. ``@E`` is the event id, ``^`` a single quote, ``~`` a backslash.
-# Each issue: (line, severity, rule, opening of the message).
-PROGRAMS: list[tuple[str, list[tuple[int, str, str, str]]]] = [
+# Each issue: (line, severity, rule).
+PROGRAMS: list[tuple[str, list[tuple[int, str, str]]]] = [
     (". = parse_json!(.message)\n.id = @E", []),
-    ("let x = @E\n.a = x;", [(1, "error", "let", ""), (2, "error", "semicolon", "")]),
-    ("if .a == @E {\n  .b = 1\n", [(3, "error", "unclosed_brace", "")]),
-    (".a = @E }\n.b = {\n}", [(1, "error", "unexpected_brace", "")]),
-    (".a = \"id @E\n.b = 1", [(2, "error", "unclosed_string", ""), (1, "error", "odd_quotes", "")]),
-    (".a = ^word @E^\n# let z = 1 {", [(1, "warning", "single_quotes", "")]),
-    (".a = match(.m, r\"a@E\")\n.b = 1", [(1, "error", "regex_double_quotes", "")]),
-    (".b = parse_regex!(.m, \"id@E\")", [(1, "error", "regex_plain_string", "")]),
-    (".b = replace(.m, /ab@E/, \"\")", [(1, "error", "regex_slashes", "")]),
+    ("let x = @E\n.a = x;", [(1, "error", "let"), (2, "error", "semicolon")]),
+    ("if .a == @E {\n  .b = 1\n", [(3, "error", "unclosed_brace")]),
+    (".a = @E }\n.b = {\n}", [(1, "error", "unexpected_brace")]),
+    (".a = \"id @E\n.b = 1", [(2, "error", "unclosed_string"), (1, "error", "odd_quotes")]),
+    (".a = ^word @E^\n# let z = 1 {", [(1, "warning", "single_quotes")]),
+    (".a = match(.m, r\"a@E\")\n.b = 1", [(1, "error", "regex_double_quotes")]),
+    (".b = parse_regex!(.m, \"id@E\")", [(1, "error", "regex_plain_string")]),
+    (".b = replace(.m, /ab@E/, \"\")", [(1, "error", "regex_slashes")]),
     (".b, err = parse_regex(.m, r^(?<n>a@E)^)",
-     [(1, "error", "regex_capture_name", ""), (1, "error", "regex_compile", "")]),
+     [(1, "error", "regex_capture_name")]),
     (".b = \"num ~d @E\"\n.c = \"tab ~q ~n ~u\"",
-     [(1, "error", "regex_escape", ""), (2, "warning", "unknown_escape", "")]),
+     [(1, "error", "regex_escape"), (2, "warning", "unknown_escape")]),
     (".b = match(.m, r^~~d+@E^)\n.c = .d ?? @E",
-     [(1, "warning", "double_escaped_regex", ""), (2, "error", "coalesce", "")]),
+     [(1, "warning", "double_escaped_regex"), (2, "error", "coalesce")]),
     (".b = match(.m, r^it~^s {@E^)\n.c = r^(@E^",
-     [(2, "error", "regex_compile", "")]),
+     [(1, "warning", "single_quotes"), (2, "error", "regex_compile")]),
 ]
 
 
@@ -188,11 +188,16 @@ def stats_columns(d: Dialect) -> list[str]:
     return ["ts", f"concat('{{\"data\":[', {node(d.s('user_id'), 0)}, ',', {node('event_type', 10)}, ']}}') AS body"]
 
 
+HEALTH_FIELDS = {
+    "active_shards": "event_id % 5", "unassigned_shards": "user_id % 4", "number_of_nodes": "3",
+    "number_of_data_nodes": "event_id % 2",
+}
+
+
 def health_columns(d: Dialect) -> list[str]:
     status = pick("event_id", ["green", "yellow", "red"])
-    return ["ts", f"concat('{{\"status\":\"', {status}, '\",\"active_shards\":', {d.s('event_id % 5')}, "
-            f"',\"unassigned_shards\":', {d.s('user_id % 4')}, ',\"number_of_nodes\":3,\"number_of_data_nodes\":', "
-            f"{d.s('event_id % 2')}, '}}') AS body"]
+    cells = ", ".join(f"',\"{name}\":', {d.s(value)}" for name, value in HEALTH_FIELDS.items())
+    return ["ts", f"concat('{{\"status\":\"', {status}, '\"', {cells}, '}}') AS body"]
 
 
 def state_columns(d: Dialect) -> list[str]:

@@ -43,7 +43,7 @@ def scan_events(spark: SparkSession, path: str, shape: str = "ndjson", mode: str
     elif shape in ("array", "auto"):
         files = spark.read.text(path, wholetext=True).select(tx.strip(F.col("value")).alias("body"))
         items = F.from_json("body", F.lit("array<variant>"))
-        rows = F.transform(items, F.to_json)
+        rows = F.transform(items, lambda item: F.to_json(item))
         bad = F.array(F.col("body"))
         if shape == "auto":
             by_line = F.filter(F.transform(F.split("body", r"\r?\n", -1), tx.strip), lambda t: t != "")
