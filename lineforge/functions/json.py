@@ -57,7 +57,7 @@ def text_of(value: Column) -> Column:
 
 def member_text(text: Column, key: Column) -> Column:
     """Compact JSON of one top-level member, its own members in the order they were written."""
-    return F.get_json_object(text, F.concat(F.lit("$['"), key, F.lit("']")))
+    return F.call_function("get_json_object", text, F.concat(F.lit("$['"), key, F.lit("']")))
 
 
 def compact_text(text: Column) -> Column:
