@@ -131,17 +131,22 @@ def rule_values(
     """
     used = sorted({m for r in rules for m in (r.num, r.den) if m})
     opened = metrics.with_labels(samples.filter(F.col("metric").isin(*used)), RULE_LABELS)
-    tags = []
+    tags: dict[str, list[Column]] = {}
     for rule in rules:
         for part, metric in (("num", rule.num), ("den", rule.den)):
             if metric is None:
                 continue
-            fits = F.col("metric") == metric
+            fits = F.lit(True)
             for label, pattern in rule.match.items():
                 fits = fits & F.coalesce(F.col(label), F.lit("")).rlike(rf"\A(?:{pattern})\z")
-            tags.append(F.when(fits, F.struct(
-                F.lit(rule.name).alias("rule"), F.lit(part).alias("part"), F.lit(rule.rate).alias("rate"))))
-    tagged = opened.withColumn("__t", F.explode(F.filter(F.array(*tags), lambda t: t.isNotNull()))).select(
+            tag = F.struct(F.lit(rule.name).alias("rule"), F.lit(part).alias("part"), F.lit(rule.rate).alias("rate"))
+            tags.setdefault(metric, []).append(F.when(fits, tag))
+    # A sample is tested against the rules of its own metric only.
+    served = None
+    for metric, tests in tags.items():
+        test = F.col("metric") == metric
+        served = F.when(test, F.array(*tests)) if served is None else served.when(test, F.array(*tests))
+    tagged = opened.withColumn("__t", F.explode(F.filter(served, lambda t: t.isNotNull()))).select(
         F.col("__t.rule").alias("rule"), F.col("__t.part").alias("part"), F.col("__t.rate").alias("__rate"),
         *RULE_LABELS, "ts", "value")
     series = ["rule", "part", *RULE_LABELS]

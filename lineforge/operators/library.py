@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lineforge.functions import text as tx
 from lineforge.operators import ranking
+from lineforge.session import materialize
 
 SOURCE_COLUMNS = ["id", "name", "description", "created_at", "updated_at"]
 PARSER_COLUMNS = [
@@ -34,7 +35,8 @@ def source_upsert(sources: DataFrame, requests: DataFrame) -> DataFrame:
         F.coalesce(F.min_by("description", "seq"), F.lit("")).alias("description"),
         F.min_by("at", "seq").alias("created_at"))
     fresh = first.join(sources.select("name"), "name", "left_anti").withColumn("updated_at", F.col("created_at"))
-    return sources.select(*SOURCE_COLUMNS).unionByName(_next_ids(sources, fresh, "seq").select(*SOURCE_COLUMNS))
+    added = _next_ids(sources, materialize(fresh, "new-sources"), "seq")
+    return sources.select(*SOURCE_COLUMNS).unionByName(added.select(*SOURCE_COLUMNS))
 
 
 def source_ids(sources: DataFrame, requests: DataFrame) -> DataFrame:
@@ -104,22 +106,23 @@ def parser_upsert(parsers: DataFrame, requests: DataFrame) -> DataFrame:
     sample_log, label, ocsf_class, source_id, at.
     """
     changed = ["vrl_code", "sample_log", "label", "ocsf_class", "source_id", "at"]
-    last = (
-        requests.groupBy("signature", "variant")
-        .agg(F.min("seq").alias("first_seq"), F.min_by("at", "seq").alias("first_at"),
-             F.max_by(F.struct(*changed), "seq").alias("new"))
-    )
-    updated = parsers.join(last, ["signature", "variant"], "left")
-    found = F.col("new").isNotNull()
+    last = requests.groupBy("signature", "variant").agg(
+        F.min("seq").alias("first_seq"), F.min_by("at", "seq").alias("first_at"),
+        F.max_by(F.struct(*changed), "seq").alias("new"))
+    known = parsers.select("signature", "variant", F.col("id").alias("known_id"))
+    # One row per changed key; read twice below, so the requests are read once.
+    changes = materialize(last.join(known, ["signature", "variant"], "left"), "parser-changes")
+    updates = changes.filter("known_id IS NOT NULL").select("known_id", "new")
+    found = F.col("known_id").isNotNull()
 
     def fresh(name: str, source: str) -> Column:
         return F.when(found, F.col(f"new.{source}")).otherwise(F.col(name)).alias(name)
 
-    kept = updated.select(
+    kept = parsers.join(updates, F.col("id") == F.col("known_id"), "left").select(
         "id", fresh("source_id", "source_id"), "signature", "variant", fresh("label", "label"),
         fresh("vrl_code", "vrl_code"), fresh("sample_log", "sample_log"), fresh("ocsf_class", "ocsf_class"),
         "hits", "created_at", fresh("updated_at", "at"))
-    inserted = last.join(parsers.select("signature", "variant"), ["signature", "variant"], "left_anti").select(
+    inserted = changes.filter("known_id IS NULL").select(
         "first_seq", "signature", "variant", "new.*", F.lit(1).cast("long").alias("hits"),
         F.col("first_at").alias("created_at"), F.col("new.at").alias("updated_at"))
     return kept.select(*PARSER_COLUMNS).unionByName(_next_ids(parsers, inserted, "first_seq").select(*PARSER_COLUMNS))

@@ -209,7 +209,8 @@ def key_value_map(
         word, bare = rf"(?:(?!{kv}|{gap}).)++", rf"(?:(?!{gap}).)*+"
     value = rf"\"(?:[^\"\\]++|\\.)*+\"|'(?:[^'\\]++|\\.)*+'|{bare}"
     optional = "?+" if standalone_keys else ""
-    pair = rf"({word})({kv}(?:{value})){optional}"
+    # A key starts the text or follows a gap, so long words without a delimiter are read once.
+    pair = rf"(?:^|(?<={gap}))({word})({kv}(?:{value})){optional}"
     keys = F.regexp_extract_all(text, F.lit(pair), F.lit(1))
     rest = F.regexp_extract_all(text, F.lit(pair), F.lit(2))
 

@@ -213,7 +213,8 @@ def even_sample(v: Views) -> DataFrame:
 
 @query
 def head_sample(v: Views) -> DataFrame:
-    return profiling.head_sample(v.raw_events()).select("source", "event_id", "position")
+    return profiling.head_sample(v.raw_events()).select(
+        "source", "event_id", F.col("position").cast("long").alias("position"))
 
 
 @query
@@ -357,9 +358,7 @@ KV_FIELDS = {
 
 @query
 def parse_key_value(v: Views) -> DataFrame:
-    lines = v.log_lines()
-    pairs = parsing.parse_key_value(lines, fields=KV_FIELDS)
-    return pairs.select("line_id", *KV_FIELDS, "ok").filter(F.col("timestamp").isNotNull())
+    return parsing.parse_key_value(v.log_lines(), fields=KV_FIELDS).drop("source", "raw", "fields")
 
 
 @query
@@ -583,6 +582,8 @@ def recording_rules(v: Views) -> DataFrame:
 def _event_stream(v: Views) -> DataFrame:
     schema = v.spark.read.parquet(f"{v.folder}/events.parquet").schema
     stream = v.spark.readStream.schema(schema).parquet(f"{v.folder}/events*.parquet")
+    if len(v.spark.read.parquet(f"{v.folder}/events.parquet").inputFiles()) == 1:
+        stream = stream.repartition(v.spark.sparkContext.defaultParallelism)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

@@ -288,9 +288,13 @@ ORACLES["parse_json_props"] = f"""SELECT event_id, event_type, user_id,
   CASE WHEN event_id % 4 = 3 THEN event_type END AS inner,
   CASE WHEN event_id % 4 = 1 THEN {CENTS} / 100.0::DOUBLE END AS value, CASE WHEN event_id % 4 = 1 THEN {SECOND} END AS at,
   CASE WHEN event_id % 4 = 2 THEN 'ok=true;tags=["a","b"]' ELSE '' END AS extra, true AS ok, CAST(NULL AS VARCHAR) AS reason FROM events"""
-ORACLES["parse_key_value"] = f"""SELECT event_id AS line_id, {SECOND} AS timestamp, lower({LEVEL}) AS level, event_type AS component,
-  {METHOD} AS method, concat('/e/', event_id) AS path, CAST({STATUS} AS INT) AS status, {CENTS} AS duration_ms,
-  concat('user ', user_id, ' = ok') AS note, true AS ok FROM events WHERE event_id % 6 = 3"""
+ORACLES["parse_key_value"] = of_format(3, {
+    "timestamp": SECOND, "level": f"lower({LEVEL})", "component": "event_type", "method": METHOD,
+    "path": "concat('/e/', event_id)", "status": f"CAST({STATUS} AS INT)", "duration_ms": CENTS,
+    "note": "concat('user ', user_id, ' = ok')"}, "no key-value pairs").replace(
+    # The bodies of application lines hold pairs too.
+    "event_id % 6 = 3 AS ok, CASE WHEN NOT (event_id % 6 = 3)",
+    "event_id % 6 IN (3, 4) AS ok, CASE WHEN event_id % 6 NOT IN (3, 4)")
 ORACLES["parse_csv_log"] = of_format(5, {
     "timestamp": SECOND, "client_ip": CLIENT_IP, "method": METHOD, "path": "'/a,b/' || event_id",
     "status": f"CAST({STATUS} AS BIGINT)", "duration": f"{CENTS} / 100.0::DOUBLE"}, "wrong number of columns")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineforge.functions import text as tx
-from lineforge.session import prepare, read_table
+from lineforge.session import materialize, prepare, read_table
 
 
 @dataclass(frozen=True)
@@ -354,6 +354,10 @@ class Views:
             F.count("*").alias("n"), F.min("line_id").alias("first_id"), F.min_by("raw", "line_id").alias("sample"))
 
     def parsers(self) -> DataFrame:
+        """The stored library: written once, then read as a table."""
+        return materialize(self._parsers(), "parsers")
+
+    def _parsers(self) -> DataFrame:
         epoch = F.lit("2024-01-01 00:00:00").cast("timestamp")
         source_id = F.array_position(F.array(*[F.lit(f) for f in FORMATS]), F.col("source"))
         variant = F.explode(F.array(

@@ -58,9 +58,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Writes a table to the shared folder and reads it back.
+
+    For results that several branches of one plan need: they are computed once, survive lost
+    executors, and their size is known when Spark picks a join.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Splits a table of fewer files than cores over all cores; larger tables pass unchanged.
+
+    A parquet row group is read by one task, and the text work after the scan costs far more than
+    moving a small table. With a file per core or more there is no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One driver table; zone-less timestamps become UTC instants."""
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spread(spark.read.parquet(f"{folder}/{name}.parquet"))
     for field in df.schema.fields:
         if field.dataType.typeName() == "timestamp_ntz":
             df = df.withColumn(field.name, F.col(field.name).cast("timestamp"))
