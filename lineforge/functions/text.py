@@ -121,20 +121,24 @@ def off_task(reply: Column) -> Column:
 
 
 def captures(text: Column, pattern: str, groups: int) -> Column:
-    """All capture groups of a whole-text match as one array; null when there is no match.
+    """All capture groups of a whole-text match as one array; see ``captured`` for whether it fits.
 
     The line is matched once: the groups are written out between separators and split again.
     A text that itself holds the separator (a control character) is read group by group instead.
-    Groups that took no part in the match come back empty.
+    Groups that took no part in the match come back empty. Put the result into a column of its own
+    before taking it apart, or the match is repeated per group.
     """
     whole = rf"\A(?:{pattern})\z"
     mark = "\x1f"
     joined = mark.join(f"${i}" for i in range(1, groups + 1)) + mark
     fast = F.split(F.regexp_replace(text, whole, joined), mark)
     slow = F.array(*[F.regexp_extract(text, whole, i) for i in range(1, groups + 1)], F.lit(""))
-    return F.when(text.contains(mark), F.when(text.rlike(whole), slow)).otherwise(
-        F.when(F.size(fast) == groups + 1, fast)
-    )
+    return F.when(text.contains(mark), F.when(text.rlike(whole), slow)).otherwise(fast)
+
+
+def captured(parts: Column, groups: int) -> Column:
+    """Whether ``captures`` found a match."""
+    return F.coalesce(F.size(parts) == groups + 1, F.lit(False))
 
 
 def blank_to_null(text: Column) -> Column:

@@ -296,27 +296,33 @@ ONLY_MESSAGE = "Output only has 'message' field — VRL did not extract structur
 EMPTY_RUN = "VRL produced empty output — the program may have aborted or the input didn't match."
 
 
-def quality_warning(given: Column, output: Column) -> Column:
-    """Compares the key sets of input and output JSON; null when all is well or not comparable."""
+def with_quality(rows: DataFrame, given: Column, output: Column) -> DataFrame:
+    """Adds ``warning``: compares the key sets of input and output JSON.
+
+    Null when all is well or the two are not comparable. Texts are parsed once, in columns of their
+    own.
+    """
     plain = F.regexp_replace(
         F.regexp_replace(output, r"t'[^']*'", '"__timestamp__"'), r"r'[^']*'", '"__regex__"')
-    before, after = F.try_parse_json(given), F.try_parse_json(plain)
     none = F.array().cast("array<string>")
-    old = F.coalesce(F.map_keys(js.fields(before)), none)
-    new = F.coalesce(F.map_keys(js.fields(after)), none)
+    before, after, old, new = (F.col(n) for n in ("__before", "__after", "__old", "__new"))
+    parsed = rows.withColumns({"__before": F.try_parse_json(given), "__after": F.try_parse_json(plain)}).withColumns({
+        "__old": F.coalesce(F.map_keys(js.fields(before)), none),
+        "__new": F.coalesce(F.map_keys(js.fields(after)), none)})
     message = F.try_variant_get(after, "$.message", "string")
     # An empty text, zero or false counts as no message.
     has_message = message.isNotNull() & ~message.isin("", "0", "false")
     nothing_new = (F.size(F.array_except(new, old)) == 0) & (F.size(new) <= F.size(old))
-    return (
+    warning = (
         F.when(F.coalesce(output, F.lit("")) == "", NO_OUTPUT)
         .when(before.isNull() | after.isNull(), None)
         .when(nothing_new, NO_NEW_FIELDS)
         .when(has_message & (F.size(new) <= 2), ONLY_MESSAGE))
+    return parsed.withColumn("warning", warning).drop("__before", "__after", "__old", "__new")
 
 
 def output_quality(runs: DataFrame, given: str = "input", output: str = "stdout") -> DataFrame:
-    return runs.withColumn("warning", quality_warning(F.col(given), F.col(output)))
+    return with_quality(runs, F.col(given), F.col(output))
 
 
 def strip_ansi(text: Column) -> Column:
@@ -366,6 +372,8 @@ def run_triage(runs: DataFrame, tool: str = "vector", timeout_ms: int = 15000) -
         .when(F.col("outcome") == "timeout", f"Vector timed out after {timeout_ms}ms")
         .when(F.col("outcome") == "failed", F.coalesce(
             tx.blank_to_null(err), tx.blank_to_null(out), F.lit("Unknown error"))))
-    return judged.select(
-        *runs.columns, "outcome", F.when(is_ok, out).alias("output"),
-        F.when(is_ok, quality_warning(wrap_input(F.col("input")), out)).alias("warning"), error.alias("error"))
+    # Only runs that went well are compared with their input.
+    compared = with_quality(judged, F.when(is_ok, wrap_input(F.col("input"))), F.when(is_ok, out))
+    return compared.select(
+        *runs.columns, "outcome", F.when(is_ok, out).alias("output"), F.when(is_ok, F.col("warning")).alias("warning"),
+        error.alias("error"))

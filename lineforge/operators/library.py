@@ -28,6 +28,15 @@ def _next_ids(existing: DataFrame, new: DataFrame, order: str) -> DataFrame:
     return numbered.withColumn("id", F.col("position") + top).drop("position")
 
 
+def _never_null(name: str) -> Column:
+    """A join key that cannot be null: the library has no empty one.
+
+    Otherwise Spark filters nulls before the join, right at the scan, and works out the signature a
+    second time to do so.
+    """
+    return F.coalesce(F.col(name), F.lit(""))
+
+
 def source_upsert(sources: DataFrame, requests: DataFrame) -> DataFrame:
     """Insert or ignore by name. Requests: seq, name, description, at; the first per name counts."""
     first = requests.groupBy("name").agg(
@@ -71,6 +80,7 @@ def parser_lookup(lines: DataFrame, parsers: DataFrame, sources: DataFrame) -> D
 
     Variants are ranked once in the library, not once per line.
     """
+    lines = lines.withColumn("signature", _never_null("signature"))
     order = Window.partitionBy("signature").orderBy(F.desc("hits"), "id")
     ranked = with_source_name(parsers, sources).select(
         "signature", F.col("id").alias("parser_id"), "variant", "label", "vrl_code", "sample_log", "ocsf_class",
@@ -90,7 +100,8 @@ def hit_counts(parsers: DataFrame, lookups: DataFrame) -> DataFrame:
     The top variant stays on top, so N lookups add N. Lookups shrink to one row per signature
     before they meet the library.
     """
-    asked = lookups.groupBy("signature").agg(F.count("*").alias("asked"), F.max("at").alias("asked_at"))
+    asked = lookups.groupBy(_never_null("signature").alias("signature")).agg(
+        F.count("*").alias("asked"), F.max("at").alias("asked_at"))
     top = top_variants(parsers).join(asked, "signature").select(
         F.col("top.id").alias("__id"), "asked", "asked_at")
     return parsers.join(top, F.col("id") == F.col("__id"), "left").select(

@@ -63,10 +63,12 @@ def detect_format(lines: DataFrame, col: str = "raw") -> DataFrame:
 
 # ---- syslog ------------------------------------------------------------------------------------
 
-def _syslog(text: Column, year: int | None) -> Column:
-    """Both syslog forms as one struct; null where neither fits."""
+def _with_syslog(rows: DataFrame, text: Column, year: int | None) -> DataFrame:
+    """Adds ``__s``: both syslog forms as one struct, null where neither fits."""
     year_text = F.lit(str(year)) if year is not None else F.year(F.current_date()).cast("string")
-    c, m = tx.captures(text, CLASSIC_SYSLOG, 8), tx.captures(text, MODERN_SYSLOG, 9)
+    c, m = F.col("__c"), F.col("__m")
+    matched = rows.withColumn("__c", tx.captures(text, CLASSIC_SYSLOG, 8)).withColumn(
+        "__m", F.when(~tx.captured(c, 8), tx.captures(text, MODERN_SYSLOG, 9)))
     stamp = F.concat_ws(" ", year_text, c[1], c[2], c[3])
     classic = F.struct(
         c[0].cast("int").alias("pri"), F.try_to_timestamp(stamp, F.lit("yyyy MMM d HH:mm:ss")).alias("timestamp"),
@@ -80,7 +82,8 @@ def _syslog(text: Column, year: int | None) -> Column:
         m[0].cast("int").alias("pri"), F.try_to_timestamp(dash(m[2])).alias("timestamp"),
         dash(m[3]).alias("hostname"), dash(m[4]).alias("appname"), dash(m[5]).alias("procid"),
         dash(m[6]).alias("msgid"), m[1].cast("int").alias("version"), m[8].alias("message"))
-    return F.when(c.isNotNull(), classic).when(m.isNotNull(), modern)
+    either = F.when(tx.captured(c, 8), classic).when(tx.captured(m, 9), modern)
+    return matched.withColumn("__s", either).drop("__c", "__m")
 
 
 def _keyword(codes: Sequence[str], index: Column) -> Column:
@@ -93,7 +96,7 @@ def parse_syslog(lines: DataFrame, col: str = "raw", year: int | None = None) ->
     The older form has neither year nor zone: ``year`` (default: this year) fills the first, the
     session zone the second. ``facility`` is the keyword of pri / 8, ``severity`` that of pri % 8.
     """
-    parsed = lines.withColumn("__s", _syslog(F.col(col), year))
+    parsed = _with_syslog(lines, F.col(col), year)
     pri, s = F.col("__s.pri"), F.col("__s")
     ok = s.isNotNull() & (pri <= 191) & F.col("__s.timestamp").isNotNull()
     ok = F.coalesce(ok, F.lit(False))
@@ -115,7 +118,7 @@ def parse_access_log(lines: DataFrame, col: str = "raw") -> DataFrame:
     parsed = lines.withColumn("__c", tx.captures(F.col(col), ACCESS_LINE, 12))
     c = F.col("__c")
     stamp = F.try_to_timestamp(c[3], F.lit("dd/MMM/yyyy:HH:mm:ss Z"))
-    ok = c.isNotNull() & stamp.isNotNull()
+    ok = tx.captured(c, 12) & stamp.isNotNull()
     typed = {
         "clientip": c[0], "ident": c[1], "auth": c[2], "timestamp": stamp,
         "verb": tx.blank_to_null(c[4]),
@@ -325,8 +328,8 @@ def parse_app_log(
     parsed = lines.withColumn("__h", tx.captures(F.col(col), APP_LINE, 5))
     h = F.col("__h")
     parsed = parsed.select(
-        *lines.columns, F.try_to_timestamp(h[0]).alias("timestamp"), h[1].alias("thread"),
-        F.lower(h[2]).alias("level"), h[3].alias("logger"), h.isNotNull().alias("__head"),
+        *lines.columns, F.when(tx.captured(h, 5), F.try_to_timestamp(h[0])).alias("timestamp"), h[1].alias("thread"),
+        F.lower(h[2]).alias("level"), h[3].alias("logger"), tx.captured(h, 5).alias("__head"),
         key_value_map(h[4]).alias("__kv"))
     keep = [*lines.columns, "timestamp", "thread", "level", "logger"]
     return _typed_pairs(parsed, keep, fields, F.col("__head") & F.col("timestamp").isNotNull(), "no header")
@@ -338,7 +341,7 @@ def parse_nested(
 ) -> DataFrame:
     """Syslog whose message is key-value text, such as ``KEY:'VALUE'`` audit records."""
     s = F.col("__s")
-    parsed = lines.withColumn("__s", _syslog(F.col(col), year)).select(
+    parsed = _with_syslog(lines, F.col(col), year).select(
         *lines.columns, s["hostname"].alias("hostname"), s["appname"].alias("appname"),
         s["timestamp"].alias("timestamp"), s.isNotNull().alias("__head"),
         key_value_map(s["message"], key_value_delimiter).alias("__kv"))
@@ -356,9 +359,8 @@ def parse_mixed(lines: DataFrame, col: str = "raw", year: int | None = None) ->
     """
     detected = detect_format(lines, col)
     text, kind = F.col(col), F.col("format")
-    prepared = detected.select(
+    prepared = _with_syslog(detected, F.when(kind == "syslog", text), year).select(
         "*",
-        F.when(kind == "syslog", _syslog(text, year)).alias("__s"),
         F.when(kind == "access", tx.captures(text, ACCESS_LINE, 12)).alias("__a"),
         F.when(kind == "json", F.try_parse_json(text)).alias("__j"),
         F.when(kind == "app", tx.captures(text, APP_LINE, 5)).alias("__h"),
