@@ -1,12 +1,11 @@
 """Column expressions over text: line skeletons, signatures, cleaning and screening.
 
-Each function takes a string column and returns a column, so it works in batch and streaming
-plans alike. Patterns carry ``(?U)`` so that ``\\w \\d \\s \\b`` follow Unicode whatever the JDK.
+Functions take string columns and return columns, so they work in batch and streaming plans alike. Patterns carry ``(?U)`` so that ``\\w \\d \\s \\b`` follow Unicode whatever the JDK.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The ordered shape rules. Order matters and has visible effects: a bare
@@ -120,25 +119,21 @@ def off_task(reply: Column) -> Column:
     return flag
 
 
-def captures(text: Column, pattern: str, groups: int) -> Column:
-    """All capture groups of a whole-text match as one array; see ``captured`` for whether it fits.
+def with_captures(rows: DataFrame, name: str, text: Column, pattern: str, groups: int) -> DataFrame:
+    """Adds all capture groups of a whole-text match as one array; null when there is no match.
 
-    The line is matched once: the groups are written out between separators and split again.
-    A text that itself holds the separator (a control character) is read group by group instead.
-    Groups that took no part in the match come back empty. Put the result into a column of its own
-    before taking it apart, or the match is repeated per group.
+    The text is matched once: the groups are written out between separators and split again, in a
+    column of their own, so that taking the array apart does not repeat the match. A text that
+    itself holds the separator (a control character) is read group by group instead. Groups that
+    took no part in the match come back empty.
     """
     whole = rf"\A(?:{pattern})\z"
     mark = "\x1f"
     joined = mark.join(f"${i}" for i in range(1, groups + 1)) + mark
     fast = F.split(F.regexp_replace(text, whole, joined), mark)
     slow = F.array(*[F.regexp_extract(text, whole, i) for i in range(1, groups + 1)], F.lit(""))
-    return F.when(text.contains(mark), F.when(text.rlike(whole), slow)).otherwise(fast)
-
-
-def captured(parts: Column, groups: int) -> Column:
-    """Whether ``captures`` found a match."""
-    return F.coalesce(F.size(parts) == groups + 1, F.lit(False))
+    parts = F.when(text.contains(mark), F.when(text.rlike(whole), slow)).otherwise(fast)
+    return rows.withColumn(name, parts).withColumn(name, F.when(F.size(name) == groups + 1, F.col(name)))
 
 
 def blank_to_null(text: Column) -> Column:

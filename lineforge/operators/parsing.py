@@ -67,8 +67,8 @@ def _with_syslog(rows: DataFrame, text: Column, year: int | None) -> DataFrame:
     """Adds ``__s``: both syslog forms as one struct, null where neither fits."""
     year_text = F.lit(str(year)) if year is not None else F.year(F.current_date()).cast("string")
     c, m = F.col("__c"), F.col("__m")
-    matched = rows.withColumn("__c", tx.captures(text, CLASSIC_SYSLOG, 8)).withColumn(
-        "__m", F.when(~tx.captured(c, 8), tx.captures(text, MODERN_SYSLOG, 9)))
+    matched = tx.with_captures(rows, "__c", text, CLASSIC_SYSLOG, 8)
+    matched = tx.with_captures(matched, "__m", F.when(c.isNull(), text), MODERN_SYSLOG, 9)
     stamp = F.concat_ws(" ", year_text, c[1], c[2], c[3])
     classic = F.struct(
         c[0].cast("int").alias("pri"), F.try_to_timestamp(stamp, F.lit("yyyy MMM d HH:mm:ss")).alias("timestamp"),
@@ -82,7 +82,7 @@ def _with_syslog(rows: DataFrame, text: Column, year: int | None) -> DataFrame:
         m[0].cast("int").alias("pri"), F.try_to_timestamp(dash(m[2])).alias("timestamp"),
         dash(m[3]).alias("hostname"), dash(m[4]).alias("appname"), dash(m[5]).alias("procid"),
         dash(m[6]).alias("msgid"), m[1].cast("int").alias("version"), m[8].alias("message"))
-    either = F.when(tx.captured(c, 8), classic).when(tx.captured(m, 9), modern)
+    either = F.when(c.isNotNull(), classic).when(m.isNotNull(), modern)
     return matched.withColumn("__s", either).drop("__c", "__m")
 
 
@@ -115,10 +115,10 @@ def parse_syslog(lines: DataFrame, col: str = "raw", year: int | None = None) ->
 
 def parse_access_log(lines: DataFrame, col: str = "raw") -> DataFrame:
     """Common and combined web access lines."""
-    parsed = lines.withColumn("__c", tx.captures(F.col(col), ACCESS_LINE, 12))
+    parsed = tx.with_captures(lines, "__c", F.col(col), ACCESS_LINE, 12)
     c = F.col("__c")
     stamp = F.try_to_timestamp(c[3], F.lit("dd/MMM/yyyy:HH:mm:ss Z"))
-    ok = tx.captured(c, 12) & stamp.isNotNull()
+    ok = c.isNotNull() & stamp.isNotNull()
     typed = {
         "clientip": c[0], "ident": c[1], "auth": c[2], "timestamp": stamp,
         "verb": tx.blank_to_null(c[4]),
@@ -325,11 +325,11 @@ def parse_app_log(
     ``fields`` are read from the body. The body's own ``reason`` is put in ``reason_text``, since
     ``reason`` tells why a line was rejected.
     """
-    parsed = lines.withColumn("__h", tx.captures(F.col(col), APP_LINE, 5))
+    parsed = tx.with_captures(lines, "__h", F.col(col), APP_LINE, 5)
     h = F.col("__h")
     parsed = parsed.select(
-        *lines.columns, F.when(tx.captured(h, 5), F.try_to_timestamp(h[0])).alias("timestamp"), h[1].alias("thread"),
-        F.lower(h[2]).alias("level"), h[3].alias("logger"), tx.captured(h, 5).alias("__head"),
+        *lines.columns, F.try_to_timestamp(h[0]).alias("timestamp"), h[1].alias("thread"),
+        F.lower(h[2]).alias("level"), h[3].alias("logger"), h.isNotNull().alias("__head"),
         key_value_map(h[4]).alias("__kv"))
     keep = [*lines.columns, "timestamp", "thread", "level", "logger"]
     return _typed_pairs(parsed, keep, fields, F.col("__head") & F.col("timestamp").isNotNull(), "no header")
@@ -359,11 +359,12 @@ def parse_mixed(lines: DataFrame, col: str = "raw", year: int | None = None) ->
     """
     detected = detect_format(lines, col)
     text, kind = F.col(col), F.col("format")
-    prepared = _with_syslog(detected, F.when(kind == "syslog", text), year).select(
+    prepared = _with_syslog(detected, F.when(kind == "syslog", text), year)
+    prepared = tx.with_captures(prepared, "__a", F.when(kind == "access", text), ACCESS_LINE, 12)
+    prepared = tx.with_captures(prepared, "__h", F.when(kind == "app", text), APP_LINE, 5)
+    prepared = prepared.select(
         "*",
-        F.when(kind == "access", tx.captures(text, ACCESS_LINE, 12)).alias("__a"),
         F.when(kind == "json", F.try_parse_json(text)).alias("__j"),
-        F.when(kind == "app", tx.captures(text, APP_LINE, 5)).alias("__h"),
         F.when(kind.isin("key_value", "logfmt"), key_value_map(text)).alias("__kv"),
         F.when(kind == "csv", _csv_cells(text, [n for n, _ in ACCESS_CSV])).alias("__v"),
     )
