@@ -83,7 +83,8 @@ def _with_syslog(rows: DataFrame, text: Column, year: int | None) -> DataFrame:
         dash(m[3]).alias("hostname"), dash(m[4]).alias("appname"), dash(m[5]).alias("procid"),
         dash(m[6]).alias("msgid"), m[1].cast("int").alias("version"), m[8].alias("message"))
     either = F.when(c.isNotNull(), classic).when(m.isNotNull(), modern)
-    return matched.withColumn("__s", either).drop("__c", "__m")
+    filled = matched.withColumn("__s", either).drop("__c", "__m")
+    return filled.withColumn("__s", F.when(F.col("__s.pri") <= 191, F.col("__s")))
 
 
 def _keyword(codes: Sequence[str], index: Column) -> Column:
@@ -98,8 +99,7 @@ def parse_syslog(lines: DataFrame, col: str = "raw", year: int | None = None) ->
     """
     parsed = _with_syslog(lines, F.col(col), year)
     pri, s = F.col("__s.pri"), F.col("__s")
-    ok = s.isNotNull() & (pri <= 191) & F.col("__s.timestamp").isNotNull()
-    ok = F.coalesce(ok, F.lit(False))
+    ok = s.isNotNull() & F.col("__s.timestamp").isNotNull()
     code = F.floor(pri / 8).cast("int")
     typed = {
         "facility_code": code, "facility": _keyword(FACILITIES, code), "severity": _keyword(SEVERITIES, pri % 8),
@@ -285,7 +285,7 @@ def parse_csv_log(
     names = [name for name, _ in columns]
     parsed = lines.withColumn("__c", _csv_cells(F.col(col), names, delimiter))
     cells = {name: F.col(f"__c.{name}") for name in names}
-    right_width = F.col("__c").isNotNull() & F.col(f"__c.{BAD_CSV}").isNull()
+    right_width = (tx.strip(F.col(col)) != "") & F.col("__c").isNotNull() & F.col(f"__c.{BAD_CSV}").isNull()
     typed: dict[str, Column] = {}
     raw: dict[str, Column] = {}
     if "date" in cells and "time" in cells:
