@@ -43,20 +43,18 @@ def key_presence(
 ) -> DataFrame:
     """Per top-level key: events that have it, of how many, and whether it is common to all.
 
-    One scan, one shuffle: each event also emits a row with a null key, whose count is the total.
-    The closing window then runs over distinct keys only.
+    The total takes a second, narrow scan: with non-objects counted it reads the group columns only.
     """
-    keys = F.map_keys(js.fields(_event(events, col)))
-    marker = F.array(F.lit(None).cast("string"))
-    absent = marker if count_non_objects else F.array().cast("array<string>")
-    emitted = F.explode(F.when(keys.isNotNull(), F.concat(keys, marker)).otherwise(absent))
-    counts = events.select(*group, emitted.alias("key")).groupBy(*group, "key").agg(F.count("*").alias("present"))
-    total = F.max(F.when(F.col("key").isNull(), F.col("present"))).over(Window.partitionBy(*group))
-    return (
-        counts.withColumn("total", total)
-        .filter(F.col("key").isNotNull())
-        .withColumn("common", F.col("present") == F.col("total"))
-    )
+    members = js.fields(_event(events, col))
+    counted = events if count_non_objects else events.filter(members.isNotNull())
+    keys = events.select(*group, F.explode(F.map_keys(members)).alias("key"))
+    counts = keys.groupBy(*group, "key").agg(F.count("*").alias("present"))
+    total = F.count("*").alias("total")
+    if group:
+        counts = ranking.join_on(counts, counted.groupBy(*group).agg(total), group)
+    else:
+        counts = counts.withColumn("total", counted.agg(total).scalar())
+    return counts.withColumn("common", F.col("present") == F.col("total"))
 
 
 def key_types(

@@ -1,18 +1,20 @@
 """Exact positions in a total order without sorting a whole group in one task.
 
 A plain ``row_number`` puts every row of a group into one task. Here a group's order range is cut
-into buckets, bucket sizes are counted with map-side combine, a running sum over the (at most
-``buckets``) sizes gives each bucket's offset, and rows are numbered inside their bucket only.
+into buckets, and each bucket's own range once more, so that neither a hot group nor clustered
+order values pile up. Sizes are counted with map-side combine, a running sum over the (bounded
+number of) sizes gives each bucket's offset, and rows are numbered inside their bucket only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 8192
+COARSE, FINE = 1024, 256
+BUCKET = ["__coarse", "__fine"]
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -25,42 +27,48 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame
     return left.join(renamed, condition, "inner").drop(*[f"__{k}" for k in keys])
 
 
-def _bucketed(df: DataFrame, group: list[str], order: str, buckets: int) -> tuple[DataFrame, DataFrame]:
+def _cut(order: str, parts: int) -> Column:
+    """Which of ``parts`` equal slices of ``__lo`` to ``__hi`` a row falls into."""
+    width = (F.col("__hi") - F.col("__lo")) / F.lit(parts)
+    return F.when(width > 0, F.floor((F.col(order) - F.col("__lo")) / width)).otherwise(0).cast("int")
+
+
+def _bucketed(df: DataFrame, group: list[str], order: str, coarse: int, fine: int) -> tuple[DataFrame, DataFrame]:
     """Rows with their bucket, and per (group, bucket) the offset, size and group total."""
-    width = (F.col("__hi") - F.col("__lo")) / F.lit(buckets)
-    bucket = F.when(width > 0, F.floor((F.col(order) - F.col("__lo")) / width)).otherwise(0).cast("long")
+    ends = [F.min(order).alias("__lo"), F.max(order).alias("__hi")]
     if group:
-        bounds = df.groupBy(*group).agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
-        rows = join_on(df, bounds, group)
+        rows = join_on(df, df.groupBy(*group).agg(*ends), group)
     else:
-        bounds = df.agg(F.struct(F.min(order).alias("lo"), F.max(order).alias("hi")).alias("b")).scalar()
-        rows = df.withColumn("__b", bounds).withColumn("__lo", F.col("__b.lo")).withColumn("__hi", F.col("__b.hi"))
-    rows = rows.withColumn("__bucket", bucket).drop("__b", "__lo", "__hi")
-    sizes = rows.groupBy(*group, "__bucket").agg(F.count("*").alias("__n"))
-    running = Window.partitionBy(*group).orderBy("__bucket")
+        bounds = df.agg(F.struct(*ends).alias("b")).scalar()
+        rows = df.withColumn("__b", bounds).select(*df.columns, "__b.__lo", "__b.__hi")
+    rows = rows.withColumn("__coarse", _cut(order, coarse)).drop("__lo", "__hi")
+    rows = join_on(rows, rows.groupBy(*group, "__coarse").agg(*ends), [*group, "__coarse"])
+    rows = rows.withColumn("__fine", _cut(order, fine)).drop("__lo", "__hi")
+    sizes = rows.groupBy(*group, "__coarse", "__fine").agg(F.count("*").alias("__n"))
+    running = Window.partitionBy(*group).orderBy("__coarse", "__fine")
     sizes = sizes.withColumn("__before", F.sum("__n").over(running) - F.col("__n"))
-    sizes = sizes.withColumn("total", F.sum("__n").over(Window.partitionBy(*group)))
-    return rows, sizes
+    return rows, sizes.withColumn("total", F.sum("__n").over(Window.partitionBy(*group)))
 
 
 def _number(rows: DataFrame, kept: DataFrame, group: list[str], order: str, ties: Sequence[str]) -> DataFrame:
-    keys = [*group, "__bucket"]
+    keys = [*group, *BUCKET]
     inside = Window.partitionBy(*keys).orderBy(order, *ties)
     return join_on(rows, kept, keys).withColumn("position", F.col("__before") + F.row_number().over(inside))
 
 
 def positions(
-    df: DataFrame, order: str, group: Sequence[str] = (), ties: Sequence[str] = (), buckets: int = BUCKETS
+    df: DataFrame, order: str, group: Sequence[str] = (), ties: Sequence[str] = (), coarse: int = COARSE,
+    fine: int = FINE,
 ) -> DataFrame:
     """Adds ``position`` (from 1, per group by a numeric ``order``) and the group's ``total``."""
     group = list(group)
-    rows, sizes = _bucketed(df, group, order, buckets)
-    return _number(rows, sizes, group, order, ties).drop("__bucket", "__before", "__n")
+    rows, sizes = _bucketed(df, group, order, coarse, fine)
+    return _number(rows, sizes, group, order, ties).drop(*BUCKET, "__before", "__n")
 
 
 def evenly_spaced(
     df: DataFrame, order: str, group: Sequence[str] = (), size: int = 15, ties: Sequence[str] = (),
-    buckets: int = BUCKETS,
+    coarse: int = COARSE, fine: int = FINE,
 ) -> DataFrame:
     """The rows at positions 1, 1 + step, 1 + 2*step, ... (at most ``size``) of each group.
 
@@ -68,7 +76,7 @@ def evenly_spaced(
     any row is sorted: of a group at most ``size`` buckets are left.
     """
     group = list(group)
-    rows, sizes = _bucketed(df, group, order, buckets)
+    rows, sizes = _bucketed(df, group, order, coarse, fine)
     step = F.greatest(F.lit(1), F.floor(F.col("total") / size)).cast("long")
     first_index = F.ceil(F.col("__before") / F.col("step"))
     holds_one = (first_index < size) & (first_index * F.col("step") < F.col("__before") + F.col("__n"))
@@ -76,4 +84,4 @@ def evenly_spaced(
     numbered = _number(rows, kept, group, order, ties)
     offset = F.col("position") - 1
     wanted = (offset % F.col("step") == 0) & (offset / F.col("step") < size)
-    return numbered.filter(wanted).drop("__bucket", "__before", "__n", "step")
+    return numbered.filter(wanted).drop(*BUCKET, "__before", "__n", "step")

@@ -63,7 +63,7 @@ def test_positions_with_outliers_and_hot_group(spark):
     orders = rng.sample(range(20_000), 3_000) + [10**15]
     data = [(o, "hot" if rng.random() < 0.7 else rng.choice(["a", None])) for o in orders]
     rows = spark.createDataFrame(data, "o long, g string")
-    got = {(r["g"], r["o"]): r["position"] for r in ranking.positions(rows, "o", ["g"], buckets=64).collect()}
+    got = {(r["g"], r["o"]): r["position"] for r in ranking.positions(rows, "o", ["g"], coarse=16, fine=8).collect()}
     for group in ("hot", "a", None):
         members = sorted(o for o, g in data if g == group)
         assert [got[group, o] for o in members] == list(range(1, len(members) + 1))
