@@ -11,7 +11,7 @@ from lineforge.operators import (
     alerts, audit, fingerprint, library, metrics, ocsf, parsing, profiling, screening,
 )
 from lineforge.plans.views import SPARK, Views, with_lines
-from lineforge.session import prepare, scratch_path
+from lineforge.session import materialize, prepare, scratch_path
 from lineforge.sources import files, sinks, telemetry
 from lineforge.streaming import streams
 
@@ -540,7 +540,9 @@ def alert_states(v: Views) -> DataFrame:
 
 
 def _ruleset(v: Views) -> DataFrame:
-    return alerts.alert_ruleset(v.metric_samples(), step_s=STEP_S, window_s=RATE_S, lookback_s=LOOKBACK_S)
+    # Rates and gauges each scan the stored samples, for their own metrics only.
+    samples = materialize(v.metric_samples(), "samples")
+    return alerts.alert_ruleset(samples, step_s=STEP_S, window_s=RATE_S, lookback_s=LOOKBACK_S)
 
 
 @query
