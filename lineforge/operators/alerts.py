@@ -19,7 +19,8 @@ class Rule:
     """One alert: ``num`` or ``num / den`` compared with a threshold, held for ``for_s``.
 
     ``rate`` takes per-second rates of both instead of their values; ``floor`` keeps the divisor
-    from falling below it. ``summary`` may name labels in braces.
+    from falling below it. ``summary`` and ``description`` may name labels in braces;
+    ``{percent}`` stands for the value as a percentage.
     """
 
     name: str
@@ -33,14 +34,17 @@ class Rule:
     rate: bool = False
     floor: float | None = None
     match: dict[str, str] = field(default_factory=dict)
+    description: str | None = None
 
 
 # The eleven capture alerts.
 CAPTURE_RULES = [
     Rule("SuricataDropsHigh", "critical", 600, "suricata_capture_kernel_drops_total", ">", 0.001,
-         "Suricata dropping packets on {instance}", den="suricata_capture_kernel_packets_total", rate=True, floor=1.0),
+         "Suricata dropping packets on {instance}", den="suricata_capture_kernel_packets_total", rate=True, floor=1.0,
+         description="Drop rate: {percent} over 10 min"),
     Rule("SuricataFlowMemcapFull", "warning", 120, "suricata_flow_memcap_state", ">", 0,
-         "Suricata flow memcap hit on {instance}"),
+         "Suricata flow memcap hit on {instance}",
+         description="New flows are being dropped — increase flow.memcap"),
     Rule("ArkimeDroppingPackets", "critical", 300, "arkime_total_packets_deltaDroppedPerSec", ">", 0,
          "Arkime capture dropping on {node}"),
     Rule("ArkimeESDropping", "critical", 300, "arkime_total_packets_deltaESDroppedPerSec", ">", 0,
@@ -102,17 +106,20 @@ def _pick(rules: Sequence[Rule], value) -> Column:
     return out
 
 
-def _summary(template: str) -> Column:
+def _text(template: str | None) -> Column:
+    if template is None:
+        return F.lit(None).cast("string")
     parts, rest = [], template
     while "{" in rest:
         plain, rest = rest.split("{", 1)
         name, rest = rest.split("}", 1)
-        parts += [F.lit(plain), F.coalesce(F.col(name), F.lit(""))]
+        value = percent_text(F.col("value")) if name == "percent" else F.coalesce(F.col(name), F.lit(""))
+        parts += [F.lit(plain), value]
     return F.concat(*parts, F.lit(rest))
 
 
 def percent_text(value: Column) -> Column:
-    """A ratio as a percentage with four significant digits."""
+    """A ratio as a percentage with four significant digits; halves are rounded up."""
     percent = value * 100
     scale = F.pow(F.lit(10.0), 3 - F.floor(F.log10(F.abs(percent))))
     rounded = F.when(percent == 0, F.lit(0.0)).otherwise(F.round(percent * scale) / scale)
@@ -172,7 +179,8 @@ def alert_ruleset(
     states = alert_states(active, ["rule", *RULE_LABELS], F.lit(True), _pick(rules, lambda r: F.lit(r.for_s)), step_s)
     return states.select(
         "rule", _pick(rules, lambda r: F.lit(r.severity)).alias("severity"), *RULE_LABELS, "ts", "value", "state",
-        "active_since", _pick(rules, lambda r: _summary(r.summary)).alias("summary"))
+        "active_since", _pick(rules, lambda r: _text(r.summary)).alias("summary"),
+        _pick(rules, lambda r: _text(r.description)).alias("description"))
 
 
 def alerts_summary(alerts: DataFrame, rules: Sequence[Rule] = CAPTURE_RULES) -> DataFrame:

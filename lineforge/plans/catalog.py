@@ -124,11 +124,13 @@ def detect_input_shape(v: Views) -> DataFrame:
         part == 5, F.concat(F.lit("["), F.col("event_id"), F.lit("]"))).otherwise(
         F.when(F.col("event_id") < 21, F.col("event_json")).otherwise("x"))
     path = scratch_path(v.spark, "shapes")
-    rows = v.raw_events().select(part.alias("part"), value.alias("value"))
-    rows.repartition("part").write.partitionBy("part").text(path)
+    chunk = F.floor(F.col("event_id") / 50_000)
+    rows = v.raw_events().select(part.alias("part"), chunk.alias("chunk"), value.alias("value"))
+    rows.repartition("part", "chunk").write.partitionBy("part", "chunk").text(path)
     found = files.detect_input_shape(v.spark, path)
     return found.select(
-        F.regexp_extract("file", r"part=(\d+)", 1).cast("long").alias("part"), "objects", "shape")
+        F.regexp_extract("file", r"part=(\d+)", 1).cast("long").alias("part"),
+        F.regexp_extract("file", r"chunk=(\d+)", 1).cast("long").alias("chunk"), "objects", "shape")
 
 
 @query

@@ -95,9 +95,9 @@ SELECT CASE WHEN event_id % 10 = 7 THEN 'bad ' || event_json ELSE event_json END
 ORACLES["scan_events_array"] = "SELECT event_type AS event, user_id, true AS ok FROM events"
 ORACLES["scan_lines"] = f"WITH {LINES} SELECT raw FROM lines"
 ORACLES["detect_input_shape"] = """
-SELECT event_id % 7 AS part, count(CASE WHEN event_id % 7 < 3 OR event_id = 6 OR event_id = 13 OR event_id = 20 THEN 1 END) AS objects,
-  CASE WHEN event_id % 7 < 3 OR event_id % 7 = 5 THEN 'batch' ELSE 'single' END AS shape
-FROM events GROUP BY event_id % 7"""
+WITH filled AS (SELECT event_id % 7 AS part, event_id // 50000 AS chunk,
+  count(CASE WHEN event_id % 7 < 3 OR event_id IN (6, 13, 20) THEN 1 END) AS objects FROM events GROUP BY 1, 2)
+SELECT part, chunk, objects, CASE WHEN part = 5 OR objects > 3 THEN 'batch' ELSE 'single' END AS shape FROM filled"""
 
 NODE_MEMBERS = {m: n for n, m in telemetry.NODE_VALUES.items()}
 ORACLES["unpivot_stats"] = "\nUNION ALL ".join(
@@ -489,14 +489,19 @@ def rule_sql(rule: alerts.Rule) -> str:
     text, op = lit(rule.summary), "=" if rule.op == "==" else rule.op
     for label in alerts.RULE_LABELS:
         text = f"replace({text}, '{{{label}}}', coalesce(n.{label}, ''))"
+    about = lit(rule.description) if rule.description else "NULL"
+    percent = f"({value} * 100)"
+    scale = f"pow(10, 3 - floor(log10(abs({percent}))))"
+    shown = f"regexp_replace(CAST(round({percent} * {scale}) / {scale} AS VARCHAR), '[.]0$', '') || '%'"
+    about = f"replace({about}, '{{percent}}', {shown})" if "{percent}" in about else f"CAST({about} AS VARCHAR)"
     labels = ", ".join(f"n.{k}" for k in alerts.RULE_LABELS)
-    return (f"SELECT '{rule.name}' AS rule, '{rule.severity}' AS severity, {labels}, n.ts, {value} AS value, {text} AS summary, "
+    return (f"SELECT '{rule.name}' AS rule, '{rule.severity}' AS severity, {labels}, n.ts, {value} AS value, {text} AS summary, {about} AS description, "
             f"CAST({rule.for_s} AS BIGINT) * 1000000 AS for_us FROM {source} WHERE {value} {op} {rule.threshold}")
 
 
 RULESET = f"""{ALL_SAMPLES}, firing AS ({chr(10).join(' UNION ALL ' * (i > 0) + rule_sql(r) for i, r in enumerate(alerts.CAPTURE_RULES))}),
 alert_rows AS (SELECT * FROM {states('firing', f'rule, {LABEL_LIST}', 'for_us', catalog.STEP_S)})"""
-ORACLES["alert_ruleset"] = f"""WITH {RULESET} SELECT rule, severity, {LABEL_LIST}, ts, round(value, 9) AS value, state, active_since, summary
+ORACLES["alert_ruleset"] = f"""WITH {RULESET} SELECT rule, severity, {LABEL_LIST}, ts, round(value, 9) AS value, state, active_since, summary, description
 FROM alert_rows"""
 LOW_RULES = ", ".join(lit(r.name) for r in alerts.CAPTURE_RULES if r.op in ("<", "<="))
 ORACLES["alerts_summary"] = f"""WITH {RULESET} SELECT rule, {LABEL_LIST}, active_since, min(ts) AS fired_at, max(ts) AS last_at,

@@ -143,6 +143,8 @@ def test_ruleset(spark):
     assert down_rows[0]["summary"] == "Exporter j on n1 is down" and down_rows[0]["severity"] == "warning"
     assert by_rule["SuricataDropsHigh"][-1]["value"] == pytest.approx(0.0025)
     assert by_rule["SuricataDropsHigh"][-1]["state"] == "firing"
+    assert by_rule["SuricataDropsHigh"][-1]["description"] == "Drop rate: 0.25% over 10 min"
+    assert down_rows[0]["description"] is None
     assert by_rule["PcapDiskFull"][0]["summary"] == "PCAP disk /data/pcap7 <10% free on n3"
     episodes = {r["rule"]: r for r in alerts.alerts_summary(found).collect()}
     assert (episodes["ExporterDown"]["fired_at"], episodes["ExporterDown"]["last_at"]) == (at(360), at(570))
