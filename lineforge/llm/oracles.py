@@ -1,3 +1,28 @@
 """DuckDB SQL for the queries of the text operators that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+BENCHMARK_NGRAMS = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, list_filter(regexp_extract_all({_LOWER.format("coalesce(text, '')")},
+        '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, list_filter(regexp_extract_all({_LOWER.format("coalesce(text, '')")},
+        '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item, array_to_string(w[i:i + 12], ' ') AS win, least(len(w), 13) AS size
+    FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM bw),
+dw AS (SELECT k, i, size, array_to_string(w[i:i + size - 1], ' ') AS win
+    FROM (SELECT k, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes WHERE len(w) >= size)),
+hits AS (SELECT dw.k, dw.i, dw.size, bw.item FROM dw JOIN bw ON dw.win = bw.win AND dw.size = bw.size),
+covered AS (SELECT k, count(DISTINCT p) AS n FROM (
+    SELECT k, unnest(range(i, i + size)) AS p FROM (SELECT DISTINCT k, i, size FROM hits)) GROUP BY k),
+items AS (SELECT k, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids
+    FROM (SELECT DISTINCT k, item FROM hits) GROUP BY k)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS BIGINT) AS n_hit,
+    CAST(coalesce(i.n, 0) AS BIGINT) AS n_items, sha256(coalesce(i.ids, '')) AS items_sha256,
+    coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN covered c USING (k) LEFT JOIN items i USING (k)
+"""
+
+ORACLES: dict[str, str] = {
+    "op7_benchmark_ngrams": BENCHMARK_NGRAMS,
+}

@@ -7,14 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineforge.llm import minhash
+from lineforge.llm import decontam, minhash
 from lineforge.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op7_benchmark_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items",
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op8_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Settings(shingle=4))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op8_minhash_odd_sketch,)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op7_benchmark_ngrams, op8_minhash_odd_sketch,
+)}
