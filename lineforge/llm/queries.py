@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineforge.llm import decontam, minhash
+from lineforge.llm import decontam, minhash, pii
 from lineforge.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,14 @@ def op8_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Settings(shingle=4))
 
 
+def op10_pii_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("pii", lambda s: s["kind"].isin(*pii.BASE_KINDS))
+    counts = [pii.count_kind(F.col("pii"), kind).alias(f"n_{kind}") for kind in pii.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.as_text(base), 256).alias("base_sha256"),
+                        pii.as_text(F.col("pii")).alias("spans"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op7_benchmark_ngrams, op8_minhash_odd_sketch,
+    op7_benchmark_ngrams, op8_minhash_odd_sketch, op10_pii_checksums,
 )}
