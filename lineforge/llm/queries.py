@@ -4,15 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineforge.llm import decontam, minhash, pii
+from lineforge.llm import bpe, decontam, hilbert, langid, minhash, pii, spotsigs
+from lineforge.llm import toxicity as toxic
 from lineforge.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+RANK_FILE = "byte_bpe_multi_50k.tiktoken"
+
+
+def op1_language_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spotsigs.edited_fingerprints(table(spark, sf_dir, "documents"))
+    sigs, edited = F.col("sigs"), F.col("edited_sigs")
+    return found.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        spotsigs.as_text(sigs).alias("fingerprint"), spotsigs.as_text(edited).alias("edited_fingerprint"),
+        spotsigs.likeness(sigs, edited).alias("near_edited"),
+        spotsigs.likeness(sigs, F.col("next_sigs")).alias("near_next"))
+
+
+def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = hilbert.shards(table(spark, sf_dir, "documents"), count=8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(RANK_FILE),
+                                public_tokenizers.PATTERN, digests=True)
+
+
+def op6_toxicity_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_benchmark_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items",
@@ -32,5 +66,6 @@ def op10_pii_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_language_softmax, op2_spotsigs, op3_hilbert_shards, op5_segment_tree_bpe, op6_toxicity_bigru,
     op7_benchmark_ngrams, op8_minhash_odd_sketch, op10_pii_checksums,
 )}
