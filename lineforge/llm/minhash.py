@@ -7,10 +7,11 @@ samples that differ, and its population count estimates high similarities closel
 whose bitmaps differ too much are dropped; the others are compared on their full sets.
 
 Copies of a text are one class from the start, found by a 128-bit hash of their words. The members
-of a band's bucket are first compared with its smallest member alone, which is linear in the bucket.
-Only members that did not come together that way are compared with the rest of their bucket, inside a
-join that Spark can split on hot buckets and that lets through only pairs of different components whose
-sizes and sketches allow the similarity. Nothing is capped.
+of a band's bucket are first compared with its most central member alone (which agrees with the most documents
+over all bands), which is linear in the bucket. Only members that did not come together that way are
+compared with the rest of their bucket, inside a join that Spark can split on hot buckets. It lets through only
+pairs of different components whose sizes allow the similarity and whose longer second sketches, made for these
+documents alone, are close enough. Nothing is capped.
 
 With 30 bands of 5 rows a pair at a similarity of 0.8 is missed with a probability of 7e-6; the
 sketch bound lies five standard deviations off.
@@ -31,7 +32,8 @@ from lineforge.llm.components import components
 from lineforge.llm.tokens import column_bytes, mix, sequence_hash, shingles, words
 from lineforge.session import materialize
 
-SKETCH_WORDS = 8
+SKETCH_WORDS, FINE_WORDS = 8, 128  # of 64 bits
+FINE_SAMPLES = 4000
 SLICE = 2048  # shingles hashed at once against all permutations
 MEMBERS = 64  # documents compared with one copy of a hub's text
 
@@ -48,19 +50,18 @@ class Settings:
     def samples(self) -> int:
         return self.bands * self.rows
 
-    @property
-    def max_flips(self) -> int:
+    def max_flips(self, samples: int, words: int) -> int:
         """Most bits in which the sketches of a pair at the threshold differ, five deviations up."""
-        bits, j = 64 * SKETCH_WORDS, self.percent / 100
-        differ = self.samples * (1 - j) + 5 * sqrt(self.samples * j * (1 - j))
+        bits, j = 64 * words, self.percent / 100
+        differ = samples * (1 - j) + 5 * sqrt(samples * j * (1 - j))
         share = (1 - (1 - 2 / bits) ** (2 * differ)) / 2
         return int(bits * share + 5 * sqrt(bits * share * (1 - share)) / 2) + 1
 
 
-def _permutations(s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(s.seed)
-    factors = rng.integers(0, 1 << 32, s.samples, dtype=np.uint32) | np.uint32(1)
-    return factors, rng.integers(0, 1 << 32, s.samples, dtype=np.uint32)
+def _permutations(seed: int, samples: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    factors = rng.integers(0, 1 << 32, samples, dtype=np.uint32) | np.uint32(1)
+    return factors, rng.integers(0, 1 << 32, samples, dtype=np.uint32)
 
 
 def min_samples(hashes: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.ndarray:
@@ -72,17 +73,17 @@ def min_samples(hashes: np.ndarray, factors: np.ndarray, shifts: np.ndarray) ->
     return best
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
+def odd_sketch(samples: np.ndarray, size: int = SKETCH_WORDS) -> np.ndarray:
     """Parity bitmap of the (position, value) pairs of the samples, as 64-bit words."""
     place = mix(samples.astype(np.uint64) + (np.arange(len(samples), dtype=np.uint64) << np.uint64(32)))
-    bit = (place % np.uint64(64 * SKETCH_WORDS)).astype(np.int64)
-    odd = (np.bincount(bit, minlength=64 * SKETCH_WORDS) & 1).astype(np.uint8)
+    bit = (place % np.uint64(64 * size)).astype(np.int64)
+    odd = (np.bincount(bit, minlength=64 * size) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view(np.uint64)
 
 
 def _signer(s: Settings):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors, shifts = _permutations(s)
+        factors, shifts = _permutations(s.seed, s.samples)
         salt = np.arange(s.bands, dtype=np.uint64) << np.uint64(48)
         for batch in batches:
             found = words(*column_bytes(batch.column(1)))
@@ -116,12 +117,12 @@ def signatures(docs: DataFrame, s: Settings) -> DataFrame:
         _signer(s), "doc_id long, n_shingles long, hash1 long, hash2 long, bands array<long>, sketch array<long>")
 
 
-def _may_link(s: Settings, a: str, b: str) -> Column:
+def _may_link(s: Settings, a: str, b: str, samples: int, width: int) -> Column:
     """Whether set sizes and sketches of two rows allow the similarity."""
     small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    flips = sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(SKETCH_WORDS)),
-                F.lit(0))
-    return (small * 100 >= large * s.percent) & (flips <= s.max_flips)
+    flips = F.aggregate(F.zip_with(f"{a}.sketch", f"{b}.sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+                        F.lit(0), lambda total, n: total + n)
+    return (small * 100 >= large * s.percent) & (flips <= s.max_flips(samples, width))
 
 
 def _comparer(s: Settings):
@@ -147,6 +148,24 @@ def _comparer(s: Settings):
     return compare
 
 
+def _finer(s: Settings):
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors, shifts = _permutations(s.seed + 1, FINE_SAMPLES)
+        for batch in batches:
+            found = words(*column_bytes(batch.column(1)))
+            out = [odd_sketch(min_samples(shingles(found.hash[found.bounds[i]:found.bounds[i + 1]], s.shingle),
+                                          factors, shifts), FINE_WORDS).view(np.int64) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))],
+                                             names=["doc_id", "sketch"])
+
+    return sketch
+
+
+def fine_sketches(texts: DataFrame, s: Settings) -> DataFrame:
+    """``(doc_id, sketch)`` of more samples and bits, for the few documents that need a closer estimate."""
+    return texts.select("doc_id", "text").mapInArrow(_finer(s), "doc_id long, sketch array<long>")
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """The pairs ``(a, b)`` whose full sets link; ``texts`` has one row per ``doc_id``.
 
@@ -171,8 +190,8 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
 
     ``component_id`` is the smallest doc_id reachable over links; ``kept`` marks that document. A null,
     empty or blank text has an empty set and is linked with nothing. A text of fewer words than a
-    shingle is one shingle. Rows with the same doc_id and text give the same result each; other texts
-    under a used doc_id fall into the components of that id. A null doc_id stays alone, with a null
+    shingle is one shingle. Rows with the same doc_id and text give the same result each; of different
+    texts under one doc_id one is compared, besides exact copies of each. A null doc_id stays alone, with a null
     component. Other columns are not read. No rows: no rows.
     """
     s = settings or Settings()
@@ -188,14 +207,19 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
         reps.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
     slots = reps.select("doc_id", F.explode("bands").alias("bucket"))
-    shared = slots.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    slots = materialize(slots.join(shared.select("bucket", "hub"), "bucket"), "minhash-buckets")
+    shared = slots.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    slots = materialize(slots.join(shared, "bucket"), "minhash-buckets")
+    # The text that the others derive from agrees with most of them in every band.
+    central = slots.groupBy("doc_id").agg(F.sum("size").alias("central"))
+    hubs = slots.join(central, "doc_id").groupBy("bucket").agg(
+        F.max(F.struct("central", (-F.col("doc_id")).alias("doc"))).alias("top"))
+    slots = materialize(slots.join(hubs, "bucket").select("bucket", "doc_id", (-F.col("top.doc")).alias("hub")), "minhash-hubs")
     facts = reps.select("doc_id", F.struct("n", "sketch").alias("f"))
 
     def screened(pairs: DataFrame) -> DataFrame:
         left = facts.select(F.col("doc_id").alias("a"), F.col("f").alias("fa"))
         right = facts.select(F.col("doc_id").alias("b"), F.col("f").alias("fb"))
-        return pairs.join(left, "a").join(right, "b").where(_may_link(s, "fa", "fb")).select("a", "b")
+        return pairs.join(left, "a").join(right, "b").where(_may_link(s, "fa", "fb", s.samples, SKETCH_WORDS)).select("a", "b")
 
     stars = slots.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
     stars = materialize(screened(stars), "minhash-stars")
@@ -206,13 +230,20 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
     labelled = slots.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
         "bucket", "doc_id", F.coalesce("label", "doc_id").alias("label"))
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    open_slots = materialize(labelled.join(mixed.select("bucket", "low"), "bucket").join(facts, "doc_id").select(
-        "bucket", "doc_id", "label", "low", "f"), "minhash-open")
+    open_slots = materialize(labelled.join(mixed.select("bucket", "low"), "bucket"), "minhash-open")
+    open_docs = open_slots.select("doc_id").distinct()
+    fine = materialize(fine_sketches(texts.join(open_docs, "doc_id", "left_semi"), s), "minhash-fine")
+    open_facts = fine.join(reps.select("doc_id", "n", "bands"), "doc_id").select(
+        "doc_id", F.struct("n", "sketch", "bands").alias("f"))
+    open_slots = open_slots.join(open_facts, "doc_id")
     one, two = open_slots.where("label <> low").alias("x"), open_slots.alias("y")
     rest = one.join(two, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & (
-        (F.col("y.label") == F.col("y.low")) | (F.col("x.doc_id") < F.col("y.doc_id"))) & _may_link(s, "x.f", "y.f"))
+        (F.col("y.label") == F.col("y.low")) | (F.col("x.doc_id") < F.col("y.doc_id"))) & _may_link(
+        s, "x.f", "y.f", FINE_SAMPLES, FINE_WORDS) & (
+        # of all buckets that hold both, one lets the pair through
+        F.array_min(F.array_intersect("x.f.bands", "y.f.bands")) == F.col("x.bucket")))
     rest = rest.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
-    rest = materialize(rest.distinct().join(stars, ["a", "b"], "left_anti"), "minhash-rest")
+    rest = materialize(rest.join(stars, ["a", "b"], "left_anti"), "minhash-rest")
     if not rest.isEmpty():
         labels = components(links.unionByName(confirm(rest, texts, s)))
 
