@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineforge.llm import bpe, decontam, hilbert, langid, minhash, pii, spotsigs
+from lineforge.llm import bpe, decontam, hilbert, langid, minhash, pii, pitman_yor, spotsigs
 from lineforge.llm import toxicity as toxic
 from lineforge.llm.tables import table
 
@@ -38,6 +38,10 @@ def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(RANK_FILE),
                                 public_tokenizers.PATTERN, digests=True)
@@ -66,6 +70,6 @@ def op10_pii_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_language_softmax, op2_spotsigs, op3_hilbert_shards, op5_segment_tree_bpe, op6_toxicity_bigru,
+    op1_language_softmax, op2_spotsigs, op3_hilbert_shards, op4_pitman_yor, op5_segment_tree_bpe, op6_toxicity_bigru,
     op7_benchmark_ngrams, op8_minhash_odd_sketch, op10_pii_checksums,
 )}
