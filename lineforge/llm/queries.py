@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineforge.llm import bpe, decontam, hilbert, langid, minhash, pii, pitman_yor, spotsigs
+from lineforge.llm import bpe, decontam, hilbert, langid, minhash, passages, pii, pitman_yor, spotsigs
 from lineforge.llm import toxicity as toxic
 from lineforge.llm.tables import table
 
@@ -61,6 +61,10 @@ def op8_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Settings(shingle=4))
 
 
+def op9_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_pii_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("pii", lambda s: s["kind"].isin(*pii.BASE_KINDS))
@@ -71,5 +75,5 @@ def op10_pii_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_language_softmax, op2_spotsigs, op3_hilbert_shards, op4_pitman_yor, op5_segment_tree_bpe, op6_toxicity_bigru,
-    op7_benchmark_ngrams, op8_minhash_odd_sketch, op10_pii_checksums,
+    op7_benchmark_ngrams, op8_minhash_odd_sketch, op9_compact_windows, op10_pii_checksums,
 )}
