@@ -306,17 +306,32 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, how: Training) -> tuple[
     return found.select("doc_id", piece.alias("text"), "toxic").orderBy("doc_id", "text").toArrow(), odds
 
 
+def _scores(net: Network, texts: pa.Array) -> np.ndarray:
+    found = words(*column_bytes(texts))
+    which, word_ids, grams, cuts = word_features(found)
+    windows, text = cut_windows(which, found.bounds, len(word_ids))
+    return net.probability(_highest(net.score_windows(word_ids, grams, cuts, windows), text))
+
+
+def without_toxic(docs: DataFrame, net: Network) -> DataFrame:
+    """The rows of ``docs`` that are not predicted to be toxic, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(shared.value, batch.column(at)) < THRESHOLD))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def score_documents(docs: DataFrame, net: Network) -> DataFrame:
     """Per row of ``docs(doc_id, text, ...)``: ``doc_id``, ``score`` (0 to 1, higher: more toxic), ``predicted``."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = shared.value
         for batch in batches:
-            found = words(*column_bytes(batch.column(1)))
-            which, word_ids, grams, cuts = word_features(found)
-            windows, text = cut_windows(which, found.bounds, len(word_ids))
-            p = net.probability(_highest(net.score_windows(word_ids, grams, cuts, windows), text))
+            p = _scores(shared.value, batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(p, pa.float64()), pa.array((p >= THRESHOLD).astype(np.int32))],
                 names=["doc_id", "score", "predicted"])
