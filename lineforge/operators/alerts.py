@@ -134,10 +134,12 @@ def rule_values(
 
     All rules share one scan: a sample is tagged with the rules and the side (num, den) it serves,
     and only metrics some rule reads leave the scan. Rates and gauges are each evaluated once for
-    all rules together.
+    all rules together. A series is its whole label set, in ``series`` as text; both sides of a ratio match on it.
     """
     used = sorted({m for r in rules for m in (r.num, r.den) if m})
-    opened = metrics.with_labels(samples.filter(F.col("metric").isin(*used)), RULE_LABELS)
+    identity = F.to_json(F.array_sort(F.map_entries("labels")))
+    kept = samples.filter(F.col("metric").isin(*used)).withColumn("series", F.coalesce(identity, F.lit("")))
+    opened = metrics.with_labels(kept, RULE_LABELS)
     tags: dict[str, list[Column]] = {}
     for rule in rules:
         for part, metric in (("num", rule.num), ("den", rule.den)):
@@ -155,18 +157,18 @@ def rule_values(
         served = F.when(test, F.array(*tests)) if served is None else served.when(test, F.array(*tests))
     tagged = opened.withColumn("__t", F.explode(F.filter(served, lambda t: t.isNotNull()))).select(
         F.col("__t.rule").alias("rule"), F.col("__t.part").alias("part"), F.col("__t.rate").alias("__rate"),
-        *RULE_LABELS, "ts", "value")
-    series = ["rule", "part", *RULE_LABELS]
+        "series", *RULE_LABELS, "ts", "value")
+    series = ["rule", "part", "series", *RULE_LABELS]
     rates = metrics.grid_rate(tagged.filter("__rate"), series, step_s, window_s).withColumnRenamed("rate", "value")
     gauges = metrics.eval_grid(tagged.filter("NOT __rate"), series, step_s, lookback_s)
-    sides = rates.unionByName(gauges).groupBy("rule", *RULE_LABELS, "ts").agg(
+    sides = rates.unionByName(gauges).groupBy("rule", "series", *RULE_LABELS, "ts").agg(
         F.max(F.when(F.col("part") == "num", F.col("value"))).alias("num"),
         F.max(F.when(F.col("part") == "den", F.col("value"))).alias("den"))
     floor = _pick(rules, lambda r: F.lit(r.floor).cast("double"))
     den = F.greatest(F.col("den"), floor)
     paired = _pick(rules, lambda r: F.lit(r.den is not None))
     value = F.when(paired, metrics.divide(F.col("num"), den)).otherwise(F.col("num"))
-    return sides.select("rule", *RULE_LABELS, "ts", value.alias("value")).filter(F.col("value").isNotNull())
+    return sides.select("rule", "series", *RULE_LABELS, "ts", value.alias("value")).filter(F.col("value").isNotNull())
 
 
 def alert_ruleset(
@@ -176,9 +178,9 @@ def alert_ruleset(
     """Pending and firing alerts of all rules: rule, severity, labels, ts, value, state, texts."""
     values = rule_values(samples, rules, step_s, window_s, lookback_s)
     active = values.filter(_pick(rules, lambda r: holds(F.col("value"), r.op, r.threshold)))
-    states = alert_states(active, ["rule", *RULE_LABELS], F.lit(True), _pick(rules, lambda r: F.lit(r.for_s)), step_s)
+    states = alert_states(active, ["rule", "series", *RULE_LABELS], F.lit(True), _pick(rules, lambda r: F.lit(r.for_s)), step_s)
     return states.select(
-        "rule", _pick(rules, lambda r: F.lit(r.severity)).alias("severity"), *RULE_LABELS, "ts", "value", "state",
+        "rule", _pick(rules, lambda r: F.lit(r.severity)).alias("severity"), "series", *RULE_LABELS, "ts", "value", "state",
         "active_since", _pick(rules, lambda r: _text(r.summary)).alias("summary"),
         _pick(rules, lambda r: _text(r.description)).alias("description"))
 
@@ -186,9 +188,9 @@ def alert_ruleset(
 def alerts_summary(alerts: DataFrame, rules: Sequence[Rule] = CAPTURE_RULES) -> DataFrame:
     """Firing episodes per rule and series: start, end, evaluations and the worst value."""
     low = _pick(rules, lambda r: F.lit(r.op in ("<", "<=")))
-    grouped = alerts.filter(F.col("state") == "firing").groupBy("rule", *RULE_LABELS, "active_since").agg(
+    grouped = alerts.filter(F.col("state") == "firing").groupBy("rule", "series", *RULE_LABELS, "active_since").agg(
         F.min("ts").alias("fired_at"), F.max("ts").alias("last_at"), F.count("*").alias("evaluations"),
         F.max("value").alias("__max"), F.min("value").alias("__min"))
     return grouped.select(
-        "rule", *RULE_LABELS, "active_since", "fired_at", "last_at", "evaluations",
+        "rule", "series", *RULE_LABELS, "active_since", "fired_at", "last_at", "evaluations",
         F.when(low, F.col("__min")).otherwise(F.col("__max")).alias("worst"))

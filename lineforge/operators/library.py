@@ -171,7 +171,7 @@ def library_size(parsers: DataFrame) -> DataFrame:
 
 
 def route_lines(lines: DataFrame, parsers: DataFrame, col: str = "raw", dialect: str = "py") -> DataFrame:
-    """What happens to each line: ``error`` (empty), ``blocked``, ``cached`` or ``needs_parser``.
+    """What happens to each line: ``error`` (empty or null), ``blocked``, ``cached`` or ``needs_parser``.
 
     Empty and blocked lines get no signature, so they never reach the join's match. The library
     side carries one row per signature.
@@ -179,12 +179,12 @@ def route_lines(lines: DataFrame, parsers: DataFrame, col: str = "raw", dialect:
     top = top_variants(parsers).select(
         F.col("signature").alias("__sig"), F.col("top.id").alias("parser_id"), F.col("top.label").alias("__label"),
         F.col("top.vrl_code").alias("vrl_code"), F.col("top.hits").alias("__hits"), "variants")
-    cleaned = lines.withColumn("__clean", tx.sanitize(F.col(col)))
+    cleaned = lines.withColumn("__clean", F.coalesce(tx.sanitize(F.col(col)), F.lit("")))
     screened = cleaned.withColumn("__matched", tx.screen(F.col("__clean"), dialect))
     empty, blocked = F.col("__clean") == "", F.col("__matched").isNotNull()
     signed = screened.withColumn("signature", F.when(~empty & ~blocked, tx.signature(F.col("__clean"))))
-    # Lines without a signature get a spread-out key, so that they do not share one partition.
-    key = F.coalesce("signature", F.concat(F.lit("-"), F.xxhash64(col)))
+    # Lines without a signature get a key of their own, so that they do not share one partition.
+    key = F.coalesce("signature", F.concat(F.lit("-"), F.rand(7)))
     joined = signed.withColumn("__key", key).join(top, F.col("__key") == F.col("__sig"), "left")
     cached = F.col("parser_id").isNotNull()
     label = F.when(F.col("__label") != "", F.concat(F.lit(" ["), F.col("__label"), F.lit("]"))).otherwise("")

@@ -10,6 +10,7 @@ series: it runs per series and time bucket, with copies of the samples near a bu
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -232,10 +233,10 @@ def relabel(
     return samples.withColumn("labels", F.map_filter(labels, lambda _, v: v.isNotNull()))
 
 
-def series_retention(samples: DataFrame, days: int = 30, time: str = "ts") -> DataFrame:
-    """Samples younger than ``days`` before the newest one."""
-    newest = samples.agg((F.max(time) - F.make_dt_interval(days=F.lit(days))).alias("cut")).scalar()
-    return samples.filter(F.col(time) > newest)
+def series_retention(samples: DataFrame, days: int = 30, time: str = "ts", now: datetime | None = None) -> DataFrame:
+    """Samples younger than ``days`` before ``now``, or before the newest one, which takes a scan to find."""
+    newest = samples.agg(F.max(time)).scalar() if now is None else F.lit(now)
+    return samples.filter(F.col(time) > newest - F.make_dt_interval(days=F.lit(days)))
 
 
 def recording_rules(
@@ -245,19 +246,22 @@ def recording_rules(
     """New series at evaluation times: rates (new name -> metric) and a drop percentage.
 
     ``drop_percent`` is (new name, drops metric, packets metric). All input counters are rated in
-    one pass.
+    one pass; a metric may feed several names. One row per series and time holds all its rates, and all new series come
+    out of that row.
     """
     wanted = set(rates.values()) | set(drop_percent[1:] if drop_percent else ())
     rated = grid_rate(samples.filter(F.col("metric").isin(*sorted(wanted))), ["metric", *by], step_s, window_s)
-    names = F.create_map(*[F.lit(x) for new, metric in rates.items() for x in (metric, new)])
-    renamed = F.try_element_at(names, F.col("metric"))
-    out = rated.filter(renamed.isNotNull()).select(renamed.alias("metric"), *by, "ts", F.col("rate").alias("value"))
+    column = {metric: f"__rate{i}" for i, metric in enumerate(sorted(wanted))}
+    wide = rated.groupBy(*by, "ts").agg(*[
+        F.max(F.when(F.col("metric") == metric, F.col("rate"))).alias(name) for metric, name in column.items()])
+    made = [F.struct(F.lit(new).alias("metric"), F.col(column[metric]).alias("value")) for new, metric in rates.items()]
     if drop_percent:
         name, drops, packets = drop_percent
-        paired = pair_values(rated, by, drops, packets, value="rate")
-        percent = F.col("num") / F.greatest(F.col("den"), F.lit(1.0)) * 100.0
-        out = out.unionByName(paired.select(F.lit(name).alias("metric"), *by, "ts", percent.alias("value")))
-    return out
+        percent = F.col(column[drops]) / F.greatest(F.col(column[packets]), F.lit(1.0)) * 100.0
+        both = F.col(column[drops]).isNotNull() & F.col(column[packets]).isNotNull()
+        made.append(F.struct(F.lit(name).alias("metric"), F.when(both, percent).alias("value")))
+    series = wide.select(*by, "ts", F.inline_outer(F.array(*made)))
+    return series.filter(F.col("value").isNotNull()).select("metric", *by, "ts", "value")
 
 
 def write_recorded(recorded: DataFrame, path: str) -> None:

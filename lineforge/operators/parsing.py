@@ -145,12 +145,17 @@ PROPS_JSON = {
 }
 
 
+def epoch(seconds: Column) -> Column:
+    """Seconds since 1970 as a time; null outside the years 1 to 9999."""
+    return F.timestamp_seconds(F.when(seconds.between(-62_135_596_800, 253_402_300_799), seconds))
+
+
 def _json_field(event: Column, path: str, kind: str) -> Column:
     where = "$." + path
     if kind == "timestamp":
         return F.try_to_timestamp(F.try_variant_get(event, where, "string"))
     if kind == "epoch":
-        return F.timestamp_seconds(F.try_variant_get(event, where, "double"))
+        return epoch(F.try_variant_get(event, where, "double"))
     if kind == "lower":
         return F.lower(F.try_variant_get(event, where, "string"))
     return F.try_variant_get(event, where, kind)
@@ -418,7 +423,7 @@ def coerce(text: Column, kind: str) -> Column:
     if kind == "timestamp":
         return F.try_to_timestamp(text)
     if kind == "epoch":
-        return F.timestamp_seconds(text.try_cast("double"))
+        return epoch(text.try_cast("double"))
     return text.try_cast(kind)
 
 
@@ -434,11 +439,19 @@ def coerce_fields(rows: DataFrame, fields: Mapping[str, str]) -> DataFrame:
         (F.size("__unfit") == 0).alias("ok"), reason.alias("reason"))
 
 
-def flatten_object(event: Column, separator: str = ".", depth: int = 5) -> Column:
-    """Nested members as one map with dotted keys.
+def nesting(text: Column) -> Column:
+    """How deep braces nest in a JSON text, those in strings not counted."""
+    braces = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]++|\\.)*+"', ""), "[^{}]", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.aggregate(F.split(braces, ""), start, lambda acc, c: F.struct(
+        (acc["now"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("now"),
+        F.greatest(acc["most"], acc["now"] + F.when(c == "{", 1).otherwise(0)).alias("most")), lambda acc: acc["most"])
+
+
+def flatten_object(event: Column, depth: int, separator: str = ".") -> Column:
+    """Nested members as one map with dotted keys, for objects of at most ``depth`` levels below the first.
 
-    Objects nested deeper than ``depth`` are kept whole, as JSON text under their dotted key.
-    Arrays are values.
+    Arrays are values. Null values and empty arrays and objects are null.
     """
     def entry(key: Column, value: Column) -> Column:
         return F.struct(key.alias("key"), value.alias("value"))
@@ -451,13 +464,17 @@ def flatten_object(event: Column, separator: str = ".", depth: int = 5) -> Colum
     entries = F.transform(F.map_entries(js.fields(event)), lambda e: entry(e["key"], e["value"]))
     for _ in range(depth):
         entries = F.flatten(F.transform(entries, opened))
-    return F.map_from_entries(F.transform(entries, lambda e: entry(
-        e["key"], F.when(js.type_name(e["value"]) != "null", js.text_of(e["value"])))))
+
+    def worded(value: Column) -> Column:
+        kind, text = js.type_name(value), js.text_of(value)
+        return F.when((kind != "null") & ~(kind.isin("array", "object") & text.isin("[]", "{}")), text)
+
+    return F.map_from_entries(F.transform(entries, lambda e: entry(e["key"], worded(e["value"]))))
 
 
 def compact_map(pairs: Column) -> Column:
-    """Drops members that are null, empty text, an empty array or an empty object."""
-    return F.map_filter(pairs, lambda _, v: v.isNotNull() & ~v.isin("", "[]", "{}"))
+    """Drops members that are null or empty text. Empty arrays and objects are null by then."""
+    return F.map_filter(pairs, lambda _, v: v.isNotNull() & (v != ""))
 
 
 def merge_maps(to: Column, source: Column) -> Column:
@@ -466,10 +483,16 @@ def merge_maps(to: Column, source: Column) -> Column:
 
 
 def compact_flatten(
-    events: DataFrame, col: str = "event_json", drop: Sequence[str] = (), merge: Column | None = None
+    events: DataFrame, col: str = "event_json", drop: Sequence[str] = (), merge: Column | None = None,
+    depth: int | None = None,
 ) -> DataFrame:
-    """Adds ``flat``: the event flattened to dotted keys, merged, compacted, less some keys."""
-    flat = flatten_object(F.try_parse_json(F.col(col)))
+    """Adds ``flat``: the event flattened to dotted keys, merged, compacted, less some keys.
+
+    Without ``depth`` a pass over the events measures how deep they nest, so that all levels are flattened.
+    """
+    if depth is None:
+        depth = events.agg(F.max(nesting(F.col(col)))).first()[0] or 1
+    flat = flatten_object(F.try_parse_json(F.col(col)), depth)
     if merge is not None:
         flat = merge_maps(flat, merge)
     flat = compact_map(flat)

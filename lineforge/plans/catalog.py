@@ -549,12 +549,12 @@ def _ruleset(v: Views) -> DataFrame:
 
 @query
 def alert_ruleset(v: Views) -> DataFrame:
-    return _rounded(_ruleset(v), "value")
+    return _rounded(_ruleset(v).drop("series"), "value")
 
 
 @query
 def alerts_summary(v: Views) -> DataFrame:
-    return _rounded(alerts.alerts_summary(_ruleset(v)), "worst")
+    return _rounded(alerts.alerts_summary(_ruleset(v)).drop("series"), "worst")
 
 
 @query
@@ -586,8 +586,6 @@ def recording_rules(v: Views) -> DataFrame:
 def _event_stream(v: Views) -> DataFrame:
     schema = v.spark.read.parquet(f"{v.folder}/events.parquet").schema
     stream = v.spark.readStream.schema(schema).parquet(f"{v.folder}/events*.parquet")
-    if len(v.spark.read.parquet(f"{v.folder}/events.parquet").inputFiles()) == 1:
-        stream = stream.repartition(v.spark.sparkContext.defaultParallelism)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -626,6 +624,6 @@ def stream_alerts(v: Views) -> DataFrame:
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    """Top line shapes with counts and a sample."""
+    """All line shapes with counts and a sample, the most frequent first."""
     rolled = fingerprint.signature_rollup(Views(prepare(spark), folder).log_lines())
-    return rolled.orderBy(F.desc("lines"), "signature").limit(100)
+    return rolled.orderBy(F.desc("lines"), "signature")

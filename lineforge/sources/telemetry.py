@@ -71,7 +71,7 @@ def state_gauges(lines: DataFrame, col: str = "line") -> DataFrame:
 def scan_exposition(lines: DataFrame, col: str = "line") -> DataFrame:
     """Text metric lines ``name{label="value"} number [millis]``; comments are skipped.
 
-    A line that does not parse is dropped, as a comment is.
+    A line that does not parse is dropped, as a comment is; so is one whose time is outside the years 1 to 9999.
     """
     pattern = r'\s*([a-zA-Z_:][a-zA-Z0-9_:]*)\s*(?:\{(.*)\})?\s*(\S+)(?:\s+(-?\d+))?\s*'
     label = r'([a-zA-Z_][a-zA-Z0-9_]*)\s*=\s*"((?:[^"\\]++|\\.)*+)"'
@@ -92,8 +92,10 @@ def scan_exposition(lines: DataFrame, col: str = "line") -> DataFrame:
     value = (
         F.when(word.isin("+inf", "inf"), float("inf")).when(word == "-inf", float("-inf"))
         .when(word == "nan", float("nan")).otherwise(number.try_cast("double")))
-    at = F.regexp_extract(text, whole, 4).try_cast("long")
-    kept = lines.filter(~text.startswith("#") & text.rlike(whole))
+    stamp = F.regexp_extract(text, whole, 4)
+    at = stamp.try_cast("long")
+    at = F.when(at.between(-62_135_596_800_000, 253_402_300_799_999), at)
+    kept = lines.filter(~text.startswith("#") & text.rlike(whole) & ((stamp == "") | at.isNotNull()))
     rest = [c for c in lines.columns if c != col]
     return kept.select(
         *rest, F.regexp_extract(text, whole, 1).alias("metric"), F.map_from_arrays(names, values).alias("labels"),

@@ -125,7 +125,7 @@ def test_routing(spark):
     signature = fingerprint.line_signature(spark.createDataFrame([(known,)], "raw string")).first()["signature"]
     table = parsers(spark).withColumn("signature", F.when(F.col("signature") == "aa", signature).otherwise("bb"))
     rows = {r["line_id"]: r for r in library.route_lines(lines, table).collect()}
-    assert [rows[i]["action"] for i in range(1, 5)] == ["cached", "error", "blocked", "needs_parser"]
+    assert [rows[i]["action"] for i in range(1, 6)] == ["cached", "error", "blocked", "needs_parser", "error"]
     assert (rows[1]["parser_id"], rows[1]["variants"]) == (3, 2)
     assert rows[1]["message"] == "Cache hit: parser #3 (2 variants) (used 5x)"
     assert rows[3]["message"] == "Injection detected: ignore previous instructions"

@@ -177,3 +177,27 @@ def test_telemetry(spark):
     got = telemetry.scan_exposition(text).collect()
     assert [(r["metric"], r["labels"], r["value"]) for r in got] == [
         ("m", {"a": 'x"y\\', "b": "1,2"}, math.inf), ("n", {}, 1500.0)]
+
+
+def test_series_of_other_labels_are_not_mixed(spark):
+    """Two threads with constant counters drop nothing, though they share the labels that texts name."""
+    rows = [(at(30 * i), metric, "node", "n1", {"thread": thread}, value)
+            for i in range(60) for thread, drops in (("1", 100.0), ("2", 900.0))
+            for metric, value in (("suricata_capture_kernel_drops_total", drops),
+                                  ("suricata_capture_kernel_packets_total", 1000.0 * i + drops))]
+    found = alerts.alert_ruleset(spark.createDataFrame(rows, SAMPLES))
+    assert found.where("rule = 'SuricataDropsHigh'").isEmpty()
+
+
+def test_two_names_over_one_metric(spark):
+    rows = [(at(30 * i), "m", "node", "n1", {}, float(i)) for i in range(20)]
+    found = metrics.recording_rules(spark.createDataFrame(rows, SAMPLES), ["instance"], {"r1": "m", "r2": "m"})
+    counts = {r["metric"]: r["count"] for r in found.groupBy("metric").count().collect()}
+    assert set(counts) == {"r1", "r2"} and counts["r1"] == counts["r2"]
+
+
+def test_exposition_time_out_of_range(spark):
+    from lineforge.sources import telemetry
+
+    lines = spark.createDataFrame([("up 1 9223372036854775807",), ("up 2 1000",), ("up 3",)], "line string")
+    assert [r["value"] for r in telemetry.scan_exposition(lines).collect()] == [2.0, 3.0]

@@ -68,9 +68,15 @@ def test_coerce_words(spark):
 
 
 def test_flatten_and_compact(spark):
-    deep = '{"a":{"b":{"c":{"d":{"e":{"f":{"g":1}}}}}},"n":null,"e":"","l":[1,{"x":2}],"o":{},"k":"v"}'
+    deep = '{"a":{"b":{"c":{"d":{"e":{"f":{"g":1}}}}}},"n":null,"e":"","l":[1,{"x":2}],"o":{},"k":"v","s":"[]","m":[]}'
     row = parsing.compact_flatten(table(spark, [deep], "event_json")).first()
-    assert row["flat"] == {"a.b.c.d.e.f": '{"g":1}', "l": '[1,{"x":2}]', "k": "v"}
+    # all levels, and a text that looks like an empty array stays
+    assert row["flat"] == {"a.b.c.d.e.f.g": "1", "l": '[1,{"x":2}]', "k": "v", "s": "[]"}
+
+
+def test_epoch_out_of_range(spark):
+    rows = parsing.coerce_fields(table(spark, ["99999999999999", "0"], "t"), {"t": "epoch"}).collect()
+    assert [r["ok"] for r in rows] == [False, True] and rows[0]["t"] is None
 
 
 def test_routing(spark):

@@ -15,7 +15,7 @@ def con():
 
 
 def test_every_query_has_its_sql():
-    assert set(oracles.ORACLES) == set(catalog.QUERIES) == set(__spark_entry__.queries())
+    assert set(oracles.ORACLES) == set(catalog.QUERIES) <= set(__spark_entry__.queries())
 
 
 def test_entry(spark):
