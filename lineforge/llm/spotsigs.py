@@ -27,18 +27,28 @@ COMMON = (
     "el los las y por con del se una lo al su").split()
 WORD = r"[\p{L}\p{N}]+"
 _COMMON = "(?:" + "|".join(sorted(set(COMMON))) + ")"
-# An anchor, looked ahead from so that spots overlap: further common words are skipped, content words kept.
-_SPOT = (rf"(?<![^ ])(?=({_COMMON}(?: {_COMMON}(?![^ ]))*"
-         + rf"(?: (?!{_COMMON}(?![^ ]))[^ ]+(?: {_COMMON}(?![^ ]))*)" * (CHAIN - 1)
-         + rf" (?!{_COMMON}(?![^ ]))[^ ]+))")
 _SKIPPED = rf" {_COMMON}(?![^ ])"
+_RUN = rf"{_COMMON}(?:{_SKIPPED})*+"
+# A run of anchors with the chain after it, looked ahead from so that chains overlap. A run is read as one, and skipped
+# possessively: long runs cost neither a stack frame nor a second look per word.
+_SPOT = (rf"(?<![^ ])(?<!(?<![^ ]){_COMMON} )(?=({_RUN}"
+         + rf"(?: (?!{_COMMON}(?![^ ]))[^ ]+(?:{_SKIPPED})*+)" * (CHAIN - 1)
+         + rf" (?!{_COMMON}(?![^ ]))[^ ]+))")
 
 
 def signatures(text: Column) -> Column:
-    """The distinct spot signatures of a text, as sorted 64-bit hashes; null, empty and wordless texts have none."""
+    """The distinct spot signatures of a text, as sorted 64-bit hashes; null, empty and wordless texts have none.
+
+    Each distinct anchor of a run of common words makes one signature with the chain after the run.
+    """
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    spots = F.transform(F.regexp_extract_all(plain, F.lit(_SPOT), F.lit(1)),
-                        lambda s: F.xxhash64(F.regexp_replace(s, _SKIPPED, "")))
+
+    def of_run(spot: Column) -> Column:
+        run = F.regexp_extract(spot, f"^{_RUN}(?= )", 0)
+        chain = F.regexp_replace(F.substring(spot, F.length(run) + 1, F.length(spot)), _SKIPPED, "")
+        return F.transform(F.array_distinct(F.split(run, " ")), lambda anchor: F.xxhash64(F.concat(anchor, chain)))
+
+    spots = F.flatten(F.transform(F.regexp_extract_all(plain, F.lit(_SPOT), F.lit(1)), of_run))
     whole = F.when(plain != "", F.array(F.xxhash64(plain))).otherwise(F.array().cast("array<bigint>"))
     return F.array_sort(F.array_distinct(F.when(F.size(spots) > 0, spots).otherwise(whole)))
 
