@@ -1,0 +1,314 @@
+"""The text operators against plain versions, over whole small tables and over odd rows."""
+
+import base64
+import collections
+import hashlib
+import math
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+
+import __spark_entry__
+from lineforge.llm import bpe, decontam, hilbert, langid, minhash, passages, pii, pitman_yor, spotsigs
+from lineforge.llm import toxicity as toxic
+
+FOLDER = "/root/testdata/sf0.001"
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+COPY = " ".join(f"word{i}" for i in range(60))
+ODD = [(1, None), (2, ""), (3, " \n"), (4, COPY), (4, COPY), (5, COPY), (6, COPY + " end"), (7, "x" * 60_000), (8, "é🙂 the end")]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, words string, shard string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null, empty, blank, very long, equal and repeated rows, with further columns named as the operators' own."""
+    return spark.createDataFrame([(i, t, "en", None, None, "s", "w", "z") for i, t in ODD], SCHEMA)
+
+
+def query(spark, name):
+    return __spark_entry__.queries()[name](spark, FOLDER).collect()
+
+
+def by_spaces(text):
+    return re.findall("[^\x20\x09-\x0D]+", text.translate(LOWER))
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def held_out(doc_id, divisor, remainder):
+    return zlib.crc32(str(doc_id).encode()) % divisor == remainder
+
+
+# ---- whole tables ------------------------------------------------------------------------------
+
+def test_language(spark, docs):
+    rows = query(spark, "op1_language_softmax")
+    truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "lang").collect()}
+    assert sorted(r["doc_id"] for r in rows) == sorted(docs)
+    assert all(r["held_out"] == held_out(r["doc_id"], 3, 1) and 0 <= r["score"] <= 1 for r in rows)
+    judged = [r["lang_pred"] == truth[r["doc_id"]] for r in rows if r["held_out"] and truth[r["doc_id"]]]
+    assert np.mean(judged) > 0.8
+
+
+def test_spots(spark, docs):
+    ids = sorted(docs)
+    following = dict(zip(ids, ids[1:] + ids[:1]))
+    rows = {r["doc_id"]: r for r in query(spark, "op2_spotsigs")}
+    assert sorted(rows) == ids
+    same = collections.defaultdict(set)
+    for i, r in rows.items():
+        text, lost = docs[i], len(docs[i]) // 2
+        edited = text[:len(text) - lost] + docs[following[i]][:lost]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(text), sha(edited))
+        a, b, c = (set(x.split()) for x in (r["fingerprint"], r["edited_fingerprint"], rows[following[i]]["fingerprint"]))
+        for likeness, x in ((r["near_edited"], b), (r["near_next"], c)):
+            assert likeness == pytest.approx(len(a & x) / len(a | x) if a | x else 1.0)
+        same[text].add(r["fingerprint"])
+    assert all(len(x) == 1 for x in same.values())
+
+
+def plain_spots(text):
+    words, out = re.findall(r"[^\W_]+", text.lower()), set()
+    for i, word in enumerate(words):
+        if word in spotsigs.COMMON:
+            chain = [w for w in words[i + 1:] if w not in spotsigs.COMMON][:spotsigs.CHAIN]
+            if len(chain) == spotsigs.CHAIN:
+                out.add(" ".join([word, *chain]))
+    return out or ({" ".join(words)} if words else set())
+
+
+def test_spots_one_by_one(spark):
+    texts = ["The cat, of the dog and of the end of it x", "the of " * 20_000 + "cat dog", "the the", "cat dog", "", "de del delta la los x y",
+             "the cat " + "of " * 20_000 + "dog"]
+    found = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select(
+        "i", spotsigs.signatures("t").alias("s")).collect()
+    hashes = {w: h for t in texts for w, h in [
+        (w, spark.range(1).selectExpr(f"xxhash64('{w}') AS h").first()["h"]) for w in plain_spots(t) if len(w) < 100]}
+    for r in found:
+        expected = plain_spots(texts[r["i"]])
+        if all(len(w) < 100 for w in expected):
+            assert set(r["s"]) == {hashes[w] for w in expected}
+
+
+def test_shards(spark, docs):
+    rows = query(spark, "op3_hilbert_shards")
+    texts = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(docs) and len(texts) == len(rows)
+    counts = collections.Counter(r["shard"] for r in rows)
+    assert set(counts) == set(range(8)) and max(counts.values()) - min(counts.values()) <= 1
+    for shard, n in counts.items():
+        assert sorted(r["slot"] for r in rows if r["shard"] == shard) == list(range(n))
+    for r in rows:
+        raw = docs[r["doc_id"]].encode()
+        assert r["size"] == len(raw) + 1 and (not raw or r["text_crc32"] == zlib.crc32(raw))
+
+
+def test_hilbert_steps():
+    """The curve visits every cell once and moves to a neighbour each time."""
+    cells = np.array([(x, y, z) for x in range(8) for y in range(8) for z in range(8)])
+    order = np.argsort(hilbert.hilbert_index(cells, 3))
+    assert len(set(hilbert.hilbert_index(cells, 3).tolist())) == 512
+    assert (np.abs(np.diff(cells[order], axis=0)).sum(axis=1) == 1).all()
+
+
+def test_language_model(spark, docs):
+    words = {i: by_spaces(t) + [None] for i, t in docs.items()}
+    counts = collections.Counter(w for i, x in words.items() if not held_out(i, 10, 0) for w in x)
+    total, distinct = sum(counts.values()), len(counts)
+    rows = query(spark, "op4_pitman_yor")
+    assert len(rows) == len(docs)
+    for r in rows:
+        mine = words[r["doc_id"]]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (
+            held_out(r["doc_id"], 10, 0), len(mine), sum(counts[w] > 0 for w in mine), total)
+        base = sum(math.log10((counts[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in mine)
+        assert r["base_score"] == pytest.approx(base, rel=1e-9)
+    held = [r for r in rows if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    assert all(r["score"] < 0 for r in rows)
+
+
+def test_byte_pairs(spark, docs):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(path, "rb").read().splitlines() if x)}
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for r in query(spark, "op5_segment_tree_bpe"):
+        ids = plain.encode_ordinary(docs[r["doc_id"]])
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), sha(",".join(map(str, ids))))
+        assert r["decoded_sha256"] == sha(docs[r["doc_id"]])
+
+
+def test_toxicity(spark, docs):
+    rows = query(spark, "op6_toxicity_bigru")
+    assert sorted(r["doc_id"] for r in rows) == sorted(docs)
+    for r in rows:
+        assert r["held_out"] == held_out(r["doc_id"], 3, 1) and 0 <= r["score"] <= 1
+        assert r["predicted"] == int(r["score"] >= 0.7)
+
+
+def plain_contamination(docs, items):
+    def words(text):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+
+    windows = collections.defaultdict(set)
+    for item, text in items:
+        w = words(text)
+        for i in range(max(len(w) - 12, 1) if w else 0):
+            windows[tuple(w[i:i + 13])].add(item)
+    sizes = {len(w) for w in windows}
+    for i, text in docs.items():
+        w, hit, found = words(text), set(), set()
+        for size in sizes:
+            for at in range(len(w) - size + 1):
+                if tuple(w[at:at + size]) in windows:
+                    hit |= set(range(at, at + size))
+                    found |= windows[tuple(w[at:at + size])]
+        yield i, len(w), len(hit), len(found), sha(",".join(sorted(map(str, found)))), bool(hit) and 20 * len(hit) >= len(w)
+
+
+def test_decontamination(spark, docs):
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
+    assert sorted(map(tuple, query(spark, "op7_benchmark_ngrams"))) == sorted(plain_contamination(docs, items))
+
+
+def plain_components(docs, size):
+    sets = {}
+    for i, text in docs.items():
+        w = by_spaces(text)
+        sets[i] = frozenset(tuple(w[j:j + size]) for j in range(max(len(w) - size + 1, 1))) if w else frozenset()
+    label = {i: i for i in sets}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1:]:
+            shared = len(sets[a] & sets[b])
+            if shared and 100 * shared >= 80 * (len(sets[a]) + len(sets[b]) - shared):
+                x, y = root(a), root(b)
+                label[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), root(i), root(i) == i) for i in ids}
+
+
+def test_near_duplicates(spark, docs):
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in query(spark, "op8_minhash_odd_sketch")}
+    assert found == plain_components(docs, 4)
+
+
+def test_compact_windows():
+    """A window is the widest run in which its centre is the (first) least hash."""
+    rng = np.random.default_rng(0)
+    for _ in range(100):
+        h = rng.integers(0, rng.integers(2, 1000), rng.integers(1, 80)).astype(np.uint64)
+        width, expected = int(rng.integers(1, 20)), []
+        for c in range(len(h)):
+            left = right = c
+            while left > 0 and h[left - 1] > h[c]:
+                left -= 1
+            while right < len(h) - 1 and h[right + 1] >= h[c]:
+                right += 1
+            if right - left + 1 >= width:
+                expected.append((left, c, right))
+        assert [tuple(x) for x in passages.compact_windows(h, width).tolist()] == expected
+
+
+def test_passages(spark, docs):
+    seen = collections.defaultdict(set)
+    for i, text in docs.items():
+        w = by_spaces(text)
+        for at in range(len(w) - 49):
+            seen[tuple(w[at:at + 50])].add(i)
+    repeated = {i for x in seen.values() if len(x) > 1 for i in x}
+    rows = query(spark, "op9_compact_windows")
+    assert repeated <= {r["doc_id"] for r in rows} | {r["partner_id"] for r in rows}
+
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_spans(text):
+    def fits(kind, match):
+        digits = re.sub("[^0-9]", "", match)
+        if kind == "ip":
+            return all(int(x) <= 255 for x in match.split("."))
+        if kind == "card":
+            doubled = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
+            return 14 <= len(digits) <= 19 and sum(d // 10 + d % 10 for d in doubled) % 10 == 0
+        return kind == "email" or 10 <= len(digits) <= 15
+
+    spans = [(m.start(), rank, kind, m.end()) for rank, (kind, p) in enumerate(PATTERNS.items())
+             for m in re.finditer(p, text) if fits(kind, m.group())]
+    return ",".join(f"{kind}:{start}:{end}" for start, _, kind, end in sorted(spans))
+
+
+def test_personal_data(spark, docs):
+    for r in query(spark, "op10_pii_checksums"):
+        base = plain_spans(docs[r["doc_id"]])
+        assert r["base_sha256"] == sha(base)
+        assert [r[f"n_{k}"] for k in PATTERNS] == [sum(x.startswith(k + ":") for x in base.split(",")) for k in PATTERNS]
+
+
+# ---- odd rows and empty tables -----------------------------------------------------------------
+
+
+
+@pytest.fixture(scope="module")
+def operators(spark):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    items = spark.createDataFrame([("a", COPY), (None, None), ("b", "")], "item_id string, text string")
+    labels = spark.createDataFrame([(1, 0), (4, 1), (5, 0), (None, 1)], "doc_id long, toxic int")
+    return {
+        "langid": langid.identify,
+        "spots": spotsigs.edited_fingerprints,
+        "shards": lambda d: hilbert.shards(d, 8),
+        "model": pitman_yor.score_documents,
+        "bpe": lambda d: bpe.encode_documents(d, path, public_tokenizers.PATTERN),
+        "toxicity": lambda d: toxic.toxicity(d, labels),
+        "decontam": lambda d: decontam.decontaminate(d, items),
+        "minhash": minhash.near_duplicates,
+        "pii": pii.find_pii,
+    }
+
+
+NAMES = ["langid", "spots", "shards", "model", "bpe", "toxicity", "decontam", "minhash", "pii"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_odd_rows(odd, operators, name):
+    rows = operators[name](odd).collect()
+    assert sorted(r["doc_id"] for r in rows) == [i for i, _ in ODD]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_no_rows(odd, operators, name):
+    assert operators[name](odd.where("false")).collect() == []
+
+
+def test_copies_of_odd_rows(odd):
+    found = {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(odd).collect()}
+    assert found == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (6, 4), (7, 7), (8, 8)}
+
+
+def test_passages_of_odd_rows(odd):
+    rows = passages.repeated_passages(odd).collect()
+    assert {4, 5, 6} <= {r["doc_id"] for r in rows} | {r["partner_id"] for r in rows}
+    assert passages.repeated_passages(odd.where("false")).collect() == []
