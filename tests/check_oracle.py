@@ -16,9 +16,11 @@ import duckdb
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 
-from lineforge.plans import catalog, oracles  # noqa: E402
+import __spark_entry__  # noqa: E402
 from lineforge.session import local_session  # noqa: E402
 
+QUERIES, ORACLES = __spark_entry__.queries(), __spark_entry__.oracle_sql()
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
 
@@ -52,12 +54,12 @@ def rows_of(names, rows):
 def compare(spark, con, folder, name):
     """Returns (matches, message)."""
     started = time.time()
-    df = catalog.QUERIES[name](spark, folder)
+    df = QUERIES[name](spark, folder)
     got = df.collect()
     took = time.time() - started
-    if name not in oracles.ORACLES:
+    if name not in ORACLES:
         return bool(got), f"{len(got)} rows, no SQL ({took:.1f}s)"
-    found = con.sql(oracles.ORACLES[name])
+    found = con.sql(ORACLES[name])
     names = [d[0] for d in found.description]
     if sorted(names) != sorted(df.columns):
         return False, f"columns {sorted(df.columns)} against {sorted(names)}"
@@ -78,7 +80,7 @@ def main() -> int:
     folder = f"/root/testdata/{args[0] if args else 'sf0.01'}"
     spark, con = local_session("8"), duck(folder)
     failed = 0
-    for name in args[1:] or list(catalog.QUERIES):
+    for name in args[1:] or list(QUERIES):
         try:
             ok, message = compare(spark, con, folder, name)
         except Exception as problem:  # report and go on
