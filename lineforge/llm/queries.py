@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineforge.llm import bpe, decontam, hilbert, langid, minhash, passages, pii, pitman_yor, spotsigs
+from lineforge.llm import (
+    bpe, collocations, decontam, hilbert, importance, langid, minhash, passages, pii, pitman_yor, spotsigs, url_rules,
+)
 from lineforge.llm import toxicity as toxic
 from lineforge.llm.tables import table
 
@@ -73,7 +75,21 @@ def op10_pii_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
                         pii.as_text(F.col("pii")).alias("spans"))
 
 
+def op11_crc_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"))
+
+
+def op13_setm_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_language_softmax, op2_spotsigs, op3_hilbert_shards, op4_pitman_yor, op5_segment_tree_bpe, op6_toxicity_bigru,
     op7_benchmark_ngrams, op8_minhash_odd_sketch, op9_compact_windows, op10_pii_checksums,
+    op11_crc_importance, op12_url_rules, op13_setm_phrases,
 )}
