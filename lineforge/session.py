@@ -60,14 +60,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, **options) -> DataFrame:
     """Writes a table to the shared folder and reads it back.
 
     For results that several branches of one plan need: they are computed once, survive lost
-    executors, and their size is known when Spark picks a join.
+    executors, and their size is known when Spark picks a join. ``options`` go to the writer.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._scratch_path = path
     return table
