@@ -1,8 +1,8 @@
 """Phrase collocations by SETM: sorted occurrence relations, merge-joined, counted and semi-joined length by length.
 
 The occurrence relation holds a row per word: piece, position in the piece, word. It is written once, sorted by piece and
-position, in units of some megabytes of text of one language that never cut a piece; within a unit its columns are arrays and
-words are numbers into the unit's dictionary. For each further length
+position, in units of some megabytes of text of one language that never cut a piece; within a unit its columns are packed arrays
+and words are numbers into the unit's dictionary. For each further length
 
 1. the relation is semi-joined with the frequent groups of the length before, and written again (it shrinks),
 2. it is merge-joined with itself by piece and adjacent position, which extends each remaining occurrence by a word,
@@ -37,9 +37,12 @@ ENDS_WORD = ENDS_PIECE.copy()
 ENDS_WORD[[ord(" "), ord("\t")]] = True
 
 UNKNOWN = "und"  # the language of rows without one
+# Packed columns compress by their many zero bytes, and a file's row group ends after some large rows.
+PACKED = {"compression": "zstd", "parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1,
+          "parquet.page.size.row.check.min": 1}
 SALTS = 64  # parts of a language that are ranked on their own first
 
-RELATION = "unit long, lang string, code array<long>, piece array<int>, pos array<int>, word array<int>, start array<boolean>"
+RELATION = "unit long, lang string, code array<long>, piece binary, pos binary, word binary, start binary"
 
 
 @dataclass(frozen=True)
@@ -48,8 +51,8 @@ class Settings:
     least: int = 10  # occurrences of a phrase
     covered_percent: int = 50  # a phrase goes if a longer one around it has this share of its occurrences
     top: int = 2000  # phrases per language
-    unit_bytes: int = 8 << 20  # of text
-    broadcast_bytes: int = 64 << 20
+    unit_bytes: int = 2 << 20  # of text
+    broadcast_bytes: int = 16 << 20
 
 
 def occurrences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -75,14 +78,23 @@ def occurrences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return number.astype(np.int32), (np.arange(len(start)) - heads[number]).astype(np.int32), words
 
 
-def _lists(*values: np.ndarray | pa.Array) -> list[pa.Array]:
-    """Each array as a column of one row."""
-    return [pa.ListArray.from_arrays([0, len(v)], v if isinstance(v, pa.Array) else pa.array(v)) for v in values]
+def _list(values: np.ndarray | pa.Array) -> pa.Array:
+    """An array as a column of one row."""
+    return pa.ListArray.from_arrays([0, len(values)], values if isinstance(values, pa.Array) else pa.array(values))
+
+
+def _packed(*columns: np.ndarray) -> list[pa.Array]:
+    """Numbers as bytes, a column of one row each."""
+    return [pa.array([c.astype(np.int32).tobytes()], pa.binary()) for c in columns]
+
+
+def _unpacked(value: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), dtype=np.int32)
 
 
 def relation(docs: DataFrame, unit_bytes: int = Settings.unit_bytes) -> DataFrame:
-    """The occurrence relation of ``docs(text, lang)`` in units: ``unit``, ``lang``, and as arrays the dictionary
-    ``words`` with occurrences ``n``, and ``piece``, ``pos``, ``word`` (a number into the dictionary) sorted by the first two.
+    """The occurrence relation of ``docs(text, lang)`` in units: ``unit``, ``lang``, the dictionary ``words`` with
+    occurrences ``n``, and as 32-bit numbers ``piece`` (steps from row to row), ``pos`` and ``word`` (into the dictionary).
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -98,7 +110,8 @@ def relation(docs: DataFrame, unit_bytes: int = Settings.unit_bytes) -> DataFram
                 at = coded.indices.to_numpy(zero_copy_only=False)
                 count = np.bincount(at, minlength=len(coded.dictionary))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([unit]), pa.array([lang]), *_lists(coded.dictionary.cast(pa.string()), count, piece, pos, at.astype(np.int32))],
+                    [pa.array([unit]), pa.array([lang]), _list(coded.dictionary.cast(pa.string())), _list(count),
+                     *_packed(np.diff(piece, prepend=0), pos, at)],
                     ["unit", "lang", "words", "n", "piece", "pos", "word"])
                 unit += 1
 
@@ -115,7 +128,7 @@ def relation(docs: DataFrame, unit_bytes: int = Settings.unit_bytes) -> DataFram
 
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN))
     return docs.where("text is not null").select("text", lang.alias("lang")).mapInArrow(
-        cut, "unit long, lang string, words array<string>, n array<long>, piece array<int>, pos array<int>, word array<int>")
+        cut, "unit long, lang string, words array<string>, n array<long>, piece binary, pos binary, word binary")
 
 
 def code_of(lang: Column, word: Column, seed: int) -> Column:
@@ -127,13 +140,16 @@ class Unit:
 
     def __init__(self, batch: pa.RecordBatch, i: int) -> None:
         self.unit, self.lang = batch.column("unit")[i].as_py(), batch.column("lang")[i].as_py()
-        get = lambda name: batch.column(name)[i].values.to_numpy(zero_copy_only=False)
-        self.code, self.piece, self.pos, self.word, self.start = (
-            get(name) for name in ("code", "piece", "pos", "word", "start"))
+        self.code = batch.column("code")[i].values.to_numpy(zero_copy_only=False)
+        self.step, self.pos, self.word = (_unpacked(batch.column(name)[i]) for name in ("piece", "pos", "word"))
+        self.piece = np.cumsum(self.step, dtype=np.int64)
+        start = batch.column("start")[i]
+        self.start = np.unpackbits(np.frombuffer(start.as_buffer(), dtype=np.uint8), count=len(self.word)).astype(bool) \
+            if start.is_valid else np.ones(len(self.word), dtype=bool)
 
     def groups(self, size: int) -> tuple[np.ndarray, list[np.ndarray]]:
         """Starts of the occurrences of all groups of ``size`` words, and the words (codes) of each."""
-        place = self.piece.astype(np.int64) << 32 | self.pos
+        place = self.piece << 32 | self.pos
         begins = np.flatnonzero(self.start)
         if size > 1:  # the merge-join by piece and adjacent position: the group one word on has to be frequent too
             after = np.minimum(np.searchsorted(place, place[begins] + 1), len(place) - 1)
@@ -163,9 +179,13 @@ class Unit:
         start[begins] = True
         for i in range(size):
             inside[begins + i] = True
+        word = self.word[inside]
+        used = np.bincount(word, minlength=len(self.code)) > 0  # the dictionary shrinks as well
+        number = np.cumsum(used) - 1
         return pa.RecordBatch.from_arrays(
-            [pa.array([self.unit]), pa.array([self.lang]),
-             *_lists(self.code, self.piece[inside], self.pos[inside], self.word[inside], start[inside])],
+            [pa.array([self.unit]), pa.array([self.lang]), _list(self.code[used]),
+             *_packed(np.diff(self.piece[inside], prepend=0), self.pos[inside], number[word]),
+             pa.array([np.packbits(start[inside]).tobytes()], pa.binary())],
             ["unit", "lang", "code", "piece", "pos", "word", "start"])
 
 
@@ -232,7 +252,7 @@ def mine(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, D
     The phrases are ``codes array<long>, a``, single words included; the words ``code, lang, word``; the totals ``lang, n``.
     """
     spark = docs.sparkSession
-    raw = materialize(relation(docs, settings.unit_bytes), "setm-relation")
+    raw = materialize(relation(docs, settings.unit_bytes), "setm-relation", **PACKED)
     counted = materialize(raw.select("lang", F.explode(F.arrays_zip("words", "n")).alias("w")).groupBy(
         "lang", F.col("w.words").alias("word")).agg(F.sum("w.n").alias("a")), "setm-words")
     totals = materialize(counted.groupBy("lang").agg(F.sum("a").alias("n")), "setm-totals")
@@ -247,22 +267,23 @@ def mine(docs: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, D
     found = [words.select(F.col("code").alias("c1"), "a")]
     rel = raw.select(
         "unit", "lang", F.transform("words", lambda w: code_of(F.col("lang"), w, seed)).alias("code"), "piece", "pos", "word",
-        F.transform("word", lambda w: F.lit(True)).alias("start"))
+        F.lit(None).cast("binary").alias("start"))  # null: every row starts a group of one word
     held = raw
-    with one_row_at_a_time(spark):
-        for size in range(2, settings.longest + 1):
-            rel = materialize(semi_join(rel, found[-1], size - 1, settings.broadcast_bytes), "setm-relation")
-            delete_table(held)
-            held = rel
+    for size in range(2, settings.longest + 1):
+        joined = semi_join(rel, found[-1], size - 1, settings.broadcast_bytes)
+        with large_rows(spark):
+            rel = materialize(joined, "setm-relation", **PACKED)
             counts = group_counts(rel, size).groupBy(*_code_columns(size)).agg(F.sum("n").alias("a"))
             found.append(materialize(counts.where(F.col("a") >= settings.least), "setm-groups"))
+        delete_table(held)
+        held = rel
     delete_table(held)
     tables = [t.select(F.array(*_code_columns(i + 1)).alias("codes"), "a") for i, t in enumerate(found)]
     return reduce(DataFrame.unionByName, tables), words.select("code", "lang", "word"), totals
 
 
 @contextmanager
-def one_row_at_a_time(spark: SparkSession) -> Iterator[None]:
+def large_rows(spark: SparkSession) -> Iterator[None]:
     """Units are large rows: readers and Python workers hold one each."""
     settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1", "spark.sql.parquet.columnarReaderBatchSize": "1"}
     before = {key: spark.conf.get(key) for key in settings}
