@@ -439,37 +439,91 @@ def coerce_fields(rows: DataFrame, fields: Mapping[str, str]) -> DataFrame:
         (F.size("__unfit") == 0).alias("ok"), reason.alias("reason"))
 
 
-def nesting(text: Column) -> Column:
-    """How deep braces nest in a JSON text, those in strings not counted."""
-    braces = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]++|\\.)*+"', ""), "[^{}]", "")
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-    return F.aggregate(F.split(braces, ""), start, lambda acc, c: F.struct(
-        (acc["now"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("now"),
-        F.greatest(acc["most"], acc["now"] + F.when(c == "{", 1).otherwise(0)).alias("most")), lambda acc: acc["most"])
-
+# One JSON token: a key with its colon, a value or a closing bracket with the comma after it, an opening bracket.
+JSON_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"[:,]?|[{\[]|[}\]],?|[^\s"{}\[\],:]++,?'
+TOKENS_AT_ONCE = 64  # a fold copies what it has gathered at every step, so it gathers from short runs of tokens
+MEMBERS = "array<struct<key:string,value:string>>"
+
+
+def _bare(token: Column) -> Column:
+    """The text of a JSON string without quotes; escapes are decoded where there are any."""
+    decoded = F.try_variant_get(F.try_parse_json(token), "$", "string")
+    return F.when(F.instr(token, "\\") > 0, decoded).otherwise(F.substring(token, F.lit(2), F.length(token) - 2))
+
+
+def _walk(state: Column, token: Column) -> Column:
+    """Where a walk over JSON tokens stands after one more: open keys, last key, open brackets of an array value."""
+    first = F.left(token, F.lit(1))
+    in_array = state["brackets"] > 0
+    brackets = state["brackets"] + F.when(first.isin("[", "{"), 1).when(first.isin("]", "}"), -1).otherwise(0)
+    is_key = ~in_array & (first == '"') & token.endswith(":")
+    # the outermost object has no key
+    stack = F.when(in_array, state["stack"]).when(
+        (first == "{") & state["key"].isNotNull(), F.array_append(state["stack"], state["key"])).when(
+        first == "}", F.slice(state["stack"], F.lit(1), F.greatest(F.size(state["stack"]) - 1, F.lit(0)))).otherwise(
+        state["stack"])
+    return F.struct(
+        (state["at"] + 1).alias("at"),
+        F.when(in_array | (first != "["), state["opened"]).otherwise(state["at"]).alias("opened"),
+        F.when(in_array, brackets).when(first == "[", 1).otherwise(0).alias("brackets"), stack.alias("stack"),
+        F.when(is_key, _bare(F.left(token, F.length(token) - 1))).otherwise(state["key"]).alias("key"))
+
+
+def _member(state: Column, token: Column, tokens: Column, separator: str) -> Column:
+    """The member that a token completes, a struct of path and value; null if it completes none."""
+    first = F.left(token, F.lit(1))
+    in_array = state["brackets"] > 0
+    closes = in_array & (state["brackets"] == 1) & first.isin("]", "}")
+    scalar = ~in_array & ~first.isin("{", "}", "[") & ~((first == '"') & token.endswith(":"))
+    array = F.array_join(F.slice(tokens, state["opened"], state["at"] - state["opened"] + 1), "")
+    value = F.rtrim(F.when(in_array, array).otherwise(token), F.lit(","))
+    worded = F.when(in_array, F.nullif(value, F.lit("[]"))).when(first == '"', _bare(value)).otherwise(
+        F.nullif(value, F.lit("null")))
+    path = F.array_join(F.array_append(state["stack"], state["key"]), separator)
+    return F.when(closes | scalar, F.struct(path.alias("key"), worded.alias("value")))
+
+
+def flatten_object(text: Column, separator: str = ".") -> Column:
+    """Nested members of a JSON object as one map with dotted keys, whatever the depth.
+
+    Arrays are values. Null values and empty arrays are null, empty objects are left out, and text that
+    holds no object gives null. A fold walks the tokens with a stack of keys, so neither the plan nor its
+    analysis depends on the data. Long texts are walked twice: first for where the walk stands at the start of each
+    run of tokens, then run by run for the members. Spark's parser reads at most 1,000 levels; deeper text gives null.
+    """
+    start = F.struct(
+        F.lit(1).alias("at"), F.lit(0).alias("opened"), F.lit(0).alias("brackets"),
+        F.array().cast("array<string>").alias("stack"), F.lit(None).cast("string").alias("key"))
 
-def flatten_object(event: Column, depth: int, separator: str = ".") -> Column:
-    """Nested members as one map with dotted keys, for objects of at most ``depth`` levels below the first.
+    def members(tokens: Column) -> Column:
+        run = lambda i: F.slice(tokens, i * TOKENS_AT_ONCE + 1, F.lit(TOKENS_AT_ONCE))
 
-    Arrays are values. Null values and empty arrays and objects are null.
-    """
-    def entry(key: Column, value: Column) -> Column:
-        return F.struct(key.alias("key"), value.alias("value"))
+        def gather(acc: Column, token: Column) -> Column:
+            found = _member(acc["state"], token, tokens, separator)
+            return F.struct(
+                _walk(acc["state"], token).alias("state"),
+                F.when(found.isNull(), acc["found"]).otherwise(F.array_append(acc["found"], found)).alias("found"))
 
-    def opened(outer: Column) -> Column:
-        inner = F.map_entries(js.fields(outer["value"]))
-        nested = F.transform(inner, lambda x: entry(F.concat(outer["key"], F.lit(separator), x["key"]), x["value"]))
-        return F.when(F.size(inner) > 0, nested).otherwise(F.array(entry(outer["key"], outer["value"])))
+        def gathered(part: Column, state: Column) -> Column:
+            begin = F.struct(state.alias("state"), F.array().cast(MEMBERS).alias("found"))
+            return F.aggregate(part, begin, gather, lambda acc: acc["found"])
 
-    entries = F.transform(F.map_entries(js.fields(event)), lambda e: entry(e["key"], e["value"]))
-    for _ in range(depth):
-        entries = F.flatten(F.transform(entries, opened))
+        def pass_run(acc: Column, i: Column) -> Column:
+            return F.struct(
+                F.aggregate(run(i), acc["state"], _walk).alias("state"), F.array_append(acc["before"], acc["state"]).alias("before"))
 
-    def worded(value: Column) -> Column:
-        kind, text = js.type_name(value), js.text_of(value)
-        return F.when((kind != "null") & ~(kind.isin("array", "object") & text.isin("[]", "{}")), text)
+        runs = F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / TOKENS_AT_ONCE).cast("int"))
+        states = F.aggregate(
+            runs, F.struct(start.alias("state"), F.slice(F.array(start), F.lit(1), F.lit(0)).alias("before")), pass_run, lambda acc: acc["before"])
+        long = F.flatten(F.zip_with(runs, states, lambda i, state: gathered(run(i), state)))
+        return F.map_from_entries(F.when(F.size(tokens) <= TOKENS_AT_ONCE, gathered(tokens, start)).otherwise(long))
 
-    return F.map_from_entries(F.transform(entries, lambda e: entry(e["key"], worded(e["value"]))))
+    # one spelling: no white space, no repeated keys, numbers without trailing zeros
+    whole = F.to_json(F.try_parse_json(text))
+    # arrays of one name values that are used more than once
+    found = F.transform(F.array(whole), lambda w: F.when(
+        w.startswith("{"), F.regexp_extract_all(w, F.lit(JSON_TOKEN), F.lit(0))))
+    return F.transform(found, lambda tokens: F.when(tokens.isNotNull(), members(tokens)))[0]
 
 
 def compact_map(pairs: Column) -> Column:
@@ -484,15 +538,9 @@ def merge_maps(to: Column, source: Column) -> Column:
 
 def compact_flatten(
     events: DataFrame, col: str = "event_json", drop: Sequence[str] = (), merge: Column | None = None,
-    depth: int | None = None,
 ) -> DataFrame:
-    """Adds ``flat``: the event flattened to dotted keys, merged, compacted, less some keys.
-
-    Without ``depth`` a pass over the events measures how deep they nest, so that all levels are flattened.
-    """
-    if depth is None:
-        depth = events.agg(F.max(nesting(F.col(col)))).first()[0] or 1
-    flat = flatten_object(F.try_parse_json(F.col(col)), depth)
+    """Adds ``flat``: the event flattened to dotted keys, merged, compacted, less some keys."""
+    flat = flatten_object(F.col(col))
     if merge is not None:
         flat = merge_maps(flat, merge)
     flat = compact_map(flat)

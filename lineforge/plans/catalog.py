@@ -414,6 +414,11 @@ def compact_flatten(v: Views) -> DataFrame:
     return flat.select("event_id", map_text(F.col("flat")).alias("flat"))
 
 
+@query
+def flatten_deep(v: Views) -> DataFrame:
+    return parsing.compact_flatten(v.deep_events()).select("event_id", map_text(F.col("flat")).alias("flat"))
+
+
 # ---- audits ------------------------------------------------------------------------------------
 
 @query
@@ -619,7 +624,8 @@ def stream_route(v: Views) -> DataFrame:
 @query
 def stream_alerts(v: Views) -> DataFrame:
     samples = _event_stream(v).selectExpr(f"concat('node', {SPARK.s('user_id % 3')}) AS instance", "ts", "value")
-    states = streams.stream_alerts(samples, ["instance"], F.col("value") > 5, for_s=1800, max_gap_s=3600)
+    states = streams.stream_alerts(
+        samples, ["instance"], F.col("value") > 15, for_s=900, step_s=STEP_S, lookback_s=LOOKBACK_S)
     return _drained(v, states, "stream-alerts")
 
 

@@ -10,7 +10,7 @@ from lineforge.functions import text as tx
 from lineforge.operators import alerts, audit, ocsf, parsing, profiling
 from lineforge.plans import catalog
 from lineforge.plans.views import (
-    CENTS, DUCK, FORMATS, HEALTH_FIELDS, LEVEL, METHOD, PRI, PROGRAMS, REASON, STAT_FIELDS, STATUS, amount, client_ip,
+    CENTS, DUCK, FORMATS, HEALTH_FIELDS, LEVEL, LEVELS as DEPTH, METHOD, PRI, PROGRAMS, REASON, STAT_FIELDS, STATUS, amount, client_ip,
     event_columns, exposition_columns, line_columns, metric_samples_sql, pick, program_columns, reply_columns,
     run_columns, screen_text_columns, select_sql, state_columns,
 )
@@ -352,6 +352,9 @@ ORACLES["compact_flatten"] = f"""SELECT event_id, CASE event_id % 4 WHEN 0 THEN
   || 'user_id=app' || user_id % 3 || CASE WHEN event_id % 4 = 1 THEN ';value=' || regexp_replace(CAST({CENTS} / 100.0::DOUBLE AS VARCHAR), '[.]0$', '') ELSE '' END AS flat
 FROM events"""
 
+ORACLES["flatten_deep"] = f"""SELECT event_id, concat(path, 'k=', event_type, ';', path, 'tags=["a",{{"b":2}}]') AS flat
+FROM (SELECT *, repeat('k.', {DEPTH} - 1) AS path FROM events)"""
+
 # ---- audits: the defects each program was rendered with ------------------------------------------
 
 ISSUES = "issues(k, line, severity, rule) AS (VALUES " + ", ".join(
@@ -531,9 +534,6 @@ asked AS (SELECT line_id, CASE WHEN line_id % 11 = 7 THEN 'unseen shape: ' || ra
 looked AS (SELECT line_id, substr(sha256({skeleton_of('raw')}), 1, 16) AS signature FROM asked)
 SELECT line_id, CASE WHEN t.id IS NULL THEN 'needs_parser' ELSE 'cached' END AS action, l.signature, t.id AS parser_id,
   coalesce(n, 0) AS variants FROM looked l LEFT JOIN top t USING (signature) LEFT JOIN sizes USING (signature)"""
-ORACLES["stream_alerts"] = f"""WITH {LEVELS},
-marked AS (SELECT *, value > 5 AS active, coalesce(NOT (lag(value) OVER s > 5) OR epoch_us(ts) - epoch_us(lag(ts) OVER s) > 3600000000, true) AS fresh
-  FROM levels WINDOW s AS (PARTITION BY instance ORDER BY ts)),
-dated AS (SELECT *, max(CASE WHEN active AND fresh THEN ts END) OVER (PARTITION BY instance ORDER BY ts) AS started FROM marked)
-SELECT instance, ts, value, CASE WHEN NOT active THEN 'inactive' WHEN epoch_us(ts) - epoch_us(started) >= 1800000000 THEN 'firing'
-  ELSE 'pending' END AS state, CASE WHEN active THEN started END AS active_since FROM dated"""
+# The grid times that the watermark of ten minutes has passed.
+ORACLES["stream_alerts"] = f"""SELECT s.* FROM ({ORACLES["alert_states"]}) s, (SELECT max(epoch_us(ts)) AS us FROM events) e
+WHERE epoch_us(s.ts) // 1000 <= (e.us - 1) // 1000 - 600000"""

@@ -286,6 +286,15 @@ def with_lines(events: DataFrame) -> DataFrame:
     return events.selectExpr(*line_columns(SPARK), "ts")
 
 
+# Every hundredth event nests up to 1,000 objects, the others up to seven.
+LEVELS = "CAST(CASE WHEN event_id % 100 = 7 THEN event_id * 7 % 1000 + 1 ELSE event_id % 7 + 1 END AS INT)"
+
+
+def deep_columns(d: Dialect) -> list[str]:
+    nested = f"""concat(repeat('{{"k":', {LEVELS} - 1), '{{"k":"', event_type, '","tags":["a", {{"b":2}}]}}', repeat('}}', {LEVELS} - 1))"""
+    return ["event_id", f"{nested} AS event_json"]
+
+
 class Views:
     """The rendered views of one table folder."""
 
@@ -308,6 +317,9 @@ class Views:
     def raw_events(self) -> DataFrame:
         return self._events(event_columns(SPARK))
 
+    def deep_events(self) -> DataFrame:
+        return self._events(deep_columns(SPARK))
+
     def screen_text(self) -> DataFrame:
         return self.table("documents").selectExpr(*screen_text_columns(SPARK))
 

@@ -1,5 +1,9 @@
 """Rows that do not fit, odd key-value text, coercion, flattening, routing."""
 
+import json
+
+import pytest
+
 from pyspark.sql import functions as F
 
 from lineforge.operators import parsing
@@ -74,6 +78,39 @@ def test_flatten_and_compact(spark):
     assert row["flat"] == {"a.b.c.d.e.f.g": "1", "l": '[1,{"x":2}]', "k": "v", "s": "[]"}
 
 
+def nested(levels):
+    return '{"k":' * levels + "1" + "}" * levels
+
+
+@pytest.mark.parametrize("text, flat", [
+    (nested(60), {".".join("k" * 60): "1"}),
+    (nested(1000), {".".join("k" * 1000): "1"}),
+    (nested(1001), None),  # more than Spark's parser reads
+    ("[1]", None), ("3", None), ("no json", None), ("", None), (None, None),
+    ("{}", {}), ('{"a":{}}', {}),
+    ('{"a":1.50,"b":1.0,"a":{"c":true}}', {"a.c": "true", "b": "1"}),  # the last of repeated keys
+    (r'{"q\"u":{"x,":"a,\"b:"},"z":[[1.50],"],"],"t":"\\","u":"\u00e9"}',
+     {'q"u.x,': 'a,"b:', "z": '[[1.5],"],"]', "t": "\\", "u": "é"}),
+])
+def test_flatten_any_depth(spark, text, flat):
+    assert parsing.compact_flatten(table(spark, [text], "event_json")).first()["flat"] == flat
+
+
+def test_flatten_wide_and_long(spark):
+    """Members on both sides of the runs that a walk is cut into, and arrays across them."""
+    many = {f"k{i}": {"x": str(i), "l": list(range(i % 150))} for i in range(700)}
+    row = parsing.compact_flatten(table(spark, [json.dumps(many)], "event_json")).first()["flat"]
+    wanted = {f"k{i}.x": str(i) for i in range(700)} | {
+        f"k{i}.l": json.dumps(v["l"], separators=(",", ":")) for i, v in enumerate(many.values()) if v["l"]}
+    assert row == wanted
+
+
+def test_flatten_plan_does_not_read_the_data(spark):
+    """Nothing runs while the plan is made, so it works on streams, and its size is that of the expression."""
+    stream = spark.readStream.format("rate").load().selectExpr("cast(value as string) AS event_json")
+    assert parsing.compact_flatten(stream).isStreaming
+
+
 def test_epoch_out_of_range(spark):
     rows = parsing.coerce_fields(table(spark, ["99999999999999", "0"], "t"), {"t": "epoch"}).collect()
     assert [r["ok"] for r in rows] == [False, True] and rows[0]["t"] is None
