@@ -74,17 +74,30 @@ def counter_rate(
     """
     timed = samples.withColumn("__us", F.unix_micros("ts"))
     split = bucketed(timed, bucket_s or _bucket_size(window_s), before_s=window_s)
-    series = Window.partitionBy(*by, "__bucket").orderBy("__us")
-    trailing = series.rangeBetween(-window_s * MICROS, 0)
-    before = F.lag(value).over(series)
+    ordered = Window.partitionBy(*by, "__bucket").orderBy("__us", value)
+    before = F.lag(value).over(ordered)
     delta = F.when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before)
     stepped = split.withColumn("__delta", F.coalesce(delta, F.lit(0.0)))
+    # Running sums: up to this row, and up to the last row of its time.
+    peers = Window.partitionBy(*by, "__bucket").orderBy("__us").rangeBetween(Window.unboundedPreceding, 0)
+    summed = stepped.withColumns({
+        "__sum": F.sum("__delta").over(ordered.rowsBetween(Window.unboundedPreceding, 0)),
+        "__all": F.sum("__delta").over(peers)})
+    # A probe at each window's left edge meets the first sample in the window, walking back in time. A trailing
+    # frame would look at every sample of the window anew for each row.
+    probe = lambda at, is_probe: F.struct(at.alias("at"), F.lit(is_probe).alias("is_probe"))
+    points = F.when(F.col("__home"), F.array(
+        probe(F.col("__us"), False), probe(F.col("__us") - window_s * MICROS, True))).otherwise(
+        F.array(probe(F.col("__us"), False)))
+    probed = summed.select(*by, "ts", "__bucket", "__us", "__sum", "__all", F.inline(points))
+    back = Window.partitionBy(*by, "__bucket").orderBy(F.desc("at"), "is_probe", F.desc("__sum")).rowsBetween(
+        Window.unboundedPreceding, 0)
+    first = F.last(F.when(~F.col("is_probe"), F.struct("__us", "__sum")), ignorenulls=True).over(back)
+    rated = probed.withColumn("__first", first).filter("is_probe")
     # The first sample's own step lies outside the window.
-    rise = F.sum("__delta").over(trailing) - F.first("__delta").over(trailing)
-    span = F.col("__us") - F.first("__us").over(trailing)
-    rated = stepped.withColumns({"__rise": rise, "__span": span})
-    return rated.filter(F.col("__home") & (F.col("__span") > 0)).select(
-        *by, "ts", (F.col("__rise") / (F.col("__span") / MICROS)).alias("rate"))
+    span = F.col("__us") - F.col("__first.__us")
+    return rated.filter(span > 0).select(
+        *by, "ts", ((F.col("__all") - F.col("__first.__sum")) / (span / MICROS)).alias("rate"))
 
 
 def grid_rate(
@@ -198,13 +211,15 @@ def eval_grid(
 
     Samples first shrink to the last one per series and step, combined map-side. From there on a
     series has at most one row per step however many samples it had, so the window over a series is
-    bounded by time, not by data. Each survivor covers the grid times up to the next survivor.
+    bounded by time, not by data. Each survivor covers the grid times up to the next survivor. Of samples
+    of one time the largest value counts.
     """
     step = step_s * MICROS
     timed = series.withColumn("__us", F.unix_micros("ts"))
     slot = F.ceil(F.col("__us") / F.lit(step)).cast("long")
     last = timed.withColumn("__slot", slot).groupBy(*by, "__slot").agg(
-        F.max("__us").alias("__at"), F.max_by(value, "__us").alias(value))
+        F.max(F.struct("__us", value)).alias("__last")).select(
+        *by, "__slot", F.col("__last.__us").alias("__at"), F.col(f"__last.{value}").alias(value))
     reach = F.floor((F.col("__at") + lookback_s * MICROS) / F.lit(step)).cast("long")
     following = F.lead("__slot").over(Window.partitionBy(*by).orderBy("__slot")) - 1
     end = F.least(reach, F.coalesce(following, reach))

@@ -50,6 +50,25 @@ def test_rate_equals_python(spark, counter):
         assert {r["ts"]: pytest.approx(r["rate"]) for r in rows} == wanted
 
 
+def test_dense_series_is_linear(spark):
+    """200,000 samples in one window: a sum anew for each row would take 10^10 steps."""
+    n = 200_000
+    dense = spark.range(n).selectExpr(
+        "timestamp_micros(1704067200000000 + id * 1000) AS ts", "'i' AS instance", "cast(id % 1000 as double) AS value")
+    got = metrics.counter_rate(dense, ["instance"], 300).orderBy(F.desc("ts")).limit(1).first()
+    resets, steps = n // 1000 - 1, n - n // 1000
+    assert got["rate"] == pytest.approx((steps + 0 * resets) / ((n - 1) / 1000))
+
+
+def test_samples_of_one_time(spark):
+    """Equal times: a rate counts them all, the grid takes the largest value."""
+    twice = series(spark, [(0, 1), (0, 3), (10, 4), (10, 2), (20, 7)])
+    rates = {r["ts"]: r["rate"] for r in metrics.counter_rate(twice, ["instance"], 60).collect()}
+    assert rates[at(20)] == pytest.approx((2 + 2 + 2 + 3) / 20)
+    grid = metrics.eval_grid(twice, ["instance"], 10, 5).collect()
+    assert {r["ts"]: r["value"] for r in grid} == {at(0): 3, at(10): 4, at(20): 7}
+
+
 @pytest.mark.parametrize("extrapolate", [False, True])
 def test_grid_rate_equals_python(spark, counter, extrapolate):
     wanted = {}
