@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineforge.functions import text as tx
+from lineforge.operators import ranking
+from lineforge.session import materialize
 
 
 def line_skeleton(lines: DataFrame, col: str = "raw") -> DataFrame:
@@ -23,11 +25,16 @@ def signature_rollup(
 ) -> DataFrame:
     """Lines per signature with the first of them as sample.
 
-    Groups on the 16-hex signature, not on the skeleton, and both aggregates combine map-side, so
-    a shape that makes up a third of all lines still leaves each map task as one row.
+    Counts and first ids are numbers, so they combine in hash maps, map-side: a shape that makes up a third of
+    all lines leaves each map task as one row. The sample texts are fetched afterwards, for the first ids only: these are
+    written first, so that Spark knows their size and broadcasts them, or a Bloom filter of them, to the lines.
     """
-    return (
-        line_signature(lines, col)
-        .groupBy(*group, "signature")
-        .agg(F.count("*").alias("lines"), F.min(order).alias("first_id"), F.min_by(col, order).alias("sample"))
-    )
+    keys = [*group, "signature"]
+    counts = line_signature(lines, col).groupBy(*keys).agg(F.count("*").alias("lines"), F.min(order).alias(order))
+    counts = materialize(counts, "signatures").filter("lines > 0")  # a filter on its side lets Spark add a Bloom filter
+    wanted = counts.withColumnRenamed("signature", "__wanted")
+    fetched = ranking.join_on(lines.select(*group, order, col), wanted, [*group, order])
+    # lines that share an id are told apart by their signature
+    own = line_signature(fetched, col).filter(F.col("signature") == F.col("__wanted"))
+    return own.groupBy(*keys, "lines", F.col(order).alias("first_id")).agg(
+        F.array_min(F.collect_set(col)).alias("sample"))

@@ -21,11 +21,14 @@ PARSER_COLUMNS = [
 ]
 
 
-def _next_ids(existing: DataFrame, new: DataFrame, order: str) -> DataFrame:
-    """New rows with ``id`` counting on from the largest existing one, in request order."""
-    numbered = ranking.positions(new, order).drop("total")
+def _next_ids(existing: DataFrame, new: DataFrame, order: str, keys: list[str]) -> DataFrame:
+    """New rows with ``id`` counting on from the largest existing one, in request order.
+
+    Only ``keys``, which name a new row, and ``order`` are ranked.
+    """
+    numbered = ranking.positions(new.select(*keys, order), order).drop("total", order)
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("top")).scalar()
-    return numbered.withColumn("id", F.col("position") + top).drop("position")
+    return ranking.join_on(new, numbered, keys).withColumn("id", F.col("position") + top).drop("position")
 
 
 def _never_null(name: str) -> Column:
@@ -39,13 +42,16 @@ def _never_null(name: str) -> Column:
 
 def source_upsert(sources: DataFrame, requests: DataFrame) -> DataFrame:
     """Insert or ignore by name. Requests: seq, name, description, at; the first per name counts."""
-    first = requests.groupBy("name").agg(
-        F.min("seq").alias("seq"),
-        F.coalesce(F.min_by("description", "seq"), F.lit("")).alias("description"),
-        F.min_by("at", "seq").alias("created_at"))
-    fresh = first.join(sources.select("name"), "name", "left_anti").withColumn("updated_at", F.col("created_at"))
-    added = _next_ids(sources, materialize(fresh, "new-sources"), "seq")
-    return sources.select(*SOURCE_COLUMNS).unionByName(added.select(*SOURCE_COLUMNS))
+    # The first request of each name by numbers alone; its text is fetched for the new names.
+    first = requests.groupBy("name").agg(F.min("seq").alias("seq"), F.min_by("at", "seq").alias("created_at"))
+    # Written, so that Spark knows how few they are when it joins the texts.
+    fresh = materialize(first.join(sources.select("name"), "name", "left_anti"), "new-sources")
+    texts = ranking.join_on(requests.select("name", "seq", "description"), fresh, ["name", "seq"])
+    text = F.array_min(F.collect_set("description"))  # one, unless requests share a number
+    added = _next_ids(sources, texts.groupBy("name", "seq", "created_at").agg(
+        F.coalesce(text, F.lit("")).alias("description")), "seq", ["name"])
+    return sources.select(*SOURCE_COLUMNS).unionByName(
+        added.withColumn("updated_at", F.col("created_at")).select(*SOURCE_COLUMNS))
 
 
 def source_ids(sources: DataFrame, requests: DataFrame) -> DataFrame:
@@ -117,12 +123,16 @@ def parser_upsert(parsers: DataFrame, requests: DataFrame) -> DataFrame:
     sample_log, label, ocsf_class, source_id, at.
     """
     changed = ["vrl_code", "sample_log", "label", "ocsf_class", "source_id", "at"]
-    last = requests.groupBy("signature", "variant").agg(
-        F.min("seq").alias("first_seq"), F.min_by("at", "seq").alias("first_at"),
-        F.max_by(F.struct(*changed), "seq").alias("new"))
+    keys = ["signature", "variant"]
+    # The first and last request of each key by numbers alone; the texts are fetched for the last ones.
+    ends = materialize(requests.groupBy(*keys).agg(
+        F.min("seq").alias("first_seq"), F.min_by("at", "seq").alias("first_at"), F.max("seq").alias("seq")), "changed-keys")
+    new = F.array_max(F.collect_set(F.struct(*changed)))  # one, unless requests share a number
+    last = ranking.join_on(requests.select(*keys, "seq", *changed), ends, [*keys, "seq"]).groupBy(
+        *keys, "first_seq", "first_at").agg(new.alias("new"))
     known = parsers.select("signature", "variant", F.col("id").alias("known_id"))
     # One row per changed key; read twice below, so the requests are read once.
-    changes = materialize(last.join(known, ["signature", "variant"], "left"), "parser-changes")
+    changes = materialize(last.join(known, keys, "left"), "parser-changes")
     updates = changes.filter("known_id IS NOT NULL").select("known_id", "new")
     found = F.col("known_id").isNotNull()
 
@@ -136,7 +146,7 @@ def parser_upsert(parsers: DataFrame, requests: DataFrame) -> DataFrame:
     inserted = changes.filter("known_id IS NULL").select(
         "first_seq", "signature", "variant", "new.*", F.lit(1).cast("long").alias("hits"),
         F.col("first_at").alias("created_at"), F.col("new.at").alias("updated_at"))
-    return kept.select(*PARSER_COLUMNS).unionByName(_next_ids(parsers, inserted, "first_seq").select(*PARSER_COLUMNS))
+    return kept.select(*PARSER_COLUMNS).unionByName(_next_ids(parsers, inserted, "first_seq", keys).select(*PARSER_COLUMNS))
 
 
 def parser_list(parsers: DataFrame, sources: DataFrame, source_id: int | None = None) -> DataFrame:
@@ -183,8 +193,9 @@ def route_lines(lines: DataFrame, parsers: DataFrame, col: str = "raw", dialect:
     screened = cleaned.withColumn("__matched", tx.screen(F.col("__clean"), dialect))
     empty, blocked = F.col("__clean") == "", F.col("__matched").isNotNull()
     signed = screened.withColumn("signature", F.when(~empty & ~blocked, tx.signature(F.col("__clean"))))
-    # Lines without a signature get a key of their own, so that they do not share one partition.
-    key = F.coalesce("signature", F.concat(F.lit("-"), F.rand(7)))
+    # Lines without a signature get a key of their own from all their columns, so that they do not share one
+    # partition. It depends on the row alone: a task that runs again sends every line where it went before.
+    key = F.coalesce("signature", F.concat(F.lit("-"), F.xxhash64(*lines.columns).cast("string")))
     joined = signed.withColumn("__key", key).join(top, F.col("__key") == F.col("__sig"), "left")
     cached = F.col("parser_id").isNotNull()
     label = F.when(F.col("__label") != "", F.concat(F.lit(" ["), F.col("__label"), F.lit("]"))).otherwise("")

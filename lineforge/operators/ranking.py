@@ -1,9 +1,12 @@
 """Exact positions in a total order without sorting a whole group in one task.
 
-A plain ``row_number`` puts every row of a group into one task. Here a group's order range is cut
-into buckets, and each bucket's own range once more, so that neither a hot group nor clustered
-order values pile up. Sizes are counted with map-side combine, a running sum over the (bounded
-number of) sizes gives each bucket's offset, and rows are numbered inside their bucket only.
+A plain ``row_number`` puts every row of a group into one task. Here the order is cut at quantiles, which a mergeable
+sketch gives in one pass with map-side combine, and each range once more at its own quantiles. A range holds a
+65,536th of all rows or so however the order values cluster, whatever the groups. The rows of a group in a range are counted,
+a running sum over these (at most 65,536 a group) counts gives the offset of each range, and rows are numbered inside their
+range only. Equal order values stay in one range.
+
+Ranking works on the columns of the order alone; ``evenly_spaced`` fetches the few rows that it wants afterwards.
 """
 
 from __future__ import annotations
@@ -13,8 +16,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-COARSE, FINE = 1024, 256
-BUCKET = ["__coarse", "__fine"]
+from lineforge.session import materialize
+
+BITS = 8  # 256 ranges per level
+SKETCH = 20  # accuracy of the sketch, in errors of one part of this many of a range
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -27,61 +32,73 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame
     return left.join(renamed, condition, "inner").drop(*[f"__{k}" for k in keys])
 
 
-def _cut(order: str, parts: int) -> Column:
-    """Which of ``parts`` equal slices of ``__lo`` to ``__hi`` a row falls into."""
-    width = (F.col("__hi") - F.col("__lo")) / F.lit(parts)
-    return F.when(width > 0, F.floor((F.col(order) - F.col("__lo")) / width)).otherwise(0).cast("int")
-
-
-def _bucketed(df: DataFrame, group: list[str], order: str, coarse: int, fine: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with their bucket, and per (group, bucket) the offset, size and group total."""
-    ends = [F.min(order).alias("__lo"), F.max(order).alias("__hi")]
-    if group:
-        rows = join_on(df, df.groupBy(*group).agg(*ends), group)
-    else:
-        bounds = df.agg(F.struct(*ends).alias("b")).scalar()
-        rows = df.withColumn("__b", bounds).select(*df.columns, "__b.__lo", "__b.__hi")
-    rows = rows.withColumn("__coarse", _cut(order, coarse)).drop("__lo", "__hi")
-    rows = join_on(rows, rows.groupBy(*group, "__coarse").agg(*ends), [*group, "__coarse"])
-    rows = rows.withColumn("__fine", _cut(order, fine)).drop("__lo", "__hi")
-    sizes = rows.groupBy(*group, "__coarse", "__fine").agg(F.count("*").alias("__n"))
-    running = Window.partitionBy(*group).orderBy("__coarse", "__fine")
+def _quantiles(order: str, bits: int) -> Column:
+    parts = 1 << bits
+    return F.percentile_approx(order, [i / parts for i in range(1, parts)], SKETCH * parts)
+
+
+def _range_of(order: str, cuts: Column, bits: int) -> Column:
+    """How many of the sorted cuts are below the value, by halving; null values come first."""
+    halves = F.array(*[F.lit(1 << k) for k in reversed(range(bits))])
+    return F.aggregate(halves, F.lit(0), lambda low, half: low + F.when(
+        F.get(cuts, low + half - 1) < F.col(order), half).otherwise(0))
+
+
+def _ranged(df: DataFrame, group: list[str], order: str, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their ``__range``, and per (group, range) the offset, size and group total."""
+    cuts = df.agg(_quantiles(order, bits).alias("c")).scalar()
+    coarse = df.withColumn("__cuts", cuts).withColumn("__coarse", _range_of(order, F.col("__cuts"), bits)).drop("__cuts")
+    inner = coarse.groupBy("__coarse").agg(_quantiles(order, bits).alias("__cuts"))
+    fine = join_on(coarse, inner, ["__coarse"])
+    number = F.shiftleft("__coarse", bits) + _range_of(order, F.col("__cuts"), bits)
+    rows = fine.withColumn("__range", number).drop("__coarse", "__cuts")
+    sizes = rows.groupBy(*group, "__range").agg(F.count("*").alias("__n"))
+    running = Window.partitionBy(*group).orderBy("__range")
     sizes = sizes.withColumn("__before", F.sum("__n").over(running) - F.col("__n"))
     return rows, sizes.withColumn("total", F.sum("__n").over(Window.partitionBy(*group)))
 
 
 def _number(rows: DataFrame, kept: DataFrame, group: list[str], order: str, ties: Sequence[str]) -> DataFrame:
-    keys = [*group, *BUCKET]
+    keys = [*group, "__range"]
     inside = Window.partitionBy(*keys).orderBy(order, *ties)
     return join_on(rows, kept, keys).withColumn("position", F.col("__before") + F.row_number().over(inside))
 
 
 def positions(
-    df: DataFrame, order: str, group: Sequence[str] = (), ties: Sequence[str] = (), coarse: int = COARSE,
-    fine: int = FINE,
+    df: DataFrame, order: str, group: Sequence[str] = (), ties: Sequence[str] = (), bits: int = BITS,
 ) -> DataFrame:
-    """Adds ``position`` (from 1, per group by a numeric ``order``) and the group's ``total``."""
+    """Adds ``position`` (from 1, per group by a numeric ``order``) and the group's ``total``.
+
+    All columns travel with the rows: hand over the narrow ones and join the others back.
+    """
     group = list(group)
-    rows, sizes = _bucketed(df, group, order, coarse, fine)
-    return _number(rows, sizes, group, order, ties).drop(*BUCKET, "__before", "__n")
+    rows, sizes = _ranged(df, group, order, bits)
+    return _number(rows, sizes, group, order, ties).drop("__range", "__before", "__n")
 
 
 def evenly_spaced(
-    df: DataFrame, order: str, group: Sequence[str] = (), size: int = 15, ties: Sequence[str] = (),
-    coarse: int = COARSE, fine: int = FINE,
+    df: DataFrame, order: str, group: Sequence[str] = (), size: int = 15, ties: Sequence[str] = (), bits: int = BITS,
 ) -> DataFrame:
     """The rows at positions 1, 1 + step, 1 + 2*step, ... (at most ``size``) of each group.
 
-    ``step`` is ``max(1, total // size)``. Buckets that hold no wanted position are dropped before
-    any row is sorted: of a group at most ``size`` buckets are left.
+    ``step`` is ``max(1, total // size)``. Ranges that hold no wanted position are dropped before any row is
+    sorted: of a group at most ``size`` are left. The rows are then fetched by group, order and ties; of rows
+    equal in these, as many as are wanted. The places are written first, so that their size is known when Spark
+    picks the join: as few as they mostly are, they are broadcast and the rows stay where they are.
     """
-    group = list(group)
-    rows, sizes = _bucketed(df, group, order, coarse, fine)
+    group, ties = list(group), list(ties)
+    keys = list(dict.fromkeys([*group, order, *ties]))
+    rows, sizes = _ranged(df.select(*keys), group, order, bits)
     step = F.greatest(F.lit(1), F.floor(F.col("total") / size)).cast("long")
     first_index = F.ceil(F.col("__before") / F.col("step"))
     holds_one = (first_index < size) & (first_index * F.col("step") < F.col("__before") + F.col("__n"))
     kept = sizes.withColumn("step", step).filter(holds_one)
-    numbered = _number(rows, kept, group, order, ties)
     offset = F.col("position") - 1
-    wanted = (offset % F.col("step") == 0) & (offset / F.col("step") < size)
-    return numbered.filter(wanted).drop(*BUCKET, "__before", "__n", "step")
+    wanted = _number(rows, kept, group, order, ties).filter(
+        (offset % F.col("step") == 0) & (offset / F.col("step") < size))
+    # at most ``size`` places for rows of equal keys
+    places = materialize(wanted.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("position", "total"))).alias("__places")), "places").filter("size(__places) > 0")
+    copy = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+    fetched = join_on(df, places, keys).withColumn("__place", F.get("__places", copy - 1))
+    return fetched.filter("__place IS NOT NULL").select(*df.columns, "__place.position", "__place.total")

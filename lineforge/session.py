@@ -21,6 +21,8 @@ RUNTIME_CONF = {
     # Split hot join keys even where the next step then needs a shuffle of its own.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Keys too many to broadcast still thin out the other side of a shuffled join.
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g",
     # Streaming state outside the heap; state processors with timers need it.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

@@ -130,3 +130,25 @@ def test_routing(spark):
     assert rows[1]["message"] == "Cache hit: parser #3 (2 variants) (used 5x)"
     assert rows[3]["message"] == "Injection detected: ignore previous instructions"
     assert len(rows) == 5
+
+
+def test_routing_key_depends_on_the_row_alone(spark):
+    """Blank lines are dealt over the partitions, the same way whenever a task runs again."""
+    lines = spark.range(2000).selectExpr("id AS line_id", "'' AS raw")
+    routed = library.route_lines(lines, parsers(spark))
+    assert "rand(" not in routed._jdf.queryExecution().optimizedPlan().toString()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        dealt = library.route_lines(lines, parsers(spark)).groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in dealt) == 2000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_requests_that_share_a_number(spark):
+    """One row per key whatever the requests."""
+    twice = spark.createDataFrame(REQUEST_ROWS + REQUEST_ROWS, REQUESTS)
+    once = spark.createDataFrame(REQUEST_ROWS, REQUESTS)
+    assert sorted(map(repr, library.parser_upsert(parsers(spark), twice).collect())) == sorted(
+        map(repr, library.parser_upsert(parsers(spark), once).collect()))

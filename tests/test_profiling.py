@@ -2,12 +2,14 @@
 
 import json
 import random
+import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from lineforge.operators import profiling, ranking
+from lineforge.session import materialize
 
 EVENTS = [
     {"a": 1, "b": "x"}, {"a": 1.5, "b": None}, {"a": True, "c": [1]}, {"a": {"k": 1}}, {}, [1, 2], "text", None,
@@ -63,7 +65,7 @@ def test_positions_with_outliers_and_hot_group(spark):
     orders = rng.sample(range(20_000), 3_000) + [10**15]
     data = [(o, "hot" if rng.random() < 0.7 else rng.choice(["a", None])) for o in orders]
     rows = spark.createDataFrame(data, "o long, g string")
-    got = {(r["g"], r["o"]): r["position"] for r in ranking.positions(rows, "o", ["g"], coarse=16, fine=8).collect()}
+    got = {(r["g"], r["o"]): r["position"] for r in ranking.positions(rows, "o", ["g"], bits=3).collect()}
     for group in ("hot", "a", None):
         members = sorted(o for o, g in data if g == group)
         assert [got[group, o] for o in members] == list(range(1, len(members) + 1))
@@ -71,6 +73,37 @@ def test_positions_with_outliers_and_hot_group(spark):
     assert [r["o"] for r in flat] == sorted(orders)
 
 
+def test_clustered_orders_stay_balanced(spark):
+    """Values that crowd near zero: no range holds much more than its share of the rows."""
+    rows = spark.range(100_000).selectExpr("cast(pow(10, id / 9000.0) as long) * 100000 + id AS o", "'g' AS g")
+    _, sizes = ranking._ranged(rows, ["g"], "o", 4)
+    counts = [r["__n"] for r in sizes.collect()]
+    assert len(counts) > 200 and max(counts) < 2 * 100_000 / 256
+
+
+def test_rows_of_equal_order(spark):
+    """Rows that share order and ties each have a place of their own, and as many come out as are wanted."""
+    rows = spark.createDataFrame([(i // 4, i % 2, f"text {i}") for i in range(40)], "o long, t long, text string")
+    got = ranking.evenly_spaced(rows, "o", size=20, ties=["t"]).collect()
+    assert sorted(r["position"] for r in got) == list(range(1, 40, 2)) and len({r["text"] for r in got}) == 20
+    ordered = sorted((i // 4, i % 2) for i in range(40))
+    assert all((r["o"], r["t"]) == ordered[r["position"] - 1] for r in got)
+    assert len(ranking.evenly_spaced(rows.withColumn("o", F.lit(None).cast("long")), "o").collect()) == 15
+    assert ranking.evenly_spaced(rows.where("false"), "o").collect() == []
+
+
+def exchanged(df):
+    """The columns that any shuffle of the plan moves, before rows were fetched by a broadcast."""
+    plan = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return re.findall(r"\) (?:Exchange|Sort|SortAggregate)\nInput \[\d+\]: (.*)", plan)
+
+
+def test_texts_are_fetched_late(spark, events):
+    stored = materialize(events, "events")
+    plan = exchanged(profiling.even_sample(stored))
+    assert [x for x in plan if "event_json" in x and "__places" not in x] == []
+
+
 def test_prompts(events):
     rows = {r["source"]: r for r in profiling.batch_prompts(events).collect()}
     assert rows["s2"]["events"] == 5

@@ -9,7 +9,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lineforge.functions import text as tx
-from lineforge.operators import screening
+from lineforge.operators import fingerprint, screening
+from lineforge.session import materialize
 
 
 def column(spark, texts, make):
@@ -97,3 +98,32 @@ def test_long_texts(spark):
     from lineforge.operators import parsing
     pairs = column(spark, [long + " k=v", "w" * 500_000 + " k=v"], parsing.key_value_map)
     assert pairs[0]["k"] == "v" and pairs[1] == {"k": "v"}
+
+
+def test_rollup(spark):
+    """The first line of each shape by id; lines that share an id, and a shape that holds most lines."""
+    lines = [(i, "s", f"user {i} in") for i in range(2, 500)] + [(1, "s", "user 1 out"), (1, "s", "bye 7"), (3, "s", "bye 8"),
+             (0, None, "user 9 in"), (None, "s", "only here")]
+    table = materialize(spark.createDataFrame(lines, "line_id long, source string, raw string"), "lines")
+    rolled = fingerprint.signature_rollup(table)
+    rows = {(r["source"], r["sample"]): (r["lines"], r["first_id"]) for r in rolled.collect()}
+    assert rows == {("s", "user 2 in"): (498, 2), ("s", "user 1 out"): (1, 1), ("s", "bye 7"): (2, 1), (None, "user 9 in"): (1, 0),
+                    ("s", "only here"): (1, None)}
+    assert "SortAggregate" not in rolled._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rollup_thins_out_lines_where_samples_are_many(spark):
+    """Too many samples to broadcast: a Bloom filter of their ids stands before the shuffle of the lines."""
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+               "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}
+    before = {key: spark.conf.get(key) for key in changed}
+    table = materialize(spark.range(1000).selectExpr("id AS line_id", "'s' AS source", "concat('a', id % 9, ' b') AS raw"), "lines")
+    try:
+        for key, value in changed.items():
+            spark.conf.set(key, value)
+        rolled = fingerprint.signature_rollup(table)
+        assert "might_contain" in rolled._jdf.queryExecution().executedPlan().toString()
+        assert sum(r["lines"] for r in rolled.collect()) == 1000
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
