@@ -90,7 +90,6 @@ def forbidden_issues(code: Column) -> Column:
 
 def brace_issues(code: Column) -> Column:
     """Brace balance and unclosed literals, by one pass over the program's tokens."""
-    tokens = F.regexp_extract_all(code, F.lit(TOKENS), F.lit(1))
     start = F.struct(
         F.lit(1).alias("line"), F.lit(0).alias("depth"), F.array().cast("array<int>").alias("unexpected"))
 
@@ -106,8 +105,7 @@ def brace_issues(code: Column) -> Column:
             F.when(extra, F.array_append(state["unexpected"], state["line"]))
             .otherwise(state["unexpected"]).alias("unexpected"))
 
-    def finish(state: Column) -> Column:
-        last = F.element_at(tokens, -1)
+    def finish(state: Column, last: Column) -> Column:
         is_text, is_regex = last.startswith('"'), last.startswith("r'")
         text_closed = last.rlike(r'(?s)\A".*(?<!\\)"\z')
         regex_closed = last.rlike(r"(?s)\Ar'(?:.*(?<!\\))?'\z")
@@ -122,8 +120,12 @@ def brace_issues(code: Column) -> Column:
                    _issue(state["line"], "error", "unclosed_regex", MESSAGES["unclosed_regex"])))
         return F.concat(stray, ends)
 
-    scanned = F.aggregate(tokens, start, step, finish)
-    return F.when(F.size(tokens) > 0, scanned).otherwise(F.array().cast(ISSUES))
+    def scan(tokens: Column) -> Column:
+        found = F.aggregate(tokens, start, step, lambda state: finish(state, F.element_at(tokens, -1)))
+        return F.when(F.size(tokens) > 0, found).otherwise(F.array().cast(ISSUES))
+
+    # an array of one names the tokens, so that they are cut once
+    return F.transform(F.array(F.regexp_extract_all(code, F.lit(TOKENS), F.lit(1))), scan)[0]
 
 
 def literal_issues(code: Column) -> Column:
@@ -325,11 +327,20 @@ def output_quality(runs: DataFrame, given: str = "input", output: str = "stdout"
     return with_quality(runs, F.col(given), F.col(output))
 
 
+# Terminal sequences, the tool's own log lines, what marks an error in its output, texts of outcomes.
+ANSI_SEQUENCES = [r"\x1b\[[0-9;]*[a-zA-Z]", r"\x1b\][^\x07]*\x07", r"\x1b[^\[\]()][^\x1b]*"]
+TOOL_LOG_LINE = r"^\d{4}-\d{2}-\d{2}T\S+\s+(INFO|WARN|DEBUG)\s"
+ERROR_PHRASES = ["function call error", "runtime error", "error[E"]
+ERROR_LINE = r"(?m)^error\b"
+NO_TOOL, NO_BINARY, STOPPED, UNKNOWN = "ENOENT", "Vector binary not found at: ", "SIGTERM", "Unknown error"
+EXIT_CODES = {"not_found": -1, "timeout": -2}
+
+
 def strip_ansi(text: Column) -> Column:
     """Removes terminal escape sequences."""
-    text = F.regexp_replace(text, r"\x1b\[[0-9;]*[a-zA-Z]", "")
-    text = F.regexp_replace(text, r"\x1b\][^\x07]*\x07", "")
-    return F.regexp_replace(text, r"\x1b[^\[\]()][^\x1b]*", "")
+    for pattern in ANSI_SEQUENCES:
+        text = F.regexp_replace(text, pattern, "")
+    return text
 
 
 def wrap_input(sample: Column) -> Column:
@@ -344,36 +355,45 @@ def input_wrap(rows: DataFrame, col: str = "input") -> DataFrame:
 
 
 def run_triage(runs: DataFrame, tool: str = "vector", timeout_ms: int = 15000) -> DataFrame:
-    """Adds outcome, output, warning and error to tool runs.
+    """Adds outcome, output, warning, error and exit to tool runs.
 
     Outcomes: ok, runtime_error, empty, not_found, timeout, failed. Exit code 0 means the tool came
-    back normally; its own log lines in stderr do not count as errors.
+    back normally; its own log lines in stderr do not count as errors. A run that was killed or ended by the
+    signal to terminate has timed out. ``signal`` and ``message`` (of the error itself, used where the tool wrote nothing) are
+    read where ``runs`` has them. ``exit`` is the exit code, -1 without a tool, -2 after a timeout, 1 if unknown.
     """
-    cleaned = runs.withColumn("__out", tx.strip(strip_ansi(F.col("stdout")))).withColumn(
-        "__err", tx.strip(strip_ansi(F.col("stderr"))))
-    log_line = r"^\d{4}-\d{2}-\d{2}T\S+\s+(INFO|WARN|DEBUG)\s"
-    kept = F.filter(F.split("__err", "\n", -1), lambda line: ~line.rlike(log_line))
-    cleaned = cleaned.withColumn("__real", tx.strip(F.array_join(kept, "\n")))
-    real, out, err = F.col("__real"), F.col("__out"), F.col("__err")
-    normal = (F.col("exit_code") == 0) & F.col("error_code").isNull() & ~F.coalesce("killed", F.lit(False))
-    broken = (
-        real.contains("function call error") | real.contains("runtime error") | real.contains("error[E")
-        | real.rlike(r"(?m)^error\b"))
+    def given(name: str) -> Column:
+        return F.col(name) if name in runs.columns else F.lit(None).cast("string")
+
+    cleaned = runs.withColumns({
+        "__out": tx.strip(strip_ansi(F.col("stdout"))), "__err": tx.strip(strip_ansi(F.col("stderr"))),
+        "__signal": given("signal"), "__message": strip_ansi(given("message"))})
+    kept = F.filter(F.split("__err", "\n", -1), lambda line: ~line.rlike(TOOL_LOG_LINE))
+    cleaned = cleaned.withColumn("__real", F.coalesce(tx.strip(F.array_join(kept, "\n")), F.lit("")))
+    real, out, err = F.col("__real"), F.coalesce("__out", F.lit("")), F.col("__err")
+    killed = F.coalesce("killed", F.lit(False)) | F.coalesce(F.col("__signal") == STOPPED, F.lit(False))
+    normal = F.coalesce(F.col("exit_code") == 0, F.lit(False)) & F.col("error_code").isNull() & ~killed & F.col("__signal").isNull()
+    broken = real.rlike(ERROR_LINE)
+    for phrase in ERROR_PHRASES:
+        broken = broken | real.contains(phrase)
     outcome = (
         F.when(normal & broken, "runtime_error").when(normal & (out == ""), "empty").when(normal, "ok")
-        .when(F.col("error_code") == "ENOENT", "not_found")
-        .when(F.col("killed"), "timeout").otherwise("failed"))
+        .when(F.col("error_code") == NO_TOOL, "not_found").when(killed, "timeout").otherwise("failed"))
     judged = cleaned.withColumn("outcome", outcome)
-    is_ok = F.col("outcome") == "ok"
+    kind = F.col("outcome")
+    is_ok = kind == "ok"
     error = (
-        F.when(F.col("outcome") == "runtime_error", F.concat(F.lit("Runtime error: "), real))
-        .when(F.col("outcome") == "empty", EMPTY_RUN)
-        .when(F.col("outcome") == "not_found", f"Vector binary not found at: {tool}")
-        .when(F.col("outcome") == "timeout", f"Vector timed out after {timeout_ms}ms")
-        .when(F.col("outcome") == "failed", F.coalesce(
-            tx.blank_to_null(err), tx.blank_to_null(out), F.lit("Unknown error"))))
+        F.when(kind == "runtime_error", F.concat(F.lit("Runtime error: "), real))
+        .when(kind == "empty", EMPTY_RUN)
+        .when(kind == "not_found", f"{NO_BINARY}{tool}")
+        .when(kind == "timeout", f"Vector timed out after {timeout_ms}ms")
+        .when(kind == "failed", F.coalesce(
+            tx.blank_to_null(err), tx.blank_to_null(out), tx.blank_to_null(F.col("__message")), F.lit(UNKNOWN))))
+    exit_code = F.when(kind.isin("ok", "empty", "runtime_error"), 0)
+    for name, code in EXIT_CODES.items():
+        exit_code = exit_code.when(kind == name, code)
     # Only runs that went well are compared with their input.
     compared = with_quality(judged, F.when(is_ok, wrap_input(F.col("input"))), F.when(is_ok, out))
     return compared.select(
         *runs.columns, "outcome", F.when(is_ok, out).alias("output"), F.when(is_ok, F.col("warning")).alias("warning"),
-        error.alias("error"))
+        error.alias("error"), exit_code.otherwise(F.coalesce("exit_code", F.lit(1))).cast("int").alias("exit"))

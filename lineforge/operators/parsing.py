@@ -7,6 +7,7 @@ per line and format (``captures``), no Python.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -26,8 +27,12 @@ FACILITIES = [
 CLASSIC_SYSLOG = (
     r"<(\d{1,3})>([A-Z][a-z]{2}) {1,2}(\d{1,2}) (\d{2}:\d{2}:\d{2}) (\S+) ([^\s:\[]+)(?:\[([^\]]*)\])?: ?((?s:.*))"
 )
+# An element's text: anything but a closing bracket, which quotes or a backslash allow.
+SD_ELEMENT = r'\[(?:[^\]"\\]++|"(?:[^"\\]++|\\(?s:.))*+"|\\(?s:.))*+\]'
+SD_NAME = r'[^\s=\]"]++'
+SD_PARAM = rf'\s({SD_NAME})="((?:[^"\\]++|\\(?s:.))*+)"'
 MODERN_SYSLOG = (
-    r"<(\d{1,3})>(\d{1,2}) (\S+) (\S+) (\S+) (\S+) (\S+) (-|(?:\[[^\]]*\])++)(?: ((?s:.*)))?"
+    rf"<(\d{{1,3}})>(\d{{1,2}}) (\S+) (\S+) (\S+) (\S+) (\S+) (-|(?:{SD_ELEMENT})++)(?: ((?s:.*)))?"
 )
 ACCESS_LINE = (
     r'(\S+) (\S+) (\S+) \[([^\]]+)\] "(?:([A-Z]+) (\S+)(?: HTTP/([0-9.]+))?|([^"]*))" (\d{3}) (\d+|-)'
@@ -63,6 +68,22 @@ def detect_format(lines: DataFrame, col: str = "raw") -> DataFrame:
 
 # ---- syslog ------------------------------------------------------------------------------------
 
+def structured_data(text: Column) -> Column:
+    """Elements of RFC 5424 structured data as a map of maps, escapes in values undone; null for ``-``.
+
+    A repeated element or parameter keeps its last value. Needs ``spark.sql.mapKeyDedupPolicy=LAST_WIN``.
+    """
+    def element(e: Column) -> Column:
+        names = F.regexp_extract_all(e, F.lit(SD_PARAM), F.lit(1))
+        values = F.transform(
+            F.regexp_extract_all(e, F.lit(SD_PARAM), F.lit(2)), lambda v: F.regexp_replace(v, r'\\(["\\\]])', "$1"))
+        return F.struct(
+            F.regexp_extract(e, rf"\A\[({SD_NAME})", 1).alias("key"), F.map_from_arrays(names, values).alias("value"))
+
+    elements = F.regexp_extract_all(text, F.lit(SD_ELEMENT), F.lit(0))
+    return F.when(text.startswith("["), F.map_from_entries(F.transform(elements, element)))
+
+
 def _with_syslog(rows: DataFrame, text: Column, year: int | None) -> DataFrame:
     """Adds ``__s``: both syslog forms as one struct, null where neither fits."""
     year_text = F.lit(str(year)) if year is not None else F.year(F.current_date()).cast("string")
@@ -73,7 +94,8 @@ def _with_syslog(rows: DataFrame, text: Column, year: int | None) -> DataFrame:
     classic = F.struct(
         c[0].cast("int").alias("pri"), F.try_to_timestamp(stamp, F.lit("yyyy MMM d HH:mm:ss")).alias("timestamp"),
         c[4].alias("hostname"), c[5].alias("appname"), tx.blank_to_null(c[6]).alias("procid"),
-        F.lit(None).cast("string").alias("msgid"), F.lit(None).cast("int").alias("version"), c[7].alias("message"))
+        F.lit(None).cast("string").alias("msgid"), F.lit(None).cast("int").alias("version"), c[7].alias("message"),
+        F.lit(None).cast("string").alias("structured"))
 
     def dash(value: Column) -> Column:
         return F.nullif(value, F.lit("-"))
@@ -81,7 +103,8 @@ def _with_syslog(rows: DataFrame, text: Column, year: int | None) -> DataFrame:
     modern = F.struct(
         m[0].cast("int").alias("pri"), F.try_to_timestamp(dash(m[2])).alias("timestamp"),
         dash(m[3]).alias("hostname"), dash(m[4]).alias("appname"), dash(m[5]).alias("procid"),
-        dash(m[6]).alias("msgid"), m[1].cast("int").alias("version"), m[8].alias("message"))
+        dash(m[6]).alias("msgid"), m[1].cast("int").alias("version"), m[8].alias("message"),
+        dash(m[7]).alias("structured"))
     either = F.when(c.isNotNull(), classic).when(m.isNotNull(), modern)
     filled = matched.withColumn("__s", either).drop("__c", "__m")
     return filled.withColumn("__s", F.when(F.col("__s.pri") <= 191, F.col("__s")))
@@ -96,6 +119,7 @@ def parse_syslog(lines: DataFrame, col: str = "raw", year: int | None = None) ->
 
     The older form has neither year nor zone: ``year`` (default: this year) fills the first, the
     session zone the second. ``facility`` is the keyword of pri / 8, ``severity`` that of pri % 8.
+    ``structured_data`` maps each element of the newer form to its parameters.
     """
     parsed = _with_syslog(lines, F.col(col), year)
     pri, s = F.col("__s.pri"), F.col("__s")
@@ -105,6 +129,7 @@ def parse_syslog(lines: DataFrame, col: str = "raw", year: int | None = None) ->
         "facility_code": code, "facility": _keyword(FACILITIES, code), "severity": _keyword(SEVERITIES, pri % 8),
         "timestamp": s["timestamp"], "hostname": s["hostname"], "appname": s["appname"], "procid": s["procid"],
         "msgid": s["msgid"], "version": s["version"], "message": s["message"],
+        "structured_data": structured_data(s["structured"]),
     }
     return parsed.select(
         *lines.columns, *[F.when(ok, c).alias(n) for n, c in typed.items()],
@@ -355,12 +380,158 @@ def parse_nested(
     return _typed_pairs(parsed, keep, fields, fits, "no nested pairs")
 
 
+# ---- the caller's own patterns -----------------------------------------------------------------
+
+# Named patterns for ``parse_groks``. A pattern may use others.
+GROKS = {
+    "WORD": r"\w+", "NOTSPACE": r"\S+", "SPACE": r"\s*", "DATA": r".*?", "GREEDYDATA": r".*",
+    "INT": r"[+-]?\d+", "NUMBER": r"[+-]?(?:\d+(?:\.\d+)?|\.\d+)", "POSINT": r"[1-9]\d*",
+    "QUOTEDSTRING": r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'",
+    "UUID": r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}", "MAC": r"(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}",
+    "IPV4": r"\d{1,3}(?:\.\d{1,3}){3}", "IPV6": r"[0-9A-Fa-f:]*:[0-9A-Fa-f:.]*", "IP": r"%{IPV6}|%{IPV4}",
+    "HOSTNAME": r"[0-9A-Za-z][0-9A-Za-z-]{0,62}(?:\.[0-9A-Za-z][0-9A-Za-z-]{0,62})*", "IPORHOST": r"%{IP}|%{HOSTNAME}",
+    "USERNAME": r"[a-zA-Z0-9._-]+", "PATH": r"/\S*", "LOGLEVEL": r"[A-Za-z]+",
+    "TIMESTAMP_ISO8601": r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?",
+    "HTTPDATE": r"\d{2}/[A-Z][a-z]{2}/\d{4}:\d{2}:\d{2}:\d{2} [+-]\d{4}",
+    "SYSLOGTIMESTAMP": r"[A-Z][a-z]{2} +\d{1,2} \d{2}:\d{2}:\d{2}",
+}
+
+
+def named_groups(pattern: str) -> tuple[str, dict[str, int]]:
+    """A pattern with plain groups, and the number of each group that had a name.
+
+    Both spellings of a named group are read. Names repeat in a pattern at the caller's risk: the last group counts.
+    """
+    out, names, count, at, in_class = [], {}, 0, 0, False
+    while at < len(pattern):
+        char = pattern[at]
+        if char == "\\":
+            out.append(pattern[at:at + 2])
+            at += 2
+            continue
+        name = None if in_class else re.match(r"\(\?P?<([A-Za-z_]\w*)>", pattern[at:])
+        if name:
+            count += 1
+            names[name[1]] = count
+            out.append("(")
+            at += len(name[0])
+            continue
+        if char == "(" and not in_class and not pattern.startswith("(?", at):
+            count += 1
+        in_class = (char == "[" and not in_class) or (in_class and char != "]")
+        out.append(char)
+        at += 1
+    return "".join(out), names
+
+
+def parse_regex(
+    lines: DataFrame, patterns: Sequence[str], col: str = "raw", fields: Mapping[str, tuple[str, str]] | None = None,
+) -> DataFrame:
+    """Lines by the caller's patterns with named groups; the first pattern in order that is found in a line wins.
+
+    Adds ``pattern`` (its number from 0), the typed columns of ``fields`` (column to (group, type)), ``fields`` with
+    the other groups, ``ok`` and ``reason``. Groups that matched nothing are left out. A pattern is found anywhere unless it
+    is anchored. A line is matched by a pattern only if none before it matched, and once.
+    """
+    found, prepared = [], lines
+    for i, pattern in enumerate(patterns):
+        plain, names = named_groups(pattern)
+        before = F.lit(True)
+        for earlier, _ in found:
+            before = before & F.col(earlier).isNull()
+        groups = re.compile(plain).groups
+        prepared = tx.with_captures(
+            prepared, f"__p{i}", F.when(before, F.col(col)), rf"(?s:.*?)(?:{plain})(?s:.*)", groups)
+        found.append((f"__p{i}", names))
+    number, pairs = F.lit(None).cast("int"), F.lit(None).cast("map<string,string>")
+    for i, (name, names) in reversed(list(enumerate(found))):
+        hit = F.col(name).isNotNull()
+        cells = [F.struct(F.lit(n).alias("key"), F.get(name, F.lit(g - 1)).alias("value")) for n, g in names.items()]
+        entries = F.array(*cells) if cells else F.array().cast("array<struct<key:string,value:string>>")
+        number = F.when(hit, F.lit(i)).otherwise(number)
+        pairs = F.when(hit, F.map_from_entries(F.filter(entries, lambda e: e["value"] != ""))).otherwise(pairs)
+    parsed = prepared.select(*lines.columns, number.alias("pattern"), pairs.alias("__kv"))
+    return _typed_pairs(parsed, [*lines.columns, "pattern"], fields or {}, F.col("__kv").isNotNull(), "no pattern found")
+
+
+def expand_groks(pattern: str, named: Mapping[str, str] = GROKS) -> tuple[str, dict[str, str]]:
+    """``%{NAME}``, ``%{NAME:field}`` and ``%{NAME:field:type}`` as a plain pattern, and the types asked for."""
+    types: dict[str, str] = {}
+
+    def expand(text: str, open_names: tuple[str, ...]) -> str:
+        def one(match: re.Match) -> str:
+            name, field, kind = match[1], match[2], match[3]
+            if name not in named or name in open_names:
+                raise ValueError(f"unknown or circular pattern {name!r}")
+            if field and kind:
+                types[field] = kind
+            inner = expand(named[name], (*open_names, name))
+            return f"(?<{field}>{inner})" if field else f"(?:{inner})"
+
+        return re.sub(r"%\{(\w+)(?::(\w+))?(?::(\w+))?\}", one, text)
+
+    return expand(pattern, ()), types
+
+
+def parse_groks(
+    lines: DataFrame, patterns: Sequence[str], col: str = "raw", aliases: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """``parse_regex`` with patterns that use named ones, from ``GROKS`` and the caller's ``aliases``.
+
+    A field with a type, ``%{INT:status:int}``, becomes a column of that type (see ``coerce``); the others are in ``fields``.
+    """
+    expanded = [expand_groks(p, {**GROKS, **(aliases or {})}) for p in patterns]
+    fields = {name: (name, kind) for _, types in expanded for name, kind in types.items()}
+    return parse_regex(lines, [p for p, _ in expanded], col, fields)
+
+
 # ---- several shapes in one source --------------------------------------------------------------
 
+# Members and keys that the common columns read; of the several names of a time, the first that is there.
+MIXED_JSON = ["level", "service", "msg"]
+MIXED_PAIRS = ["level", "component", "method", "path", "status"]
+JSON_TIMES, PAIR_TIMES = ["timestamp", "time"], ["time", "timestamp", "ts"]
+
+
+def _extra(kind: Column, s: Column, a: Column, j: Column, h: Column, kv: Column, v: Column) -> Column:
+    """What ``parse_mixed`` does not read of a line, as text by name."""
+    def named(**cells: Column) -> Column:
+        pairs = F.array(*[F.struct(F.lit(name).alias("key"), cell.alias("value")) for name, cell in cells.items()])
+        return F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull() & (p["value"] != "")))
+
+    def without(pairs: Column, read: list[str], times: list[str]) -> Column:
+        first = F.coalesce(*[F.when(F.map_contains_key(pairs, t), F.lit(t)) for t in times], F.lit(""))
+        return F.map_filter(pairs, lambda k, x: ~k.isin(*read) & (k != first) & x.isNotNull())
+
+    def dash(cell: Column) -> Column:
+        return F.nullif(cell, F.lit("-"))
+
+    code = F.floor(s["pri"] / 8).cast("int")
+    elements = F.map_entries(structured_data(s["structured"]))
+    parameters = F.flatten(F.transform(elements, lambda e: F.transform(
+        F.map_entries(e["value"]), lambda p: F.struct(F.concat(e["key"], F.lit("."), p["key"]).alias("key"), p["value"]))))
+    syslog = F.map_concat(
+        named(facility=_keyword(FACILITIES, code), hostname=s["hostname"], procid=s["procid"], msgid=s["msgid"],
+              version=s["version"].cast("string")),
+        F.coalesce(F.map_from_entries(parameters), F.create_map().cast("map<string,string>")))
+    members = F.transform_values(js.fields(j), lambda _, x: js.text_of(x))
+    return (
+        F.when(kind == "syslog", F.when(s.isNotNull(), syslog))
+        .when(kind == "access", F.when(a.isNotNull(), named(
+            ident=dash(a[1]), auth=dash(a[2]), httpversion=a[6], request=a[7], bytes=dash(a[9]), referrer=dash(a[10]),
+            agent=dash(a[11]))))
+        .when(kind == "json", without(members, MIXED_JSON, JSON_TIMES))
+        .when(kind == "app", F.when(h.isNotNull(), F.map_concat(named(thread=h[1]), key_value_map(h[4]))))
+        .when(kind.isin("key_value", "logfmt"), without(kv, MIXED_PAIRS, PAIR_TIMES))
+        .when(kind == "csv", named(duration=v["duration"])))
+
+
 def parse_mixed(lines: DataFrame, col: str = "raw", year: int | None = None) -> DataFrame:
-    """Lines of any known format to common columns, in one pass over the data.
+    """Lines of any known format to common columns and the rest as ``extra``, in one pass over the data.
 
-    Each format's work is guarded by the detected format, so a line pays for its own format only.
+    ``extra`` maps every other field that a line has to its text, by the name that the format's own parser gives it;
+    structured data come as ``element.parameter``. Each format's work is guarded by the detected format, so a line
+    pays for its own format only.
     """
     detected = detect_format(lines, col)
     text, kind = F.col(col), F.col("format")
@@ -399,7 +570,7 @@ def parse_mixed(lines: DataFrame, col: str = "raw", year: int | None = None) ->
     common = prepared.select(
         *lines.columns, "format", stamp.alias("timestamp"), level.alias("level"), service.alias("service"),
         client.alias("client_ip"), method.alias("method"), path.alias("path"), status.alias("status"),
-        message.alias("message"))
+        message.alias("message"), _extra(kind, s, a, j, h, kv, v).alias("extra"))
     ok = F.col("timestamp").isNotNull()
     return common.select(
         "*", ok.alias("ok"), F.when(~ok, F.concat(F.lit("cannot parse as "), F.col("format"))).alias("reason"))

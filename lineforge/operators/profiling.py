@@ -86,25 +86,35 @@ def key_set_variants(
 def batch_analysis(events: DataFrame, col: str = "event_json", group: Sequence[str] = ("source",)) -> DataFrame:
     """One row per group: count, common and optional keys, types per key, variants.
 
-    The lists collected here hold distinct keys, types and at most ten variants, not events.
+    Every group has a row, also the null one and those without a single object, whose lists are empty. The lists
+    collected here hold distinct keys, types and at most ten variants, not events.
     """
-    presence = key_presence(events, col, group).groupBy(*group).agg(
-        F.max("total").alias("count"),
+    names = list(group)
+    totals = events.groupBy(*names).agg(F.count("*").alias("count"))
+    presence = key_presence(events, col, names).groupBy(*names).agg(
         F.array_sort(F.collect_list(F.when(F.col("common"), F.col("key")))).alias("common_keys"),
         F.array_sort(F.collect_list(F.when(~F.col("common"), F.col("key")))).alias("optional_keys"))
     types = (
-        key_types(events, col, group)
-        .groupBy(*group, "key")
+        key_types(events, col, names)
+        .groupBy(*names, "key")
         .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("types"))
-        .groupBy(*group)
+        .groupBy(*names)
         .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(
             "key", F.map_entries("types").alias("e"))))).alias("types"))
     )
-    variants = key_set_variants(events, col, group).groupBy(*group).agg(
+    variants = key_set_variants(events, col, names).groupBy(*names).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus"), "keys"))),
             lambda v: F.struct(v["keys"].alias("keys"), (-v["minus"]).alias("count"))).alias("variants"))
-    return presence.join(types, list(group), "left").join(variants, list(group), "left")
+    joined = totals
+    for part in (presence, types, variants):
+        joined = ranking.join_on(joined, part, names, "left")
+    none = F.array().cast("array<string>")
+    return joined.select(
+        *names, "count", F.coalesce("common_keys", none).alias("common_keys"),
+        F.coalesce("optional_keys", none).alias("optional_keys"),
+        F.coalesce("types", F.create_map().cast(types.schema["types"].dataType)).alias("types"),
+        F.coalesce("variants", F.array().cast(variants.schema["variants"].dataType)).alias("variants"))
 
 
 def even_sample(

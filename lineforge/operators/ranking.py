@@ -22,14 +22,14 @@ BITS = 8  # 256 ranges per level
 SKETCH = 20  # accuracy of the sketch, in errors of one part of this many of a range
 
 
-def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join that matches null keys too and keeps the left copy of each."""
     renamed = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in keys])
     condition = None
     for key in keys:
         part = left[key].eqNullSafe(renamed[f"__{key}"])
         condition = part if condition is None else condition & part
-    return left.join(renamed, condition, "inner").drop(*[f"__{k}" for k in keys])
+    return left.join(renamed, condition, how).drop(*[f"__{k}" for k in keys])
 
 
 def _quantiles(order: str, bits: int) -> Column:

@@ -201,11 +201,19 @@ def key_set_variants(v: Views) -> DataFrame:
 
 @query
 def batch_analysis(v: Views) -> DataFrame:
-    done = profiling.batch_analysis(v.raw_events())
+    """Also a null source, and one without a single object."""
+    bare, none = F.col("event_id") % 50 == 7, F.col("event_id") % 5 == 0
+    events = v.raw_events().select(
+        F.when(bare, "bare").when(~none, F.col("source")).alias("source"),
+        F.when(bare, "[1]").otherwise(F.col("event_json")).alias("event_json"))
+    done = profiling.batch_analysis(events)
+    types = F.transform(F.map_entries("types"), lambda t: F.concat(
+        t["key"], F.lit(":"), F.array_join(F.transform(t["value"], lambda x: F.concat_ws("=", x["key"], x["value"])), ",")))
+    variants = F.transform("variants", lambda x: F.concat(F.array_join(x["keys"], ","), F.lit("="), x["count"]))
     return done.select(
         "source", "count", F.array_join("common_keys", ",").alias("common_keys"),
-        F.array_join("optional_keys", ",").alias("optional_keys"), F.size("types").cast("long").alias("typed_keys"),
-        F.size("variants").cast("long").alias("variants"))
+        F.array_join("optional_keys", ",").alias("optional_keys"), F.array_join(F.array_sort(types), ";").alias("types"),
+        F.array_join(variants, ";").alias("variants"))
 
 
 @query
@@ -330,7 +338,14 @@ def detect_format(v: Views) -> DataFrame:
 
 @query
 def parse_syslog(v: Views) -> DataFrame:
-    return parsing.parse_syslog(v.log_lines(), year=YEAR).drop("source", "raw", "msgid", "version")
+    return parsing.parse_syslog(v.log_lines(), year=YEAR).drop("source", "raw", "msgid", "version", "structured_data")
+
+
+@query
+def parse_syslog_structured(v: Views) -> DataFrame:
+    elements = F.transform_values("structured_data", lambda _, element: map_text(element))
+    return parsing.parse_syslog(v.structured_lines()).select(
+        "line_id", "hostname", "appname", "procid", "msgid", "version", "message", map_text(elements).alias("structured"), "ok")
 
 
 @query
@@ -360,7 +375,8 @@ KV_FIELDS = {
 
 @query
 def parse_key_value(v: Views) -> DataFrame:
-    return parsing.parse_key_value(v.log_lines(), fields=KV_FIELDS).drop("source", "raw", "fields")
+    parsed = parsing.parse_key_value(v.log_lines(), fields=KV_FIELDS).drop("source", "raw")
+    return parsed.withColumn("fields", map_text(F.col("fields")))
 
 
 @query
@@ -371,7 +387,7 @@ def parse_csv_log(v: Views) -> DataFrame:
 @query
 def parse_app_log(v: Views) -> DataFrame:
     parsed = parsing.parse_app_log(v.log_lines())
-    return parsed.drop("source", "raw", "fields")
+    return parsed.drop("source", "raw").withColumn("fields", map_text(F.col("fields")))
 
 
 @query
@@ -379,12 +395,36 @@ def parse_nested(v: Views) -> DataFrame:
     rows = v.timed_lines().select("line_id", F.concat(
         F.lit("<134>"), F.date_format("ts", "MMM d HH:mm:ss"), F.lit(" dbhost oracle: DBUSER:'SYS "),
         F.col("line_id"), F.lit("' ACTION:'"), F.col("line_id") % 100, F.lit("' RETCODE:'0'")).alias("raw"))
-    return parsing.parse_nested(rows, year=YEAR).drop("raw", "fields")
+    return parsing.parse_nested(rows, year=YEAR).drop("raw").withColumn("fields", map_text(F.col("fields")))
 
 
 @query
 def parse_mixed(v: Views) -> DataFrame:
-    return parsing.parse_mixed(_with_junk(v.log_lines()), year=YEAR).drop("source", "raw", "message")
+    parsed = parsing.parse_mixed(_with_junk(v.log_lines()), year=YEAR).drop("source", "raw")
+    return parsed.withColumn("extra", map_text(F.col("extra")))
+
+
+OWN_PATTERNS = [
+    r"Payment failed for order_id=(?P<order>ORD-\d+) amount=(?P<amount>[\d.]+) .*reason=\"(?P<why>[^\"]*)\"",
+    r"^<(\d+)>.* (?<app_name>\w+)\[(?<event>\d+)\]: user (?<user>\d+)(?: nothing (?<absent>\w+))? value (?<amount>[\d.]+)$",
+]
+
+
+@query
+def parse_regex(v: Views) -> DataFrame:
+    fields = {"amount": ("amount", "double"), "user": ("user", "long")}
+    parsed = parsing.parse_regex(v.log_lines(), OWN_PATTERNS, fields=fields).drop("source", "raw")
+    return parsed.withColumn("fields", map_text(F.col("fields")))
+
+
+@query
+def parse_groks(v: Views) -> DataFrame:
+    parsed = parsing.parse_groks(v.log_lines(), [
+        r"%{IP:client} - %{USERNAME:user} \[%{HTTPDATE:at}\] %{REQUEST} %{INT:status:int} %{NUMBER:size:long}",
+        r"^\d{4}-\d{2}-\d{2},\S+?,%{IPORHOST:client},%{WORD:verb},",
+        r"time=%{TIMESTAMP_ISO8601:at} level=%{LOGLEVEL:level} .*status=%{INT:status:int}",
+    ], aliases={"REQUEST": r'"%{WORD:verb} %{PATH:path} [^"]*"'}).drop("source", "raw")
+    return parsed.withColumn("fields", map_text(F.col("fields")))
 
 
 @query
@@ -423,32 +463,32 @@ def flatten_deep(v: Views) -> DataFrame:
 
 @query
 def lint_forbidden(v: Views) -> DataFrame:
-    return audit.lint_forbidden(v.programs()).drop("message")
+    return audit.lint_forbidden(v.programs())
 
 
 @query
 def lint_braces(v: Views) -> DataFrame:
-    return audit.lint_braces(v.programs()).drop("message")
+    return audit.lint_braces(v.programs())
 
 
 @query
 def lint_literals(v: Views) -> DataFrame:
-    return audit.lint_literals(v.programs()).drop("message")
+    return audit.lint_literals(v.programs())
 
 
 @query
 def lint_escapes(v: Views) -> DataFrame:
-    return audit.lint_escapes(v.programs()).drop("message")
+    return audit.lint_escapes(v.programs())
 
 
 @query
 def lint_regex_compile(v: Views) -> DataFrame:
-    return audit.lint_regex_compile(v.programs()).drop("message")
+    return audit.lint_regex_compile(v.programs())
 
 
 @query
 def lint_summary(v: Views) -> DataFrame:
-    return audit.lint_summary(v.programs()).drop("report")
+    return audit.lint_summary(v.programs())
 
 
 @query
@@ -458,7 +498,7 @@ def output_quality(v: Views) -> DataFrame:
 
 @query
 def run_triage(v: Views) -> DataFrame:
-    return audit.run_triage(v.runs()).select("run_id", "outcome", "output", "warning", "error")
+    return audit.run_triage(v.runs()).select("run_id", "outcome", "output", "warning", "error", "exit")
 
 
 @query
@@ -554,12 +594,12 @@ def _ruleset(v: Views) -> DataFrame:
 
 @query
 def alert_ruleset(v: Views) -> DataFrame:
-    return _rounded(_ruleset(v).drop("series"), "value")
+    return _rounded(_ruleset(v), "value")
 
 
 @query
 def alerts_summary(v: Views) -> DataFrame:
-    return _rounded(alerts.alerts_summary(_ruleset(v)).drop("series"), "worst")
+    return _rounded(alerts.alerts_summary(_ruleset(v)), "worst")
 
 
 @query
@@ -605,7 +645,8 @@ def _drained(v: Views, stream: DataFrame, name: str, partition_by: tuple[str, ..
 def stream_parse(v: Views) -> DataFrame:
     parsed = streams.stream_parse(_with_junk(with_lines(_event_stream(v))), year=YEAR)
     done = _drained(v, parsed, "stream-parse", ("route",))
-    return done.select("line_id", "format", "timestamp", "level", "service", "status", "route")
+    return done.select(
+        "line_id", "format", "timestamp", "level", "service", "status", "message", map_text(F.col("extra")).alias("extra"), "route")
 
 
 @query

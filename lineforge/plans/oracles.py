@@ -150,12 +150,24 @@ KEY_SETS = "key_sets AS (SELECT source, list_sort(json_keys(event_json)) AS keys
 ORACLES["key_set_variants"] = f"""WITH {EVENTS_JSON}, {KEY_SETS}
 SELECT source, array_to_string(keys, ',') AS keys, n FROM key_sets
 QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, keys) <= 10"""
-ORACLES["batch_analysis"] = f"""WITH {EVENTS_JSON}, {KEYED}, {TOTALS}, {KEY_SETS},
-present AS (SELECT source, key, count(*) AS n FROM keyed GROUP BY ALL)
-SELECT source, any_value(total) AS count, coalesce(string_agg(CASE WHEN n = total THEN key END, ',' ORDER BY key), '') AS common_keys,
-  coalesce(string_agg(CASE WHEN n < total THEN key END, ',' ORDER BY key), '') AS optional_keys, count(*) AS typed_keys,
-  any_value((SELECT count(*) FROM key_sets k WHERE k.source = present.source)) AS variants
-FROM present JOIN totals USING (source) GROUP BY source"""
+ORACLES["batch_analysis"] = f"""WITH {EVENTS_JSON.replace("raw_events AS", "plain_events AS", 1)},
+raw_events AS (SELECT event_id, CASE WHEN event_id % 50 = 7 THEN 'bare' WHEN event_id % 5 <> 0 THEN source END AS source,
+  CASE WHEN event_id % 50 = 7 THEN '[1]' ELSE event_json END AS event_json FROM plain_events),
+{KEYED}, {TOTALS}, {KEY_SETS},
+present AS (SELECT source, key, count(*) AS n FROM keyed GROUP BY ALL),
+keys AS (SELECT p.source, string_agg(CASE WHEN n = total THEN key END, ',' ORDER BY key) AS common_keys,
+  string_agg(CASE WHEN n < total THEN key END, ',' ORDER BY key) AS optional_keys
+  FROM present p JOIN totals t ON p.source IS NOT DISTINCT FROM t.source GROUP BY p.source),
+typed AS (SELECT source, key, {typed(JSON_TYPES)} AS type, count(*) AS n FROM keyed GROUP BY ALL),
+types AS (SELECT source, string_agg(line, ';' ORDER BY line) AS types FROM (SELECT source, key || ':' ||
+  string_agg(type || '=' || n, ',' ORDER BY type) AS line FROM typed GROUP BY source, key) GROUP BY source),
+best AS (SELECT source, string_agg(line, ';' ORDER BY n DESC, keys) AS variants FROM (SELECT *, array_to_string(keys, ',') || '=' || n AS line
+  FROM key_sets WHERE source IS DISTINCT FROM 'bare' QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, keys) <= 10)
+  GROUP BY source)
+SELECT t.source, total AS count, coalesce(common_keys, '') AS common_keys, coalesce(optional_keys, '') AS optional_keys,
+  coalesce(types, '') AS types, coalesce(variants, '') AS variants
+FROM totals t LEFT JOIN keys k ON t.source IS NOT DISTINCT FROM k.source LEFT JOIN types y ON t.source IS NOT DISTINCT FROM y.source
+LEFT JOIN best b ON t.source IS NOT DISTINCT FROM b.source"""
 RANKED = """ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY event_id) AS position,
   count(*) OVER (PARTITION BY source) AS total FROM raw_events),
 picked AS (SELECT * FROM ranked WHERE (position - 1) % greatest(1, total // 15) = 0 AND (position - 1) // greatest(1, total // 15) < 15)"""
@@ -291,7 +303,10 @@ ORACLES["parse_json_props"] = f"""SELECT event_id, event_type, user_id,
 ORACLES["parse_key_value"] = of_format(3, {
     "timestamp": SECOND, "level": f"lower({LEVEL})", "component": "event_type", "method": METHOD,
     "path": "concat('/e/', event_id)", "status": f"CAST({STATUS} AS INT)", "duration_ms": CENTS,
-    "note": "concat('user ', user_id, ' = ok')"}, "no key-value pairs").replace(
+    "note": "concat('user ', user_id, ' = ok')", "fields": "''"}, "no key-value pairs").replace(
+    "CASE WHEN event_id % 6 = 3 THEN '' END AS fields",
+    f"""CASE event_id % 6 WHEN 3 THEN '' WHEN 4 THEN concat('amount=', {VALUE_TEXT}, ';currency=USD;order_id=ORD-', event_id,
+  ';reason=', {REASON}) END AS fields""").replace(
     # The bodies of application lines hold pairs too.
     "event_id % 6 = 3 AS ok, CASE WHEN NOT (event_id % 6 = 3)",
     "event_id % 6 IN (3, 4) AS ok, CASE WHEN event_id % 6 NOT IN (3, 4)")
@@ -301,12 +316,15 @@ ORACLES["parse_csv_log"] = of_format(5, {
 ORACLES["parse_app_log"] = of_format(4, {
     "timestamp": "date_trunc('milliseconds', ts)", "thread": "'worker-' || user_id % 9", "level": f"lower({LEVEL})",
     "logger": "'c.e.' || event_type", "order_id": "'ORD-' || event_id", "amount": f"{CENTS} / 100.0::DOUBLE",
-    "currency": "'USD'", "reason_text": REASON}, "no header")
+    "currency": "'USD'", "reason_text": REASON, "fields": "''"}, "no header")
 ORACLES["parse_nested"] = f"""SELECT event_id AS line_id, 'dbhost' AS hostname, 'oracle' AS appname, {SECOND} AS timestamp,
-  'SYS ' || event_id AS db_user, CAST(event_id % 100 AS VARCHAR) AS action_code, '0' AS return_code, true AS ok,
+  'SYS ' || event_id AS db_user, CAST(event_id % 100 AS VARCHAR) AS action_code, '0' AS return_code, '' AS fields, true AS ok,
   CAST(NULL AS VARCHAR) AS reason FROM events"""
 
 
+BODY = f"concat('order_id=ORD-', event_id, ' amount=', {VALUE_TEXT}, ' currency=USD reason=\"', {REASON}, '\"')"
+
+
 def mixed_columns() -> dict[str, str]:
     def per(**by_format: str) -> str:
         return cases((f"event_id % 6 = {FORMATS.index(f)}", e) for f, e in by_format.items())
@@ -320,6 +338,15 @@ def mixed_columns() -> dict[str, str]:
         "method": per(access=METHOD, key_value=METHOD, csv=METHOD),
         "path": per(access="concat('/', event_type, '/', event_id)", key_value="concat('/e/', event_id)", csv="'/a,b/' || event_id"),
         "status": f"CAST({per(access=STATUS, key_value=STATUS, csv=STATUS)} AS INT)",
+        "message": per(syslog=f"concat('user ', user_id, ' value ', {VALUE_TEXT})", json=f"concat('value is {{', {VALUE_TEXT}, '}}')",
+                       app=f"concat('Payment failed for ', {BODY})"),
+        "extra": per(
+            syslog=f"concat('facility=', {keyword(parsing.FACILITIES, f'{PRI} // 8')}, ';hostname=host', user_id % 7, ';procid=', event_id)",
+            access=f"concat('agent=agent/', user_id % 5, '.0 (test);auth=user', user_id, ';bytes=', {CENTS}, ';httpversion=1.1')",
+            json="concat('trace_id=abc-', event_id, ';user_id=', user_id)",
+            key_value=f"concat('duration_ms=', {CENTS}, ';note=user ', user_id, ' = ok')",
+            app=f"concat('amount=', {VALUE_TEXT}, ';currency=USD;order_id=ORD-', event_id, ';reason=', {REASON}, ';thread=worker-', user_id % 9)",
+            csv=f"concat('duration=', {VALUE_TEXT})"),
     }
 
 
@@ -328,6 +355,22 @@ MIXED = f"""mixed AS (SELECT event_id AS line_id, CASE WHEN {JUNK} THEN 'regex'
   {', '.join(f'CASE WHEN NOT ({JUNK}) THEN {e} END AS {n}' for n, e in mixed_columns().items())},
   NOT ({JUNK}) AS ok, CASE WHEN {JUNK} THEN 'cannot parse as regex' END AS reason FROM events)"""
 ORACLES["parse_mixed"] = f"WITH {MIXED} SELECT * FROM mixed"
+ORACLES["parse_syslog_structured"] = f"""SELECT event_id AS line_id, 'host' AS hostname, event_type AS appname,
+  CAST(event_id AS VARCHAR) AS procid, 'ID' || user_id AS msgid, 1 AS version, 'value [x] ' || event_id AS message,
+  CASE event_id % 3 WHEN 0 THEN concat('ids@1=note=a "q" [b] c:\\d;user=', user_id, ';o@2=empty=;event=', event_type)
+    WHEN 1 THEN 'only@3=' END AS structured, true AS ok FROM events"""
+ORACLES["parse_regex"] = f"""SELECT event_id AS line_id, CASE event_id % 6 WHEN 4 THEN 0 WHEN 0 THEN 1 END AS pattern,
+  CASE WHEN event_id % 6 IN (0, 4) THEN {CENTS} / 100.0::DOUBLE END AS amount, CASE WHEN event_id % 6 = 0 THEN user_id END AS "user",
+  CASE event_id % 6 WHEN 4 THEN concat('order=ORD-', event_id, ';why=', {REASON})
+    WHEN 0 THEN concat('app_name=', event_type, ';event=', event_id) END AS fields,
+  event_id % 6 IN (0, 4) AS ok, CASE WHEN event_id % 6 NOT IN (0, 4) THEN 'no pattern found' END AS reason FROM events"""
+ORACLES["parse_groks"] = f"""SELECT event_id AS line_id, CASE event_id % 6 WHEN 1 THEN 0 WHEN 5 THEN 1 WHEN 3 THEN 2 END AS pattern,
+  CASE WHEN event_id % 6 IN (1, 3) THEN CAST({STATUS} AS INT) END AS status, CASE WHEN event_id % 6 = 1 THEN {CENTS} END AS size,
+  CASE event_id % 6 WHEN 1 THEN concat('at=', strftime(ts, '%d/%b/%Y:%H:%M:%S +0000'), ';client=', {CLIENT_IP}, ';path=/', event_type, '/',
+      event_id, ';user=user', user_id, ';verb=', {METHOD})
+    WHEN 3 THEN concat('at=', strftime(ts, '%Y-%m-%dT%H:%M:%SZ'), ';level=', {LEVEL})
+    WHEN 5 THEN concat('client=', {CLIENT_IP}, ';verb=', {METHOD}) END AS fields,
+  event_id % 6 IN (1, 3, 5) AS ok, CASE WHEN event_id % 6 NOT IN (1, 3, 5) THEN 'no pattern found' END AS reason FROM events"""
 ORACLES["coerce_fields"] = f"""WITH c AS (SELECT event_id, event_id % 7 = 0 AS bad_n, event_id % 9 = 0 AS bad_f, event_id % 5 = 4 AS bad_b,
   user_id, ts FROM events)
 SELECT event_id, CASE WHEN NOT bad_n THEN user_id END AS n, CASE WHEN NOT bad_f THEN CAST(event_id % 100 AS DOUBLE) END AS f,
@@ -357,8 +400,6 @@ FROM (SELECT *, repeat('k.', {DEPTH} - 1) AS path FROM events)"""
 
 # ---- audits: the defects each program was rendered with ------------------------------------------
 
-ISSUES = "issues(k, line, severity, rule) AS (VALUES " + ", ".join(
-    f"({k}, {line}, '{severity}', '{rule}')" for k, (_, found) in enumerate(PROGRAMS) for line, severity, rule in found) + ")"
 LINT_RULES = {
     "lint_forbidden": [name for name, _, _ in audit.FORBIDDEN_RULES],
     "lint_braces": ["unexpected_brace", "unclosed_brace", "unclosed_string", "unclosed_regex"],
@@ -367,11 +408,33 @@ LINT_RULES = {
     "lint_escapes": ["regex_escape", "unknown_escape", "double_escaped_regex"],
     "lint_regex_compile": ["regex_compile"],
 }
+# Messages that name a part of the program; ``@E`` is the event id.
+NAMED_ISSUES = {
+    "unclosed_brace": "1" + audit.MESSAGES["unclosed_brace"],
+    "regex_plain_string": "Regex pattern must use r'...' syntax — not a double-quoted string. Change \"id@E\" to r'id@E'",
+    "regex_escape": "Escape '\\d' is a regex escape, not a string escape. If this is a regex pattern, use r'...' syntax instead of \"...\"",
+    "unknown_escape": "Unknown string escape sequence '\\q'. Valid VRL string escapes: \\n \\t \\r \\\\ \\\" \\0",
+    "regex_compile": "Regex r'(@E' is invalid: missing ), unterminated subpattern at position 0",
+}
+ISSUE_TEXTS = audit.MESSAGES | {name: text for name, _, text in audit.FORBIDDEN_RULES} | NAMED_ISSUES
+ISSUES = "issues(k, line, severity, rule, text) AS (VALUES " + ", ".join(
+    f"({k}, {line}, '{severity}', '{rule}', {lit(ISSUE_TEXTS[rule])})"
+    for k, (_, found) in enumerate(PROGRAMS) for line, severity, rule in found) + ")"
+MESSAGE = "replace(text, '@E', CAST(event_id AS VARCHAR))"
+# The order in which a report lists the findings of one severity: by check, then by line.
+REPORT_ORDER = [n for check in ("lint_braces", "lint_forbidden", "lint_literals", "lint_escapes", "lint_regex_compile") for n in LINT_RULES[check]]
 for query_name, rule_names in LINT_RULES.items():
-    ORACLES[query_name] = f"""WITH {ISSUES} SELECT event_id AS program_id, line, severity, rule FROM events
+    ORACLES[query_name] = f"""WITH {ISSUES} SELECT event_id AS program_id, line, severity, rule, {MESSAGE} AS message FROM events
 JOIN issues ON event_id % {len(PROGRAMS)} = k WHERE rule IN ({', '.join(lit(r) for r in rule_names)})"""
+def report_block(severity: str, title: str, after: str) -> str:
+    lines = f"string_agg('  Line ' || line || ': ' || {MESSAGE} || chr(10), '' ORDER BY list_position({REPORT_ORDER}, rule), line) FILTER (severity = '{severity}')"
+    count = f"count(*) FILTER (severity = '{severity}')"
+    return f"CASE WHEN {count} > 0 THEN '{title}' || {count} || '{after}' || chr(10) || {lines} ELSE '' END"
+
+
 ORACLES["lint_summary"] = f"""WITH {ISSUES} SELECT event_id AS program_id,
-  CAST(count(CASE WHEN severity = 'error' THEN 1 END) AS INT) AS errors, CAST(count(CASE WHEN severity = 'warning' THEN 1 END) AS INT) AS warnings
+  CAST(count(CASE WHEN severity = 'error' THEN 1 END) AS INT) AS errors, CAST(count(CASE WHEN severity = 'warning' THEN 1 END) AS INT) AS warnings,
+  {report_block('error', 'STATIC ANALYSIS ERRORS (', '):')} || {report_block('warning', 'WARNINGS (', '):')} AS report
 FROM events LEFT JOIN issues ON event_id % {len(PROGRAMS)} = k GROUP BY event_id"""
 
 RUNS = view("runs", run_columns(DUCK))
@@ -386,7 +449,9 @@ ORACLES["run_triage"] = f"""WITH {RUNS} SELECT run_id,
   CASE {CASE9} WHEN 3 THEN {lit(audit.NO_NEW_FIELDS)} WHEN 4 THEN {lit(audit.ONLY_MESSAGE)} END AS warning,
   CASE {CASE9} WHEN 1 THEN 'Runtime error: function call error ' || run_id WHEN 2 THEN {lit(audit.EMPTY_RUN)}
     WHEN 5 THEN 'Vector binary not found at: vector' WHEN 6 THEN 'Vector timed out after 15000ms'
-    WHEN 7 THEN 'out ' || run_id WHEN 8 THEN 'bad ' || run_id END AS error FROM runs"""
+    WHEN 7 THEN CASE WHEN run_id % 2 = 1 THEN 'out ' ELSE 'spawn ' END || run_id
+    WHEN 8 THEN 'bad ' || run_id END AS error,
+  CAST(CASE {CASE9} WHEN 5 THEN -1 WHEN 6 THEN -2 WHEN 7 THEN 70 WHEN 8 THEN 70 ELSE 0 END AS INT) AS exit FROM runs"""
 ORACLES["input_wrap"] = f"""WITH {RUNS} SELECT run_id,
   CASE WHEN {CASE9} = 8 THEN '{{"message":"plain ' || run_id || '"}}' ELSE input END AS event FROM runs"""
 
@@ -504,10 +569,13 @@ def rule_sql(rule: alerts.Rule) -> str:
 
 RULESET = f"""{ALL_SAMPLES}, firing AS ({chr(10).join(' UNION ALL ' * (i > 0) + rule_sql(r) for i, r in enumerate(alerts.CAPTURE_RULES))}),
 alert_rows AS (SELECT * FROM {states('firing', f'rule, {LABEL_LIST}', 'for_us', catalog.STEP_S)})"""
-ORACLES["alert_ruleset"] = f"""WITH {RULESET} SELECT rule, severity, {LABEL_LIST}, ts, round(value, 9) AS value, state, active_since, summary, description
+# The labels that no rule's metric has are not rendered here.
+SERIES = "'[' || concat_ws(',', " + ", ".join(
+    f"CASE WHEN {k} IS NOT NULL THEN concat('{{\"key\":\"{k}\",\"value\":\"', {k}, '\"}}') END" for k in ("device", "mountpoint", "node")) + ") || ']'"
+ORACLES["alert_ruleset"] = f"""WITH {RULESET} SELECT rule, severity, {SERIES} AS series, {LABEL_LIST}, ts, round(value, 9) AS value, state, active_since, summary, description
 FROM alert_rows"""
 LOW_RULES = ", ".join(lit(r.name) for r in alerts.CAPTURE_RULES if r.op in ("<", "<="))
-ORACLES["alerts_summary"] = f"""WITH {RULESET} SELECT rule, {LABEL_LIST}, active_since, min(ts) AS fired_at, max(ts) AS last_at,
+ORACLES["alerts_summary"] = f"""WITH {RULESET} SELECT rule, {SERIES} AS series, {LABEL_LIST}, active_since, min(ts) AS fired_at, max(ts) AS last_at,
   count(*) AS evaluations, round(CASE WHEN rule IN ({LOW_RULES}) THEN min(value) ELSE max(value) END, 9) AS worst
 FROM alert_rows WHERE state = 'firing' GROUP BY rule, {LABEL_LIST}, active_since"""
 ORACLES["relabel"] = f"""WITH {ALL_SAMPLES} SELECT metric, concat_ws(';', 'app=' || app_proto, 'app_proto=' || app_proto, 'device=fixed',
@@ -522,7 +590,7 @@ UNION ALL SELECT 'suricata:drops:percent', instance, ts, round(d.rate / greatest
 
 # ---- streams: what the batch plans give ----------------------------------------------------------
 
-ORACLES["stream_parse"] = f"""WITH {MIXED} SELECT line_id, format, timestamp, level, service, status,
+ORACLES["stream_parse"] = f"""WITH {MIXED} SELECT line_id, format, timestamp, level, service, status, message, extra,
   CASE WHEN ok THEN 'events' ELSE 'dead_letter' END AS route FROM mixed"""
 ORACLES["stream_signatures"] = f"""WITH {LINES}, {SIGNED}, daily AS (
   SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, source, signature, count(*) AS lines

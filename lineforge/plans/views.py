@@ -164,12 +164,15 @@ def run_columns(d: Dialect) -> list[str]:
         "event_id AS run_id",
         f"CASE WHEN event_id % 9 = 8 THEN concat('plain ', {eid}) ELSE {given} END AS input",
         f"""CASE event_id % 9 WHEN 0 THEN concat({esc}, '[32m', {good}, {esc}, '[0m') WHEN 1 THEN {good} WHEN 2 THEN ' '
-  WHEN 3 THEN {same} WHEN 4 THEN {kept} WHEN 5 THEN '' WHEN 6 THEN '' WHEN 7 THEN concat('out ', {eid}) ELSE {good} END AS stdout""",
+  WHEN 3 THEN {same} WHEN 4 THEN {kept} WHEN 5 THEN '' WHEN 6 THEN '' WHEN 7 THEN CASE WHEN event_id % 2 = 0 THEN '' ELSE concat('out ', {eid}) END ELSE {good} END AS stdout""",
         f"""CASE event_id % 9 WHEN 0 THEN concat('2024-01-01T00:00:00Z  WARN slow ', {eid}, {nl})
   WHEN 1 THEN concat('2024-01-01T00:00:00Z INFO up', {nl}, 'function call error ', {eid}) WHEN 2 THEN ''
   WHEN 7 THEN '' WHEN 8 THEN concat({esc}, '[31mbad ', {eid}, {esc}, '[0m') ELSE '' END AS stderr""",
         "CAST(CASE WHEN event_id % 9 IN (7, 8) THEN 70 ELSE CASE WHEN event_id % 9 IN (5, 6) THEN 1 ELSE 0 END END AS INT) AS exit_code",
-        "event_id % 9 = 6 AS killed",
+        "event_id % 9 = 6 AND event_id % 2 = 0 AS killed",
+        f"CASE WHEN event_id % 9 = 6 AND event_id % 2 = 1 THEN 'SIGTERM' WHEN event_id % 9 = 8 THEN 'SIGSEGV' "
+        f"ELSE CAST(NULL AS {d.string_type}) END AS signal",
+        f"CASE WHEN event_id % 9 IN (7, 8) THEN concat({esc}, '[31mspawn ', {eid}, {esc}, '[0m') END AS message",
         f"CASE WHEN event_id % 9 = 5 THEN 'ENOENT' ELSE CAST(NULL AS {d.string_type}) END AS error_code",
     ]
 
@@ -290,6 +293,18 @@ def with_lines(events: DataFrame) -> DataFrame:
 LEVELS = "CAST(CASE WHEN event_id % 100 = 7 THEN event_id * 7 % 1000 + 1 ELSE event_id % 7 + 1 END AS INT)"
 
 
+def structured_columns(d: Dialect) -> list[str]:
+    """RFC 5424 lines: two elements with escaped quotes, brackets and backslashes, one, or none."""
+    uid, eid = d.s("user_id"), d.s("event_id")
+    slash = "chr(92)"  # a backslash in a literal means different things to the two engines
+    value = f"""concat('a ', {slash}, '"q', {slash}, '" [b', {slash}, '] c:', {slash}, {slash}, 'd')"""
+    element = f"""concat('[ids@1 user="', {uid}, '" note="', {value}, '"]')"""
+    data = f"""CASE event_id % 3 WHEN 0 THEN concat({element}, '[o@2 empty="" event="', event_type, '"]')
+  WHEN 1 THEN '[only@3]' ELSE '-' END"""
+    raw = f"""concat('<', {d.s(PRI)}, '>1 ', {d.when('iso')}, 'Z host ', event_type, ' ', {eid}, ' ID', {uid}, ' ', {data}, ' value [x] ', {eid})"""
+    return ["event_id AS line_id", f"{raw} AS raw"]
+
+
 def deep_columns(d: Dialect) -> list[str]:
     nested = f"""concat(repeat('{{"k":', {LEVELS} - 1), '{{"k":"', event_type, '","tags":["a", {{"b":2}}]}}', repeat('}}', {LEVELS} - 1))"""
     return ["event_id", f"{nested} AS event_json"]
@@ -317,6 +332,9 @@ class Views:
     def raw_events(self) -> DataFrame:
         return self._events(event_columns(SPARK))
 
+    def structured_lines(self) -> DataFrame:
+        return self._events(structured_columns(SPARK))
+
     def deep_events(self) -> DataFrame:
         return self._events(deep_columns(SPARK))
 

@@ -158,3 +158,18 @@ def test_wrap(spark):
     rows = spark.createDataFrame([('{ "b" : "x y" , "a":1}',), ("[1]",), ("plain \"q\"",)], "input string")
     assert [r["event"] for r in audit.input_wrap(rows).collect()] == [
         '{"b":"x y","a":1}', '{"message":"[1]"}', '{"message":"plain \\"q\\""}']
+
+
+def test_triage_reads_signal_and_message(spark):
+    rows = spark.createDataFrame([
+        (1, None, None, None, None, None, False, "SIGTERM", None), (2, None, None, None, None, None, False, "SIGKILL", "\x1b[31mgone"),
+        (3, "", "", "", 3, None, None, None, None), (4, "{}", "", "", 0, None, True, None, "m"), (5, "{}", "o", "e", 0, "ENOENT", True, None, "m"),
+        (6, "{}", "o", "e", 0, None, False, "SIGSEGV", "m")],
+        "run_id long, input string, stdout string, stderr string, exit_code int, error_code string, killed boolean, signal string, message string")
+    found = {r["run_id"]: (r["outcome"], r["error"], r["exit"]) for r in audit.run_triage(rows, timeout_ms=9).collect()}
+    assert found == {
+        1: ("timeout", "Vector timed out after 9ms", -2), 2: ("failed", "gone", 1), 3: ("failed", "Unknown error", 3),
+        4: ("timeout", "Vector timed out after 9ms", -2), 5: ("not_found", "Vector binary not found at: vector", -1),
+        6: ("failed", "e", 0)}
+    plain = audit.run_triage(rows.drop("signal", "message")).where("run_id = 2").first()
+    assert (plain["outcome"], plain["error"]) == ("failed", "Unknown error")

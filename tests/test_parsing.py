@@ -146,3 +146,65 @@ def test_file_scans(spark, tmp_path):
         raise AssertionError("a bad line went through")
     except Exception as problem:
         assert "MALFORMED" in str(problem).upper()
+
+
+@pytest.mark.parametrize("data, wanted", [
+    ("-", None),
+    ("[only@1]", {"only@1": {}}),
+    (r'[a x="1" y="a\"b\]c\\d"][b z=""]', {"a": {"x": "1", "y": 'a"b]c\\d'}, "b": {"z": ""}}),
+    ('[a x="]"]', {"a": {"x": "]"}}),  # bare brackets in quotes are read as well
+    ('[a x="1" x="2"][a y="3"]', {"a": {"y": "3"}}),
+])
+def test_structured_data(spark, data, wanted):
+    row = parsing.parse_syslog(table(spark, [f"<34>1 2024-01-05T10:00:00Z h app 7 ID1 {data} the [message]"])).first()
+    assert (row["ok"], row["message"], row["structured_data"]) == (True, "the [message]", wanted)
+
+
+def test_structured_data_that_does_not_end(spark):
+    lines = [f"<34>1 2024-01-05T10:00:00Z h app 7 ID1 {d} m" for d in ('[a x="1"', '[a x="1\\"]', "[" * 5000)]
+    assert [r["ok"] for r in parsing.parse_syslog(table(spark, lines)).collect()] == [False] * 3
+
+
+def test_mixed_lines_keep_all_fields(spark):
+    lines = [
+        "time=2024-01-05T10:00:00Z level=info extra=7 user=bob",
+        '{"time":"2024-01-05T10:00:00Z","timestamp":"2024-01-05T11:00:00Z","level":"x","a":{"b":1},"n":null}',
+        '<34>1 2024-01-05T10:00:00Z h app 7 ID1 [e@1 k="v w"] text',
+        '1.2.3.4 - - [05/Jan/2024:10:00:00 +0000] "GET /x HTTP/1.1" 200 -',
+        "2024-01-05 10:00:00 [t1] INFO c.x - did it id=5",
+        "2024-01-05,10:00:00,1.2.3.4,GET,/x,200,1.5", "no shape at all",
+    ]
+    rows = parsing.parse_mixed(table(spark, lines)).collect()
+    assert [r["extra"] for r in rows] == [
+        {"extra": "7", "user": "bob"}, {"time": "2024-01-05T10:00:00Z", "a": '{"b":1}'},
+        {"facility": "auth", "hostname": "h", "procid": "7", "msgid": "ID1", "version": "1", "e@1.k": "v w"},
+        {"httpversion": "1.1"}, {"thread": "t1", "id": "5"}, {"duration": "1.5"}, None]
+    assert [r["ok"] for r in rows] == [True] * 6 + [False]
+
+
+def test_own_patterns(spark):
+    lines = ["id=5 by bob", "by ann", "x id=7 y by", "", None, "id=(9)"]
+    parsed = parsing.parse_regex(
+        table(spark, lines), [r"id=(?P<number>\d+)(?: by (?<who_is>\w+))?", r"^by (?P<who_is>\w+)$", r"id=\((\d)\)"],
+        fields={"number": ("number", "long")})
+    rows = parsed.collect()
+    assert [r["pattern"] for r in rows] == [0, 1, 0, None, None, 2]
+    assert [r["number"] for r in rows] == [5, None, 7, None, None, None]
+    assert [r["fields"] for r in rows] == [{"who_is": "bob"}, {"who_is": "ann"}, {}, None, None, {}]
+    assert [r["reason"] for r in rows] == [None, None, None, "no pattern found", "no pattern found", None]
+
+
+def test_named_groups():
+    assert parsing.named_groups(r"(a)(?P<x_1>b)(?:c)[(?<no>]\(?(?<y>d(?=e)(?<!f))") == (
+        r"(a)(b)(?:c)[(?<no>]\(?(d(?=e)(?<!f))", {"x_1": 2, "y": 3})
+
+
+def test_groks(spark):
+    lines = ["10.0.0.1 took 5", "fe80::1 took x", "host-1.example took 12"]
+    parsed = parsing.parse_groks(table(spark, lines), ["^%{IPORHOST:client} took %{NUM:ms:int}$"], aliases={"NUM": "%{INT}"})
+    rows = parsed.collect()
+    assert [(r["ms"], r["fields"]) for r in rows] == [
+        (5, {"client": "10.0.0.1"}), (None, None), (12, {"client": "host-1.example"})]
+    for pattern in ("%{NOPE}", "%{LOOP}"):
+        with pytest.raises(ValueError):
+            parsing.expand_groks(pattern, {"LOOP": "%{LOOP}"})
