@@ -1,6 +1,7 @@
 """Rows that do not fit, odd key-value text, coercion, flattening, routing."""
 
 import json
+import random
 
 import pytest
 
@@ -130,12 +131,63 @@ def test_logfmt(spark):
     assert sinks.encode_events(rows, ["n", "x", "q", "e"], "logfmt").first()["encoded"] == 'n=1 q="a \\"b\\"\\n" e=""'
 
 
+def random_json(rng, depth=0):
+    """Values full of what could mislead a cut: commas, brackets, quotes and backslashes in strings."""
+    kind = rng.randrange(7 if depth < 4 else 3)
+    if kind < 3:
+        text = "".join(rng.choice(',[]{}"\\ aé🙂:') for _ in range(rng.randrange(12)))
+        return rng.choice([text, rng.randrange(100), None, True, -1.5])
+    if kind < 5:
+        return [random_json(rng, depth + 1) for _ in range(rng.randrange(5))]
+    return {f"k{i},": random_json(rng, depth + 1) for i in range(rng.randrange(5))}
+
+
+@pytest.mark.parametrize("split_bytes", ["37", "1000", "128m"])
+def test_array_is_cut_in_blocks(spark, tmp_path, split_bytes):
+    """One file of many splits gives the elements that reading it whole gives."""
+    rng = random.Random(7)
+    wanted = [random_json(rng) for _ in range(150)] + ["long " + '",[' * 300, list(range(300))]
+    (tmp_path / "a b.json").write_text(" [" + " ,\n".join(json.dumps(x, ensure_ascii=rng.random() < 0.5) for x in wanted) + "\n]\n")
+    (tmp_path / "one.json").write_text("[7]")
+    (tmp_path / "none.json").write_text(" [ \n] ")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        scanned = files.scan_events(spark, str(tmp_path), shape="array")
+        rows = scanned.collect()
+        parts = spark.read.option("lineSep", ",").text(str(tmp_path)).rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert all(r["ok"] for r in rows)
+    assert sorted(json.dumps(json.loads(r["text"])) for r in rows) == sorted(json.dumps(x) for x in [*wanted, 7])
+    assert split_bytes == "128m" or parts > 10
+
+
+@pytest.mark.parametrize("body, wanted", [
+    ("[1, 2", [("1", True, None), ("2", True, None), ("", False, "array does not end")]),
+    ('[1, "a]', [("1", True, None), ('"a]', False, "not valid JSON"), ("", False, "array does not end")]),
+    ("[1] 2, 3", [("1", True, None), ("2, 3", False, "outside the array")]),
+    ("[1, bad, 3]", [("1", True, None), ("bad", False, "not valid JSON"), ("3", True, None)]),
+    ('{"a": [1, 2]}', [('{"a": [1, 2]}', False, "not an array")]), ("", []), ("[]", []),
+])
+def test_arrays_that_are_broken(spark, tmp_path, body, wanted):
+    (tmp_path / "a.json").write_text(body)
+    rows = files.scan_events(spark, str(tmp_path), shape="array").collect()
+    assert sorted((r["text"], r["ok"], r["reason"]) for r in rows) == sorted(wanted)
+    with pytest.raises(Exception):
+        if all(ok for _, ok, _ in wanted):
+            raise ValueError("nothing to fail on")
+        files.scan_events(spark, str(tmp_path), shape="array", mode="failfast").collect()
+
+
 def test_file_scans(spark, tmp_path):
     (tmp_path / "a.json").write_text('\n [\n {"a": 1},\n 2, {"a": 3}]\n')
     (tmp_path / "b.json").write_text('{"a": 4}\n\n  {"a": 5}\nbad\n')
     events = files.scan_events(spark, str(tmp_path), shape="auto").collect()
     assert sorted((r["text"], r["ok"]) for r in events) == sorted([
-        ('{"a":1}', True), ("2", True), ('{"a":3}', True), ('{"a": 4}', True), ('{"a": 5}', True), ("bad", False)])
+        ('{"a": 1}', True), ("2", True), ('{"a": 3}', True), ('{"a": 4}', True), ('{"a": 5}', True), ("bad", False)])
     shapes = {r["file"].rsplit("/", 1)[1]: r["shape"] for r in files.detect_input_shape(spark, str(tmp_path)).collect()}
     assert shapes == {"a.json": "batch", "b.json": "single"}
     firsts = sorted(r["raw"] for r in files.scan_lines(spark, str(tmp_path), "first").collect())
