@@ -12,9 +12,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lineforge.session import delete_table, materialize
+
 MICROS = 1_000_000
 
 
@@ -282,3 +284,37 @@ def recording_rules(
 def write_recorded(recorded: DataFrame, path: str) -> None:
     """Recorded series as parquet by day, so retention and reads prune whole days."""
     recorded.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
+
+
+def retain_recorded(spark: SparkSession, path: str, days: int = 30, now: datetime | None = None) -> None:
+    """Applies ``series_retention`` to series stored by ``write_recorded``, in place.
+
+    Days that are wholly too old are deleted as folders, unread. Of the border day the younger rows are written anew; later
+    days are not touched. Without ``now`` the newest sample counts, for which only the newest day is read. Running it again
+    changes nothing. An interrupted run leaves each day as it was or as it shall be.
+    """
+    store = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = store.getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = {s.getPath().getName().removeprefix("day="): s.getPath() for s in system.listStatus(store)
+               if s.isDirectory() and s.getPath().getName().startswith("day=")}
+    folders = {day: folder for day, folder in folders.items() if day[:1].isdigit()}  # not those of null times
+    if not folders:
+        return
+    stored = spark.read.parquet(path)
+    if now is None:
+        newest = stored.filter(F.col("day") == F.lit(max(folders)).cast("date")).agg(F.max("ts").alias("ts"))
+    else:
+        newest = spark.range(1).select(F.lit(now).cast("timestamp").alias("ts"))
+    limit = F.col("ts") - F.make_dt_interval(days=F.lit(days))
+    border, micros = newest.select(F.to_date(limit).cast("string"), F.unix_micros(limit)).first()
+    if border in folders:
+        last = stored.filter(F.col("day") == F.lit(border).cast("date"))
+        kept = materialize(last.filter(F.unix_micros("ts") > micros), "retained")  # a table cannot be overwritten while read
+        if kept.isEmpty():
+            system.delete(folders[border], True)
+        else:
+            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+        delete_table(kept)
+    for day, folder in folders.items():
+        if day < border:
+            system.delete(folder, True)

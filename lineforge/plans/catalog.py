@@ -615,14 +615,25 @@ def series_retention(v: Views) -> DataFrame:
     return kept.select("ts", "instance", "metric", "value")
 
 
-@query
-def recording_rules(v: Views) -> DataFrame:
+def _recorded(v: Views) -> str:
     recorded = metrics.recording_rules(
         v.metric_samples(), ["instance"], {"suricata:packets:rate": "suricata_capture_kernel_packets_total"},
         ("suricata:drops:percent", "suricata_capture_kernel_drops_total", "suricata_capture_kernel_packets_total"),
         STEP_S, RATE_S)
     path = scratch_path(v.spark, "recorded")
     metrics.write_recorded(recorded, path)
+    return path
+
+
+@query
+def recording_rules(v: Views) -> DataFrame:
+    return _rounded(v.spark.read.parquet(_recorded(v)).select("metric", "instance", "ts", "value"), "value")
+
+
+@query
+def retain_recorded(v: Views) -> DataFrame:
+    path = _recorded(v)
+    metrics.retain_recorded(v.spark, path, days=7)
     return _rounded(v.spark.read.parquet(path).select("metric", "instance", "ts", "value"), "value")
 
 

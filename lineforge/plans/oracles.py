@@ -588,6 +588,9 @@ d AS {grid_rates('all_samples', 'instance', f"metric = '{DROPS}'")}
 SELECT 'suricata:packets:rate' AS metric, instance, ts, round(rate, 9) AS value FROM p
 UNION ALL SELECT 'suricata:drops:percent', instance, ts, round(d.rate / greatest(p.rate, 1) * 100, 9) FROM d JOIN p USING (instance, ts)"""
 
+ORACLES["retain_recorded"] = f"""WITH r AS ({ORACLES["recording_rules"]})
+SELECT * FROM r WHERE ts > (SELECT max(ts) - INTERVAL 7 DAY FROM r)"""
+
 # ---- streams: what the batch plans give ----------------------------------------------------------
 
 ORACLES["stream_parse"] = f"""WITH {MIXED} SELECT line_id, format, timestamp, level, service, status, message, extra,

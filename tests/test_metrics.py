@@ -134,6 +134,27 @@ def test_retention(spark):
     assert sorted(r["value"] for r in metrics.series_retention(rows, 30).collect()) == [3.0, 4.0]
 
 
+def test_stored_retention_reads_the_border_day_only(spark, tmp_path):
+    day = 86_400
+    points = [(0, 1), (day - 1, 2), (day, 3), (day + 100, 4), (2 * day + 5, 5), (3 * day + 50, 6)]
+    metrics.write_recorded(series(spark, points).select("metric", "instance", "ts", "value").coalesce(1), str(tmp_path))
+    files = lambda: {p.parent.name: p.name for p in tmp_path.glob("day=*/*.parquet")}
+    first = files()
+    metrics.retain_recorded(spark, str(tmp_path), days=2)
+    left = files()
+    assert sorted(left) == ["day=2024-01-02", "day=2024-01-03", "day=2024-01-04"]
+    assert left["day=2024-01-02"] != first["day=2024-01-02"]
+    assert {d: left[d] for d in ("day=2024-01-03", "day=2024-01-04")} == {d: first[d] for d in ("day=2024-01-03", "day=2024-01-04")}
+    assert sorted(r["value"] for r in spark.read.parquet(str(tmp_path)).collect()) == [4.0, 5.0, 6.0]
+    metrics.retain_recorded(spark, str(tmp_path), days=2)
+    assert spark.read.parquet(str(tmp_path)).count() == 3
+    metrics.retain_recorded(spark, str(tmp_path), days=1, now=at(3 * day + 3000))
+    assert sorted(files()) == ["day=2024-01-04"]
+    metrics.retain_recorded(spark, str(tmp_path), days=1, now=at(90 * day))
+    assert files() == {}
+    metrics.retain_recorded(spark, str(tmp_path), days=1)
+
+
 def test_states_for_met_exactly_gap_and_false(spark):
     truth = [(0, 1), (30, 1), (60, 1), (90, 0), (120, 1), (180, 1), (210, 1), (240, 1)]
     got = alerts.alert_states(series(spark, truth), ["instance"], F.col("value") > 0, 60).orderBy("ts").collect()
