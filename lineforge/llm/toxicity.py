@@ -27,15 +27,15 @@ WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 16
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 13, 1 << 14
 FORWARD = 1024  # windows scored at once
+BLOCK = 4096  # distinct words whose inputs are made at once
 THRESHOLD = 0.7
 
 
 @dataclass(frozen=True)
 class Training:
-    """``rows_per_label`` bounds the labelled rows that are fitted on, ``chars`` what is taken of a long one."""
+    """``rows_per_label`` bounds the labelled rows that are fitted on; their texts are whole."""
 
     rows_per_label: int = 1000
-    chars: int = 20_000
     random_epochs: int = 3
     epochs: int = 9
     batch: int = 128
@@ -45,34 +45,44 @@ class Training:
 
 # ---- input -------------------------------------------------------------------------------------
 
-def word_features(found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words of a batch: which one each word is, its word bucket, and its character n-grams.
-
-    The n-gram buckets of all distinct words are one array, cut by the last result.
-    """
-    _, first, which = np.unique(found.hash, return_index=True, return_inverse=True)
-    start, length = found.start[first], (found.end - found.start)[first]
-    word_ids = (found.hash[first] % np.uint64(WORD_BUCKETS)).astype(np.int64)
-    # bytes of the distinct words, each between marks of its start and end
+def _char_grams(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the character n-grams of some words, and how many each word has."""
+    # bytes of the words, each between marks of its start and end
     cuts = np.concatenate([[0], np.cumsum(length + 2)])
     flat = np.zeros(cuts[-1], dtype=np.uint64)
     inner = np.arange(cuts[-1]) - np.repeat(cuts[:-1], length + 2) - 1
     body = (inner >= 0) & (inner < np.repeat(length, length + 2))
-    flat[body] = found.data[np.repeat(start, length) + inner[body]]
+    flat[body] = data[np.repeat(start, length) + inner[body]]
     flat[cuts[:-1]], flat[cuts[1:] - 1] = 1, 2
     grams, owners = [], []
     left = np.repeat(cuts[1:], length + 2) - np.arange(cuts[-1])  # bytes from here to the word's end
-    owner = np.repeat(np.arange(len(first)), length + 2)
+    owner = np.repeat(np.arange(len(start)), length + 2)
     for n in (3, 4):
         at = np.flatnonzero(left >= n)
         h = np.full(len(at), n, dtype=np.uint64)
         for j in range(n):
             h = h * np.uint64(BASE) + flat[at + j]
-        grams.append((mix(h) % np.uint64(CHAR_BUCKETS)).astype(np.int64))
+        grams.append((mix(h) % np.uint64(CHAR_BUCKETS)).astype(np.int32))
         owners.append(owner[at])
-    gram, owner = np.concatenate(grams), np.concatenate(owners)
+    owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")  # every word has a 3-gram with its marks
-    return which.reshape(-1), word_ids, gram[order], np.searchsorted(owner[order], np.arange(len(first) + 1))
+    return np.concatenate(grams)[order], np.bincount(owner, minlength=len(start))
+
+
+def word_features(found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of a batch: which one each word is, its word bucket, and its character n-grams.
+
+    The n-gram buckets of all distinct words are one array, cut by the last result. They are made block by block.
+    """
+    _, first, which = np.unique(found.hash, return_index=True, return_inverse=True)
+    word_ids = (found.hash[first] % np.uint64(WORD_BUCKETS)).astype(np.int32)
+    grams, counts = [np.empty(0, dtype=np.int32)], [np.zeros(1, dtype=np.int64)]
+    for at in range(0, len(first), BLOCK):
+        part = first[at:at + BLOCK]
+        gram, count = _char_grams(found.data, found.start[part], (found.end - found.start)[part])
+        grams.append(gram)
+        counts.append(count)
+    return which.reshape(-1).astype(np.int32), word_ids, np.concatenate(grams), np.cumsum(np.concatenate(counts))
 
 
 def window_starts(n_words: int) -> np.ndarray:
@@ -87,10 +97,12 @@ def cut_windows(which: np.ndarray, bounds: np.ndarray, blank: int) -> tuple[np.n
     starts = [window_starts(int(b - a)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     text = np.repeat(np.arange(len(starts)), [len(s) for s in starts])
     at = (np.concatenate(starts) if starts else np.empty(0, dtype=np.int64)) + bounds[text]
-    place = at[:, None] + np.arange(WINDOW)
-    inside = place < bounds[text + 1][:, None]
-    padded = np.append(which, blank)
-    return np.where(inside, padded[np.minimum(place, len(which))], blank), text
+    padded = np.append(which, blank).astype(np.int32)
+    out = np.empty((len(at), WINDOW), dtype=np.int32)
+    for step in range(WINDOW):
+        place = at + step
+        out[:, step] = np.where(place < bounds[text + 1], padded[np.minimum(place, len(which))], blank)
+    return out, text
 
 
 # ---- network -----------------------------------------------------------------------------------
@@ -121,10 +133,13 @@ class Network:
 
     def inputs(self, word_ids: np.ndarray, grams: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         """Embedding of each distinct word."""
-        if not len(word_ids):
-            return np.zeros((0, WORD_DIM + CHAR_DIM), dtype=np.float32)
-        mean = np.add.reduceat(self.p["char"][grams], cuts[:-1]) / np.diff(cuts)[:, None]
-        return np.concatenate([self.p["word"][word_ids], mean], axis=1).astype(np.float32)
+        out = np.empty((len(word_ids), WORD_DIM + CHAR_DIM), dtype=np.float32)
+        out[:, :WORD_DIM] = self.p["word"][word_ids]
+        for lo in range(0, len(word_ids), BLOCK):
+            hi = min(lo + BLOCK, len(word_ids))
+            own = self.p["char"][grams[cuts[lo]:cuts[hi]]]
+            out[lo:hi, WORD_DIM:] = np.add.reduceat(own, cuts[lo:hi] - cuts[lo]) / np.diff(cuts[lo:hi + 1])[:, None]
+        return out
 
     def forward(self, gates: np.ndarray, inside: np.ndarray, keep: bool = False):
         """Logits of windows from their gate inputs (windows, steps, 6 * HIDDEN); what backward needs if ``keep``."""
@@ -196,8 +211,8 @@ class Network:
 
     def score_windows(self, word_ids, grams, cuts, windows: np.ndarray) -> np.ndarray:
         """Logits of the windows of one batch of texts. The input layer is applied once per distinct word."""
-        gates = self.inputs(word_ids, grams, cuts) @ self.p["input"] + self.p["bias"]
-        gates = np.concatenate([gates, np.zeros((1, 6 * HIDDEN), dtype=np.float32)])
+        gates = np.zeros((len(word_ids) + 1, 6 * HIDDEN), dtype=np.float32)
+        gates[:-1] = self.inputs(word_ids, grams, cuts) @ self.p["input"] + self.p["bias"]
         blank = len(gates) - 1
         out = np.empty(len(windows), dtype=np.float32)
         for at in range(0, len(windows), FORWARD):
@@ -241,9 +256,11 @@ def train(texts: pa.Array, labels: np.ndarray, how: Training = Training(), odds:
         net.a, net.b = 0.0, float(np.log(share / (1 - share)))
         return net
     found = words(*column_bytes(texts))
+    del texts
     which, word_ids, grams, cuts = word_features(found)
     blank = len(word_ids)
     windows, text = cut_windows(which, found.bounds, blank)
+    del found, which  # only windows over numbers of distinct words are left
     first = np.searchsorted(text, np.arange(len(labels) + 1))
     aside = rng.random(len(labels)) < 0.2
     fitted = np.flatnonzero(~aside)
@@ -299,11 +316,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, how: Training) -> tuple[
     ids = [r for value in (0, 1) for r in rows.where(F.col("toxic") == value).orderBy(
         F.xxhash64("doc_id"), "doc_id").limit(how.rows_per_label).collect()]
     chosen = docs.sparkSession.createDataFrame(ids, rows.schema)
-    text = F.coalesce("text", F.lit(""))
-    spare = F.greatest(F.length(text) - how.chars, F.lit(0))
-    piece = F.substring(text, F.pmod(F.xxhash64("doc_id"), spare + 1).cast("int") + 1, F.lit(how.chars))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    return found.select("doc_id", piece.alias("text"), "toxic").orderBy("doc_id", "text").toArrow(), odds
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(
+        F.broadcast(chosen), "doc_id")
+    # rows that share a chosen id do not add to the bound
+    return found.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * how.rows_per_label).select(
+        "doc_id", "text", "toxic").toArrow(), odds
 
 
 def _scores(net: Network, texts: pa.Array) -> np.ndarray:
@@ -314,7 +331,10 @@ def _scores(net: Network, texts: pa.Array) -> np.ndarray:
 
 
 def without_toxic(docs: DataFrame, net: Network) -> DataFrame:
-    """The rows of ``docs`` that are not predicted to be toxic, with all their columns."""
+    """The rows of ``docs`` that are not predicted to be toxic, with all their columns.
+
+    Null texts count as empty. Repeated rows stay or go together. No rows: no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(net)
     at = docs.columns.index("text")
 
@@ -326,7 +346,10 @@ def without_toxic(docs: DataFrame, net: Network) -> DataFrame:
 
 
 def score_documents(docs: DataFrame, net: Network) -> DataFrame:
-    """Per row of ``docs(doc_id, text, ...)``: ``doc_id``, ``score`` (0 to 1, higher: more toxic), ``predicted``."""
+    """Per row of ``docs(doc_id, text, ...)``: ``doc_id``, ``score`` (0 to 1, higher: more toxic), ``predicted``.
+
+    A null text is empty and scores as one without words. Repeated rows score alike. No rows: no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,7 +365,10 @@ def score_documents(docs: DataFrame, net: Network) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Network:
     sample, odds = labelled_sample(docs, labels, how)
-    return train(sample["text"].combine_chunks(), sample["toxic"].to_numpy().astype(np.int64), how, odds)
+    label = sample["toxic"].to_numpy().astype(np.int64)
+    texts = sample.column("text")
+    del sample
+    return train(texts.combine_chunks(), label, how, odds)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> DataFrame:
