@@ -32,12 +32,13 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(renamed, condition, how).drop(*[f"__{k}" for k in keys])
 
 
-def _quantiles(order: str, bits: int) -> Column:
+def quantiles(order: str, bits: int) -> Column:
+    """The cuts of ``2 ** bits`` ranges of about equal numbers of rows, by a mergeable sketch."""
     parts = 1 << bits
     return F.percentile_approx(order, [i / parts for i in range(1, parts)], SKETCH * parts)
 
 
-def _range_of(order: str, cuts: Column, bits: int) -> Column:
+def range_of(order: str, cuts: Column, bits: int) -> Column:
     """How many of the sorted cuts are below the value, by halving; null values come first."""
     halves = F.array(*[F.lit(1 << k) for k in reversed(range(bits))])
     return F.aggregate(halves, F.lit(0), lambda low, half: low + F.when(
@@ -46,11 +47,11 @@ def _range_of(order: str, cuts: Column, bits: int) -> Column:
 
 def _ranged(df: DataFrame, group: list[str], order: str, bits: int) -> tuple[DataFrame, DataFrame]:
     """Rows with their ``__range``, and per (group, range) the offset, size and group total."""
-    cuts = df.agg(_quantiles(order, bits).alias("c")).scalar()
-    coarse = df.withColumn("__cuts", cuts).withColumn("__coarse", _range_of(order, F.col("__cuts"), bits)).drop("__cuts")
-    inner = coarse.groupBy("__coarse").agg(_quantiles(order, bits).alias("__cuts"))
+    cuts = df.agg(quantiles(order, bits).alias("c")).scalar()
+    coarse = df.withColumn("__cuts", cuts).withColumn("__coarse", range_of(order, F.col("__cuts"), bits)).drop("__cuts")
+    inner = coarse.groupBy("__coarse").agg(quantiles(order, bits).alias("__cuts"))
     fine = join_on(coarse, inner, ["__coarse"])
-    number = F.shiftleft("__coarse", bits) + _range_of(order, F.col("__cuts"), bits)
+    number = F.shiftleft("__coarse", bits) + range_of(order, F.col("__cuts"), bits)
     rows = fine.withColumn("__range", number).drop("__coarse", "__cuts")
     sizes = rows.groupBy(*group, "__range").agg(F.count("*").alias("__n"))
     running = Window.partitionBy(*group).orderBy("__range")
