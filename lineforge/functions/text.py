@@ -57,6 +57,13 @@ WHITE_SPACE = (
     + "\u2028\u2029\u202f\u205f\u3000"
 )
 
+# What cleaning removes, and the fences of a reply's code block.
+CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
+BLANK_LINES = r"\n{3,}"
+OPENING_FENCE = r"\A```(?:vrl|rust|toml)?\n?"
+CLOSING_FENCE = r"\n?```\z"
+FENCED = r"(?s)```(?:vrl|rust|toml)?\n(.*?)\n?```"
+
 
 def strip(text: Column) -> Column:
     """Strip white space of any kind; linear however long the runs are."""
@@ -81,8 +88,7 @@ def signature(text: Column) -> Column:
 
 def sanitize(text: Column) -> Column:
     """Drop control characters but tab and line ends, fold 3+ newlines to 2, strip."""
-    text = F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
-    return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(F.regexp_replace(text, CONTROL, ""), BLANK_LINES, "\n\n"))
 
 
 def screen(text: Column, dialect: str = "py") -> Column:
@@ -99,15 +105,13 @@ def screen(text: Column, dialect: str = "py") -> Column:
 
 def strip_fences(text: Column) -> Column:
     """Remove one code fence at the very start and one at the very end."""
-    text = F.regexp_replace(strip(text), r"\A```(?:vrl|rust|toml)?\n?", "")
-    return F.regexp_replace(text, r"\n?```\z", "")
+    return F.regexp_replace(F.regexp_replace(strip(text), OPENING_FENCE, ""), CLOSING_FENCE, "")
 
 
 def extract_fenced(text: Column) -> Column:
     """Content of the first fenced block anywhere; without one, as ``strip_fences``."""
-    block = r"(?s)```(?:vrl|rust|toml)?\n(.*?)\n?```"
     text = strip(text)
-    return F.when(text.rlike(block), F.regexp_extract(text, block, 1)).otherwise(strip_fences(text))
+    return F.when(text.rlike(FENCED), F.regexp_extract(text, FENCED, 1)).otherwise(strip_fences(text))
 
 
 def off_task(reply: Column) -> Column:

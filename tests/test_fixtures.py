@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lineforge.operators import fingerprint, ocsf, parsing
 
+# Example lines as they are published with the formats.
 LINES = {
     "syslog": "<34>Oct 11 22:14:15 mymachine su: 'su root' failed for lonvick on /dev/pts/8",
     "access": '93.180.71.3 - - [17/May/2015:08:05:32 +0000] "GET /downloads/product_1 HTTP/1.1" 304 0 "-" '
