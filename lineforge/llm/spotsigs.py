@@ -11,11 +11,13 @@ threshold must share one among the first ``length - ceil(threshold * length) + 1
 
 from __future__ import annotations
 
+from decimal import Decimal
 from math import log
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lineforge.operators import ranking
 from lineforge.session import materialize
 
 CHAIN = 2
@@ -25,15 +27,13 @@ COMMON = (
     "der die das und den von zu mit ist des auf im ein eine nicht sich "
     "de la le et les des du en un une que est pour dans il qui "
     "el los las y por con del se una lo al su").split()
-WORD = r"[\p{L}\p{N}]+"
-_COMMON = "(?:" + "|".join(sorted(set(COMMON))) + ")"
-_SKIPPED = rf" {_COMMON}(?![^ ])"
-_RUN = rf"{_COMMON}(?:{_SKIPPED})*+"
-# A run of anchors with the chain after it, looked ahead from so that chains overlap. A run is read as one, and skipped
-# possessively: long runs cost neither a stack frame nor a second look per word.
-_SPOT = (rf"(?<![^ ])(?<!(?<![^ ]){_COMMON} )(?=({_RUN}"
-         + rf"(?: (?!{_COMMON}(?![^ ]))[^ ]+(?:{_SKIPPED})*+)" * (CHAIN - 1)
-         + rf" (?!{_COMMON}(?![^ ]))[^ ]+))")
+MARK = "\x01"  # stands before common words; plain text holds letters, digits and spaces only
+_COMMON = r"(?<![^ ])(?:" + "|".join(sorted(set(COMMON))) + r")(?![^ ])"
+_ANCHOR, _CONTENT = f"{MARK}[^ ]++", f"[^ {MARK}][^ ]*+"
+_RUN = f"{_ANCHOR}(?: {_ANCHOR})*+"
+# A run of anchors with the chain after it, looked ahead at so that chains overlap; the run alone is consumed, and one
+# without a chain too, so every word is read a bounded number of times and no run costs a stack frame.
+_SPOT = f"(?:(?=({_RUN}" + f"(?: {_CONTENT}(?: {_ANCHOR})*+)" * (CHAIN - 1) + f" {_CONTENT})){_RUN}|{_RUN})"
 
 
 def signatures(text: Column) -> Column:
@@ -44,13 +44,20 @@ def signatures(text: Column) -> Column:
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
 
     def of_run(spot: Column) -> Column:
-        run = F.regexp_extract(spot, f"^{_RUN}(?= )", 0)
-        chain = F.regexp_replace(F.substring(spot, F.length(run) + 1, F.length(spot)), _SKIPPED, "")
-        return F.transform(F.array_distinct(F.split(run, " ")), lambda anchor: F.xxhash64(F.concat(anchor, chain)))
+        run = F.regexp_extract(spot, f"^(?:{_ANCHOR} )++", 0)
+        anchors = F.array_distinct(F.filter(F.split(F.translate(run, MARK, ""), " "), lambda w: w != ""))
+        chain = F.regexp_replace(F.substring(spot, F.length(run), F.length(spot)), f" {_ANCHOR}", "")
+        return F.transform(anchors, lambda anchor: F.xxhash64(F.concat(anchor, chain)))
 
-    spots = F.flatten(F.transform(F.regexp_extract_all(plain, F.lit(_SPOT), F.lit(1)), of_run))
-    whole = F.when(plain != "", F.array(F.xxhash64(plain))).otherwise(F.array().cast("array<bigint>"))
-    return F.array_sort(F.array_distinct(F.when(F.size(spots) > 0, spots).otherwise(whole)))
+    def of_text(words: Column) -> Column:
+        marked = F.regexp_replace(words, _COMMON, f"{MARK}$0")
+        runs = F.filter(F.regexp_extract_all(marked, F.lit(_SPOT), F.lit(1)), lambda spot: spot != "")
+        spots = F.array_distinct(F.flatten(F.transform(runs, of_run)))
+        whole = F.when(words != "", F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(F.array(spots), lambda found: F.array_sort(F.when(F.size(found) > 0, found).otherwise(whole)))[0]
+
+    # arrays of one name values that are used more than once
+    return F.transform(F.array(plain), of_text)[0]
 
 
 def as_text(signature: Column) -> Column:
@@ -67,29 +74,28 @@ def likeness(a: Column, b: Column) -> Column:
         shared / (F.size(a) + F.size(b) - shared))
 
 
-def _with_next(docs: DataFrame, rows_per_range: int = 1024, ranges: int = 1_000_000) -> DataFrame:
-    """Adds ``next``: text and signatures of the row with the next higher id; the last row's is the first's.
+def _with_next(docs: DataFrame, rows_per_range: int = 1024) -> DataFrame:
+    """Adds ``next``: text and signatures of the row with the next higher ``key``; the last row's is the first's.
 
-    Ids are cut into ranges of about ``rows_per_range`` rows, at most ``ranges`` of them. The first row of each is
-    also sent to the range before, so that no order over all rows is needed.
+    Keys are cut at their quantiles into ranges of about ``rows_per_range`` rows, up to 16,384 of them, however they cluster. The first
+    row of each is also sent to the range before, so that no order over all rows is needed. Only its signatures are
+    made twice.
     """
-    bounds = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).first()
-    if not bounds["n"] or bounds["lo"] is None:
-        return docs.withColumn("next", F.struct("text", "sigs")).where(F.lit(False))
-    parts = max(1, min(ranges, bounds["n"] // rows_per_range))
-    width = (bounds["hi"] - bounds["lo"]) // parts + 1
-    rows = docs.withColumn("__range", F.expr(f"(doc_id - {bounds['lo']}) div {width}"))
-    firsts = rows.groupBy("__range").agg(F.min("doc_id").alias("__first"))
-    order = Window.partitionBy(F.lit(0)).orderBy("__range")  # of at most ``ranges`` narrow rows
+    count = docs.count()
+    bits = max(1, min(14, (count // rows_per_range).bit_length()))
+    cuts = docs.agg(ranking.quantiles("key", bits).alias("cuts")).scalar()
+    rows = docs.withColumn("__cuts", cuts).withColumn("__range", ranking.range_of("key", F.col("__cuts"), bits)).drop("__cuts")
+    firsts = rows.groupBy("__range").agg(F.min("key").alias("__first"))
+    order = Window.partitionBy(F.lit(0)).orderBy("__range")  # of narrow rows, as many as there are ranges
     everything = Window.partitionBy(F.lit(0))
-    before = firsts.select("__first", F.coalesce(F.lag("__range").over(order), F.max("__range").over(everything)).alias("__to"))
-    before = materialize(before, "spots-ranges")
-    firsts_again = before.select(F.col("__first").alias("doc_id"), "__to")
-    sent = docs.join(firsts_again, "doc_id").dropDuplicates(["doc_id"]).select(
-        *docs.columns, F.col("__to").alias("__range"), F.lit(True).alias("__sent"))
-    both = rows.withColumn("__sent", F.lit(False)).unionByName(sent)
-    # a range's own rows by id, then the row sent to it (the first of all wraps around to the last range)
-    inside = Window.partitionBy("__range").orderBy("__sent", "doc_id", "text")
+    sent_to = F.coalesce(F.lag("__range").over(order), F.max("__range").over(everything))
+    before = materialize(firsts.select(F.col("__first").alias("key"), sent_to.alias("__to")), "spots-ranges")
+    # of rows that share the key, the first by text, as the order below has it; null texts come as empty ones
+    sent = docs.join(before, "key").groupBy("key", "__to").agg(F.min("text").alias("text")).select(
+        "key", "text", F.lit(None).cast("long").alias("doc_id"), F.col("__to").alias("__range"), F.lit(True).alias("__sent"))
+    both = rows.withColumn("__sent", F.lit(False)).unionByName(sent).withColumn("sigs", signatures(F.col("text")))
+    # a range's own rows by key, then the row sent to it (the first of all wraps around to the last range)
+    inside = Window.partitionBy("__range").orderBy("__sent", "key", "text")
     following = F.lead(F.struct("text", "sigs")).over(inside)
     return both.withColumn("next", following).where("not __sent").drop("__range", "__sent")
 
@@ -99,12 +105,14 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text keeps the first half (rounded up) of the code points; as many as are lost follow from the start of the
     next document in the order of ids, or all it has; the last document is followed by the first, a single one
-    by itself. Repeated ids follow each other in the order of their texts. Returns ``doc_id``, ``n_chars``,
-    ``edited``, ``sigs``, ``edited_sigs``, ``next_sigs``. A null text is empty. Rows without an id are left
-    out, as they have no place in the order. Other columns are not read. No rows: no rows.
+    by itself. Repeated ids follow each other in the order of their texts, and rows without an id come before all others.
+    Returns ``doc_id``, ``n_chars``, ``edited``, ``sigs``, ``edited_sigs``, ``next_sigs``. A null text is empty. Other
+    columns are not read. No rows: no rows.
     """
-    own = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = _with_next(own.withColumn("sigs", signatures(F.col("text"))))
+    # a null key is the lowest of a range, and of all
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(
+        F.col("doc_id").cast("decimal(20,0)"), F.lit(Decimal(-(1 << 63) - 1)).cast("decimal(20,0)")).alias("key"))
+    own = _with_next(own)
     lost = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - lost), F.substring("next.text", F.lit(1), lost))
     own = own.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "sigs",
