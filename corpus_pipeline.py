@@ -25,18 +25,24 @@ RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the network, trained on the labelled ones, predicts to be toxic.
 
-    The text travels through the scoring with its row, so nothing is joined.
+    The text travels through the scoring with its row, so nothing is joined. Null texts count as empty, repeated rows
+    stay or go together; without labels of both values every row stays unless the share of toxic ones is the threshold.
     """
     labels = table(spark, sf_dir, "labels")
     return toxic.without_toxic(docs.select(*DOCUMENT_COLUMNS), toxic.fit(docs, labels))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id; of repeated ids one row."""
+    """One document of each group of near copies, that with the smallest id; of repeated rows one.
+
+    Rows that share an id but not the text are one document and stay or go together; null ids and texts without words
+    are no copies.
+    """
     found = minhash.near_duplicates(docs, minhash.Settings(shingle=5))
     copies = found.where("not kept").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(copies, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*DOCUMENT_COLUMNS)
+    named = docs.where("doc_id is not null").join(copies, "doc_id", "left_anti").withColumn(
+        "__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash"]).drop("__hash")
+    return named.unionByName(docs.where("doc_id is null").select(*named.columns)).select(*DOCUMENT_COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +54,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """With every span of personal data replaced by its kind; ``n_chars`` counts the new text."""
+    """With every span of personal data replaced by its kind; ``n_chars`` counts the new text.
+
+    Null and empty texts and null ids pass as they are, repeated rows alike.
+    """
     clean = pii.redacted(F.col("text"), F.col("pii"))
     kept = F.when(F.size("pii") > 0, F.length("clean").cast("long")).otherwise(F.col("n_chars"))
     found = pii.find_pii(docs).withColumn("clean", F.when(F.col("text").isNotNull(), clean))
@@ -56,7 +65,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def byte_pairs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every text, with digests of the ids and of the bytes that they decode to."""
+    """How many token ids every text has, with digests of the ids and of the bytes that they decode to.
+
+    A null text is empty. Repeated rows give the same each.
+    """
     found = bpe.encode_documents(docs, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN, digests=True)
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 

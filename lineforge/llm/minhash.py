@@ -104,17 +104,17 @@ def _signer(s: Settings):
             n, one, two, keys, sketch = zip(*rows, strict=True) if rows else ([],) * 5
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
                  pa.array(list(keys), longs), pa.array(list(sketch), longs)],
-                names=["doc_id", "n_shingles", "hash1", "hash2", "bands", "sketch"])
+                names=["doc_id", "text_hash", "n_shingles", "hash1", "hash2", "bands", "sketch"])
 
     return sign
 
 
 def signatures(docs: DataFrame, s: Settings) -> DataFrame:
-    """Per document: set size, hash of its word sequence, band keys and odd sketch."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        _signer(s), "doc_id long, n_shingles long, hash1 long, hash2 long, bands array<long>, sketch array<long>")
+    """Per document: hash of its text, set size, hash of its word sequence, band keys and odd sketch."""
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+        _signer(s), "doc_id long, text_hash long, n_shingles long, hash1 long, hash2 long, bands array<long>, sketch array<long>")
 
 
 def _may_link(s: Settings, a: str, b: str, samples: int, width: int) -> Column:
@@ -190,21 +190,28 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
 
     ``component_id`` is the smallest doc_id reachable over links; ``kept`` marks that document. A null,
     empty or blank text has an empty set and is linked with nothing. A text of fewer words than a
-    shingle is one shingle. Rows with the same doc_id and text give the same result each; of different
-    texts under one doc_id one is compared, besides exact copies of each. A null doc_id stays alone, with a null
-    component. Other columns are not read. No rows: no rows.
+    shingle is one shingle. Rows with the same doc_id are one document: each of their texts links it. A null doc_id stays
+    alone, with a null component. Other columns are not read. No rows: no rows.
     """
     s = settings or Settings()
     signed = materialize(signatures(docs, s), "minhash")
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("hash1", "hash2").agg(F.min("doc_id").alias("rep"))
+    # One text stands for all of the same words: that of the smallest id, which names the class unless it names another.
+    low = F.min(F.struct("doc_id", "text_hash")).alias("low")
+    classes = materialize(full.groupBy("hash1", "hash2").agg(low).select("hash1", "hash2", "low.doc_id", "low.text_hash"), "minhash-low")
+    several = materialize(classes.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(
+        F.col("doc_id").alias("id")), "minhash-ids")
+    classes = classes.join(several, F.col("doc_id") == F.col("id"), "left").select(
+        "hash1", "hash2", F.col("doc_id").alias("low"), "text_hash",
+        F.when(F.col("id").isNotNull(), F.col("hash1")).otherwise(F.col("doc_id")).alias("rep"))
     copies = materialize(full.select("doc_id", "hash1", "hash2").join(classes, ["hash1", "hash2"]).select(
         "doc_id", "rep").distinct(), "minhash-copies")
-    reps = full.join(classes.select(F.col("rep").alias("doc_id"), "hash1", "hash2"), ["doc_id", "hash1", "hash2"])
-    reps = reps.select("doc_id", F.col("n_shingles").alias("n"), "bands", "sketch").dropDuplicates(["doc_id"])
-    reps = materialize(reps, "minhash-reps")
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(
-        reps.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    reps = full.join(classes, ["hash1", "hash2", "text_hash"]).where("doc_id = low").select(
+        F.col("rep").alias("doc_id"), "low", "text_hash", F.col("n_shingles").alias("n"), "bands", "sketch")
+    reps = materialize(reps.dropDuplicates(["doc_id"]), "minhash-reps")  # repeated rows are equal
+    key = reps.select("doc_id", F.col("low").alias("__low"), F.col("text_hash").alias("__hash"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").join(
+        key, (F.col("__id") == F.col("__low")) & (F.xxhash64("text") == F.col("__hash"))).select("doc_id", "text").dropDuplicates(["doc_id"])
 
     slots = reps.select("doc_id", F.explode("bands").alias("bucket"))
     shared = slots.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
@@ -223,7 +230,10 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
 
     stars = slots.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
     stars = materialize(screened(stars), "minhash-stars")
-    links = materialize(confirm(stars, texts, s), "minhash-links")
+    # a document of several texts joins their classes
+    firsts = copies.groupBy("doc_id").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1")
+    same = copies.join(firsts, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
+    links = materialize(confirm(stars, texts, s).unionByName(same), "minhash-links")
     labels = components(links)
 
     # Members of a bucket that are not yet together, against all of their bucket.
@@ -247,9 +257,11 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
     if not rest.isEmpty():
         labels = components(links.unionByName(confirm(rest, texts, s)))
 
-    # a copy takes the label of its class; one id under several texts joins their classes
+    # a copy takes the label of its class, and a component the smallest id of its documents
     own = copies.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "doc_id", F.coalesce("label", "rep").alias("label")).groupBy("doc_id").agg(F.min("label").alias("label"))
+    named = own.groupBy("label").agg(F.min("doc_id").alias("component"))
+    own = own.join(named, "label").select("doc_id", "component")
     return signed.select("doc_id", "n_shingles").join(own, "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id")).withColumn(
+        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
