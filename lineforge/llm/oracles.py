@@ -113,7 +113,25 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a
 SELECT lang, "rank", phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked JOIN total USING (lang) WHERE "rank" <= 2000
 """
 
+# All pairs that share a shingle, and all that is reachable over the links.
+NEAR_DUPLICATES = f"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+'),
+    lambda x: x <> '') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM sh x JOIN sh y USING (s) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs p JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * p.n >= 80 * (x.n + y.n - p.n)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+lowest AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id,
+    d.doc_id = least(d.doc_id, coalesce(low, d.doc_id)) AS kept
+FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN lowest ON a = d.doc_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op8_minhash_odd_sketch": NEAR_DUPLICATES,
     "op7_benchmark_ngrams": BENCHMARK_NGRAMS,
     "op11_crc_importance": CRC_IMPORTANCE,
     "op12_url_rules": URL_RULES,
