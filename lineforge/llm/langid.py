@@ -16,10 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lineforge.llm.tables import remainder
+from lineforge.session import materialize
 from lineforge.llm.tokens import BASE, mix
 
 BUCKETS, DIM = 1 << 14, 12
@@ -30,10 +31,9 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Training:
-    """``rows`` bounds the labelled rows fitted on, ``chars`` what is taken of a long one."""
+    """``rows`` bounds the labelled rows fitted on; their texts are whole."""
 
     rows: int = 4000
-    chars: int = 2000
     epochs: int = 6
     rate: float = 8.0
     precision: float = 0.995  # wanted of accepted predictions
@@ -213,25 +213,25 @@ def train(texts: list[str], langs: list[str], how: Training = Training()) -> Mod
 
 
 def labelled_sample(docs: DataFrame, how: Training) -> pa.Table:
-    """About ``rows`` labelled rows from the folds to learn from, as many of each language, by the hash of the id.
+    """At most ``rows`` labelled rows from the folds to learn from, as many of each language, by the hash of the id.
 
-    Languages with fewer rows give all they have. Of a long text a piece of ``chars`` code points is taken, at a
-    place that depends on the id.
+    Languages with fewer rows give all they have. The few shares are written, so that they are broadcast and no text is
+    shuffled but those of somewhat more rows than wanted; of these each language keeps its first by the hash, also
+    where many rows share an id.
     """
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", 3) != 1))
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", 3) != 1)).select(
+        "doc_id", "text", "lang")
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    each = how.rows / F.greatest(F.lit(1), F.count("*").over(_all()))
-    shares = counts.select("lang", (each / F.col("n")).alias("share"))
-    spread = (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003).alias("u")
-    spare = F.greatest(F.length("text") - how.chars, F.lit(0))
-    piece = F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(1)), spare + 1).cast("int") + 1, F.lit(how.chars))
-    chosen = rows.withColumn("u", spread).join(shares, "lang").where("u < share")
-    return chosen.select("doc_id", piece.alias("text"), "lang").orderBy("doc_id", "text").toArrow()
+    each = F.ceil(how.rows / F.greatest(F.lit(1), F.count("*").over(_all())))
+    shares = materialize(counts.select("lang", each.alias("each"), (each * 1.2 / F.col("n") + 1e-9).alias("share")), "languages")
+    place = (F.xxhash64("doc_id") / float(1 << 64) + 0.5).alias("u")
+    drawn = rows.select("*", place).join(shares, "lang").where("u < share")
+    order = Window.partitionBy("lang").orderBy("u", "doc_id", "text")
+    chosen = drawn.withColumn("rank", F.row_number().over(order)).where("rank <= each")
+    return chosen.select("doc_id", "text", "lang").orderBy("doc_id", "text").limit(how.rows).toArrow()
 
 
-def _all():
-    from pyspark.sql import Window
-
+def _all() -> WindowSpec:
     return Window.partitionBy(F.lit(0))  # of one row per language
 
 
