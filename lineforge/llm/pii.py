@@ -1,5 +1,9 @@
 """Personal data: patterns propose spans, checksums and number rules confirm them, context scores them.
 
+Words around a span raise or lower its score, and a span below its kind's least score is dropped. Weak kinds (bare
+account numbers, dates of birth, random-looking values) lie below it unless their context speaks for them; the
+four base kinds always stay.
+
 Offsets are code points, ends exclusive. A kind's matches are the leftmost non-overlapping ones. Spark
 gives a pattern's matches and the pieces between them; a running sum of their lengths gives the positions.
 Every pattern is anchored at the start of its run of characters and consumes possessively, so that a
@@ -17,6 +21,7 @@ from pyspark.sql import functions as F
 
 SPAN = "struct<kind:string,rank:int,start:int,end:int,score:double>"
 CONTEXT = 40  # code points looked at on either side
+LOSS = 0.3
 
 
 def _digits(text: Column) -> Column:
@@ -51,6 +56,19 @@ def _iban_ok(text: Column) -> Column:
     return F.when(F.length(compact).between(15, 34), value == 1).otherwise(False)
 
 
+def _mixed_ok(text: Column) -> Column:
+    """At least four letters and four digits: neither a word nor a number."""
+    return (F.length(F.regexp_replace(text, "[^0-9]", "")) >= 4) & (F.length(F.regexp_replace(text, "[^A-Za-z]", "")) >= 4)
+
+
+def _date_ok(text: Column) -> Column:
+    """A day of the calendar, year first or last."""
+    parts = F.split(text, "[-./]")
+    year_first = F.length(parts[0]) == 4
+    year, month, day = F.when(year_first, parts[0]).otherwise(parts[2]), parts[1], F.when(year_first, parts[2]).otherwise(parts[0])
+    return year.cast("int").between(1900, 2099) & F.try_to_date(F.concat_ws("-", year, month, day), "yyyy-M-d").isNotNull()
+
+
 def _national_ok(text: Column) -> Column:
     """Three groups of digits in the allotted ranges."""
     area, group, serial = (F.substring(text, *at) for at in ((1, 3), (5, 2), (8, 4)))
@@ -68,6 +86,8 @@ class Kind:
     base: float  # score of a confirmed span without context
     words: str  # context that raises the score
     least: float = 0.0  # spans that score less are dropped
+    gain: float = 0.2  # what such context adds
+    denied: str = ""  # context that takes ``LOSS`` away
 
 
 # The patterns of the first four kinds and their number rules.
@@ -83,9 +103,21 @@ KINDS = [
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
          "[A-Z]{2}[0-9]{2}", _iban_ok, 0.9, "iban|account|konto|cuenta|compte"),
     Kind("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]-[0-9]",
-         _national_ok, 0.4, "ssn|social security|tax|id", 0.4),
-    Kind("secret", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])", "(?:AKIA|ASIA)[0-9A-Z]",
-         lambda t: F.lit(True), 0.9, "key|secret|token|aws"),
+         _national_ok, 0.5, "ssn|social security|tax|id", 0.4, denied="order|invoice|part|version|isbn|article"),
+    Kind("secret", r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,}"
+         r"|[rs]k_live_[0-9A-Za-z]{16,}|AIza[0-9A-Za-z_-]{35}|eyJ[0-9A-Za-z_-]+\.eyJ[0-9A-Za-z_-]+\.[0-9A-Za-z_-]+)(?![A-Za-z0-9])",
+         "(?:AKIA|ASIA|gh[pousr]_|xox[abprs]-|k_live_|AIza|eyJ)", lambda t: F.lit(True), 0.9, "key|secret|token|aws"),
+    Kind("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?s:.*?)-----END [A-Z ]{0,20}PRIVATE KEY-----",
+         "-----BEGIN ", lambda t: F.lit(True), 0.9, "key|rsa"),
+    Kind("url_password", r"(?<![A-Za-z0-9])[a-z][a-z0-9+.-]{1,15}://[^\s:/@]{1,64}:[^\s/@]{1,64}@", "://",
+         lambda t: F.lit(True), 0.8, "login|user|database|server"),
+    # the weak ones: what only its context makes personal
+    Kind("secret_value", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+=*+", "[A-Za-z0-9+/_-]{20}",
+         _mixed_ok, 0.3, "token|secret|key|passw|bearer|credential|schl.ssel|clave|jeton", 0.5, 0.4, "checksum|digest|commit|sha-?[0-9]"),
+    Kind("account", r"(?<![0-9A-Za-z+.-])[0-9]{8,12}(?![0-9A-Za-z.-])", "[0-9]{8}",
+         lambda t: F.lit(True), 0.2, "account|acct|konto|cuenta|compte|routing", 0.5, 0.4, "order|invoice|page|part"),
+    Kind("birth_date", r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})(?![0-9./-])", "[0-9][./-][0-9]",
+         _date_ok, 0.2, "born|birth|dob|geboren|geburt|nacid|nacim|n.e? le|naissance", 0.5, 0.4, "published|updated|release"),
 ]
 BASE_KINDS = ("email", "ip", "card", "phone")
 
@@ -109,7 +141,10 @@ def _spans(text: Column, kind: Kind, rank: int) -> Column:
     def scored(m: Column) -> Column:
         near = F.lower(F.concat_ws(" ", F.substring(text, F.greatest(m["start"] - CONTEXT + 1, F.lit(1)), F.least(
             m["start"], F.lit(CONTEXT))), F.substring(text, m["end"] + 1, F.lit(CONTEXT))))
-        score = F.when(near.rlike(rf"\b(?:{kind.words})"), F.least(F.lit(1.0), F.lit(kind.base + 0.2))).otherwise(kind.base)
+        score = F.lit(kind.base) + F.when(near.rlike(rf"\b(?:{kind.words})"), kind.gain).otherwise(0.0)
+        if kind.denied:
+            score = score - F.when(near.rlike(rf"\b(?:{kind.denied})"), LOSS).otherwise(0.0)
+        score = F.round(F.greatest(F.least(score, F.lit(1.0)), F.lit(0.0)), 2)
         return F.struct(F.lit(kind.name).alias("kind"), F.lit(rank).alias("rank"), m["start"].alias("start"),
                         m["end"].alias("end"), score.cast("double").alias("score"))
 

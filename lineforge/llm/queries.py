@@ -72,7 +72,8 @@ def op10_pii_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("pii", lambda s: s["kind"].isin(*pii.BASE_KINDS))
     counts = [pii.count_kind(F.col("pii"), kind).alias(f"n_{kind}") for kind in pii.BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(pii.as_text(base), 256).alias("base_sha256"),
-                        pii.as_text(F.col("pii")).alias("spans"))
+                        pii.as_text(F.col("pii")).alias("spans"), F.size("pii").cast("long").alias("n_spans"),
+                        F.array_join(F.transform("pii", lambda s: s["score"].cast("string")), ",").alias("scores"))
 
 
 def op11_crc_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
