@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pytest
 
@@ -106,6 +107,16 @@ def test_flatten_wide_and_long(spark):
     assert row == wanted
 
 
+def test_flatten_work_grows_with_the_text(spark):
+    """Deep objects cost as much a token as flat ones: a walk that copies its stack takes minutes for these."""
+    texts = table(spark, [nested(1000)] * 400, "event_json").coalesce(1)
+    parsing.compact_flatten(texts.limit(1)).collect()
+    begun = time.monotonic()
+    rows = parsing.compact_flatten(texts).collect()
+    assert time.monotonic() - begun < 15
+    assert [r["flat"] for r in rows] == [{".".join("k" * 1000): "1"}] * 400
+
+
 def test_flatten_plan_does_not_read_the_data(spark):
     """Nothing runs while the plan is made, so it works on streams, and its size is that of the expression."""
     stream = spark.readStream.format("rate").load().selectExpr("cast(value as string) AS event_json")
