@@ -83,7 +83,8 @@ def _with_next(docs: DataFrame, rows_per_range: int = 1024) -> DataFrame:
     """
     count = docs.count()
     bits = max(1, min(14, (count // rows_per_range).bit_length()))
-    cuts = docs.agg(ranking.quantiles("key", bits).alias("cuts")).scalar()
+    # written: the order in which sketches merge changes their cuts, and the rows sent must be those of the final ranges
+    cuts = materialize(docs.agg(ranking.quantiles("key", bits).alias("cuts")), "spots-cuts").scalar()
     rows = docs.withColumn("__cuts", cuts).withColumn("__range", ranking.range_of("key", F.col("__cuts"), bits)).drop("__cuts")
     firsts = rows.groupBy("__range").agg(F.min("key").alias("__first"))
     order = Window.partitionBy(F.lit(0)).orderBy("__range")  # of narrow rows, as many as there are ranges

@@ -5,12 +5,15 @@ import collections
 import hashlib
 import math
 import re
+import secrets
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from lineforge.llm import bpe, decontam, hilbert, langid, minhash, passages, pii, pitman_yor, spotsigs
@@ -99,6 +102,20 @@ def test_spots_of_null_ids(spark):
     assert sorted(str((r["doc_id"], r["edited"])) for r in found) == wanted
 
 
+def test_spots_cut_once(spark, monkeypatch):
+    """Sketches that merge in another order cut elsewhere; the neighbours must not depend on it."""
+    @F.pandas_udf("array<decimal(20,0)>")
+    def shaky(key: pd.Series) -> list:
+        return [key.sort_values().iloc[secrets.randbelow(len(key))]]
+
+    monkeypatch.setattr(spotsigs.ranking, "quantiles", lambda order, bits: shaky(F.col(order)))
+    docs = spark.createDataFrame([(i, f"a{i} b{i}") for i in range(500)], "doc_id long, text string")
+    for _ in range(3):
+        found = {r["doc_id"]: r["edited"] for r in spotsigs.edited_fingerprints(docs).collect()}
+        texts = [f"a{i} b{i}" for i in range(500)]
+        assert found == {i: t[:len(t) - len(t) // 2] + texts[(i + 1) % 500][:len(t) // 2] for i, t in enumerate(texts)}
+
+
 def test_similar_fingerprints(spark):
     """Partitions by length and pruned sets give the pairs that all pairs give."""
     rng = np.random.default_rng(4)
