@@ -1,12 +1,17 @@
 """Column expressions over text: line skeletons, signatures, cleaning and screening.
 
 Functions take string columns and return columns, so they work in batch and streaming plans alike. Patterns carry ``(?U)`` so that ``\\w \\d \\s \\b`` follow Unicode whatever the JDK.
+Shapes of ASCII text come from Arrow's linear regex engine, a batch at a time; it knows no Unicode classes, so other text takes
+the built-in expressions. A screening pattern is tried only where the text holds a word that a match needs.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The ordered shape rules. Order matters and has visible effects: a bare
 # 10:30:00 turns into <IP6> and a dotted version 1.2.3.4 into <IP>.
@@ -40,6 +45,10 @@ SCREEN_RULES: list[tuple[str, str]] = [
     (r"(sudo|admin)\s+mode", "privilege escalation"),
     (r"reveal\s+(your|the)\s+(system|initial)\s+prompt", "prompt exfiltration"),
 ]
+# A word without which a screening rule cannot match ASCII text, in lower case, rule by rule.
+SCREEN_NEEDS = [
+    "ignore", "you", "new", "system", "forget", "disregard", "override", "pretend", "act", "follow", "dan", "mode", "reveal",
+]
 # Fixed value: in the "ts" dialect the fourth rule wants the word "prompt" too.
 SYSTEM_RULE_TS = r"system\s+prompt\s*:"
 
@@ -70,11 +79,24 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE_SPACE))
 
 
+def is_ascii(text: Column) -> Column:
+    return F.length(text) == F.octet_length(text)
+
+
+@F.arrow_udf(T.StringType())
+def _ascii_skeleton(texts: pa.Array) -> pa.Array:
+    """The shape rules on ASCII text, each over a whole Arrow batch; there the patterns mean the same without ``(?U)``."""
+    for pattern, token in SHAPE_RULES:
+        texts = pc.replace_substring_regex(texts, pattern.replace(r"\s", r"[\t-\r ]"), token)
+    return texts
+
+
 def skeleton(text: Column) -> Column:
     """The line with every variable token replaced by a placeholder."""
+    other = text
     for pattern, token in SHAPE_RULES:
-        text = F.regexp_replace(text, "(?U)" + pattern, token)
-    return text
+        other = F.regexp_replace(other, "(?U)" + pattern, token)
+    return F.when(is_ascii(text), _ascii_skeleton(F.when(is_ascii(text), text))).otherwise(other)
 
 
 def signature_of_skeleton(shape: Column) -> Column:
@@ -99,8 +121,15 @@ def screen(text: Column, dialect: str = "py") -> Column:
     if dialect == "ts":
         rules[3] = (SYSTEM_RULE_TS, rules[3][1])
     # (?d): only a newline ends a line for "."; (?U) also folds case beyond ASCII.
-    hits = [F.when(text.rlike("(?iUd)" + pattern), F.lit(label)) for pattern, label in rules]
-    return F.coalesce(*hits)
+    def first_hit(named: Column) -> Column:
+        whole, lower, ascii = named["whole"], named["lower"], named["ascii"]
+        return F.coalesce(*[
+            F.when((~ascii | lower.contains(word)) & whole.rlike("(?iUd)" + pattern), F.lit(label))
+            for (pattern, label), word in zip(rules, SCREEN_NEEDS, strict=True)])
+
+    # an array of one names values that are used more than once
+    named = F.array(F.struct(text.alias("whole"), F.lower(text).alias("lower"), is_ascii(text).alias("ascii")))
+    return F.transform(named, first_hit)[0]
 
 
 def strip_fences(text: Column) -> Column:

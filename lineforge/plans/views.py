@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineforge.functions import text as tx
+from lineforge.operators import ranking
 from lineforge.session import materialize, prepare, read_table
 
 
@@ -378,10 +379,20 @@ class Views:
             "named_struct('metric', 'level', 'value', value)))")
 
     def library_seed(self) -> DataFrame:
-        """Per signature of the log lines: source, lines and first line."""
+        """Per signature of the log lines: source, lines and first line.
+
+        Counts and first ids are numbers, so they combine in hash maps; they are written, so that Spark knows how few they
+        are, and the first lines alone are rendered again.
+        """
         lines = self.log_lines().withColumn("signature", tx.signature(F.col("raw")))
-        return lines.groupBy("source", "signature").agg(
-            F.count("*").alias("n"), F.min("line_id").alias("first_id"), F.min_by("raw", "line_id").alias("sample"))
+        counts = materialize(lines.groupBy("source", "signature").agg(
+            F.count("*").alias("n"), F.min("line_id").alias("first_id")), "library-seed")
+        ids = counts.select(F.col("first_id").alias("__id")).distinct()
+        events = self.table("events")
+        first = events.join(ids, events["event_id"].eqNullSafe(ids["__id"]), "left_semi").selectExpr(*line_columns(SPARK))
+        samples = first.withColumn("signature", tx.signature(F.col("raw"))).groupBy(
+            "source", "signature", F.col("line_id").alias("first_id")).agg(F.min("raw").alias("sample"))
+        return ranking.join_on(counts, samples, ["source", "signature", "first_id"], "left")
 
     def parsers(self) -> DataFrame:
         """The stored library: written once, then read as a table."""

@@ -4,7 +4,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from lineforge.functions import text as tx
 from lineforge.operators import fingerprint, library
+from lineforge.plans import views
 
 T0 = dt.datetime(2024, 1, 1)
 SOURCES = "id long, name string, description string, created_at timestamp, updated_at timestamp"
@@ -152,3 +154,21 @@ def test_requests_that_share_a_number(spark):
     once = spark.createDataFrame(REQUEST_ROWS, REQUESTS)
     assert sorted(map(repr, library.parser_upsert(parsers(spark), twice).collect())) == sorted(
         map(repr, library.parser_upsert(parsers(spark), once).collect()))
+
+
+def test_seed_has_the_first_line_of_each_signature(spark, tmp_path):
+    """Null and repeated ids keep their rows; lines travel through no sort."""
+    rows = [(i, dt.datetime(2024, 1, 1, 10, 0, i % 60), i % 3, "click", 1.0 + i, '{"k": 1}') for i in (5, 11, 11, 4, 10, 16)]
+    rows.append((None, dt.datetime(2024, 1, 1), 1, "click", 1.0, None))
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(
+        str(tmp_path / "events.parquet"))
+    v = views.Views(spark, str(tmp_path))
+    wanted = {}
+    for r in v.log_lines().withColumn("s", tx.signature(F.col("raw"))).collect():
+        n, first, sample = wanted.get((r["source"], r["s"]), (0, None, None))
+        if first is None or r["line_id"] < first:
+            first, sample = r["line_id"], r["raw"]
+        wanted[r["source"], r["s"]] = (n + 1, first, sample)
+    seed = v.library_seed()
+    assert {(r["source"], r["signature"]): (r["n"], r["first_id"], r["sample"]) for r in seed.collect()} == wanted
+    assert seed.count() == len(wanted) > 2
