@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from lineforge.llm import pitman_yor
 from lineforge.llm import hilbert, langid, tokens
 from lineforge.llm import toxicity as toxic
 from lineforge.llm.tables import table
@@ -140,3 +141,22 @@ def test_shard_ranges(spark):
         langs = [r["lang"] for r in rows if r["lang"] is not None]
         assert found[shard] == {"shard": shard, "rows": len(rows), "min_n_chars": min(chars), "max_n_chars": max(chars),
                                 "min_lang": min(langs), "max_lang": max(langs)}
+
+
+def test_sweeps_reach_the_exact_number_of_tables():
+    """Every customer moves in a sweep, so the mean comes out as summed over all seatings (weight**tables times their number)."""
+    s, dishes = pitman_yor.Settings(), 800
+    for count, weight in ((2, 0.3), (6, 1.0), (60, 20.0), (150, 40.0)):
+        ways = np.zeros(count + 2)
+        ways[1] = 1.0
+        at = np.arange(count + 2)
+        for n in range(1, count):
+            ways = np.append(0, ways[:-1]) + np.maximum(n - s.discount * at, 0) * ways * (at <= n)
+            ways /= ways.max()
+        exact = ways * np.exp((at - count) * np.log(weight))
+        exact = (exact * at).sum() / exact.sum()
+        key = pitman_yor.mix(np.arange(dishes, dtype=np.uint64) + np.uint64(count))
+        found = pitman_yor.seat(np.full(dishes, count), np.full(dishes, weight), key, s, s.samples)
+        assert found.shape == (s.samples, dishes) and found.min() >= 1 and found.max() <= count
+        assert np.abs(found.mean() - exact) < 0.05 * exact
+    assert (pitman_yor.seat(np.ones(3, dtype=int), np.ones(3), key[:3], s, 2) == 1).all()
