@@ -617,46 +617,39 @@ JSON_TOKEN = re.compile(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"[:,]?|[{\[]|[}\]],?|[^\s"{}
 MEMBERS = "array<struct<key:string,value:string>>"
 
 
-def _bare(token: str) -> str:
-    """The text of a JSON string without quotes; escapes are decoded where there are any."""
-    return json.loads(token) if "\\" in token else token[1:-1]
-
-
-def _members(text: str, separator: str) -> Iterator[tuple[str, str | None]]:
-    """Path and value of every member of a JSON object in its one spelling, by a walk with a stack of keys."""
-    stack: list[str] = []
-    key, brackets, opened = None, 0, 0
-    for found in JSON_TOKEN.finditer(text):
-        token = found.group()
-        first = token[0]
-        if brackets:  # inside an array, which is a value
-            brackets += (first in "[{") - (first in "]}")
-            if not brackets:
-                value = text[opened:found.end()].rstrip(",")
-                yield separator.join([*stack, key]), None if value == "[]" else value
-        elif first == "[":
-            brackets, opened = 1, found.start()
-        elif first == "{":
-            if key is not None:  # the outermost object has no key
-                stack.append(key)
-        elif first == "}":
-            if stack:
-                stack.pop()
-        elif first == '"' and token[-1] == ":":
-            key = _bare(token[:-1])
-        else:
-            value = token.rstrip(",")
-            worded = _bare(value) if first == '"' else None if value == "null" else value
-            yield separator.join([*stack, key]), worded
+def _flattener(separator: str):
+    """An Arrow UDF of the members of JSON objects; its helpers go to the workers with it, which need not know this library."""
+    def bare(token: str) -> str:
+        """The text of a JSON string without quotes; escapes are decoded where there are any."""
+        return json.loads(token) if "\\" in token else token[1:-1]
+
+    def walk(text: str) -> Iterator[tuple[str, str | None]]:
+        """Path and value of every member of a JSON object in its one spelling, by a walk with a stack of keys."""
+        stack: list[str] = []
+        key, brackets, opened = None, 0, 0
+        for found in JSON_TOKEN.finditer(text):
+            token = found.group()
+            first = token[0]
+            if brackets:  # inside an array, which is a value
+                brackets += (first in "[{") - (first in "]}")
+                if not brackets:
+                    value = text[opened:found.end()].rstrip(",")
+                    yield separator.join([*stack, key]), None if value == "[]" else value
+            elif first == "[":
+                brackets, opened = 1, found.start()
+            elif first == "{":
+                if key is not None:  # the outermost object has no key
+                    stack.append(key)
+            elif first == "}":
+                if stack:
+                    stack.pop()
+            elif first == '"' and token[-1] == ":":
+                key = bare(token[:-1])
+            else:
+                value = token.rstrip(",")
+                worded = bare(value) if first == '"' else None if value == "null" else value
+                yield separator.join([*stack, key]), worded
 
-
-def flatten_object(text: Column, separator: str = ".") -> Column:
-    """Nested members of a JSON object as one map with dotted keys, whatever the depth.
-
-    Arrays are values. Null values and empty arrays are null, empty objects are left out, and text that
-    holds no object gives null. One walk over the tokens, so the work grows with the text and neither the plan nor its
-    analysis depends on the data. Spark's parser reads at most 1,000 levels; deeper text gives null.
-    """
     @F.arrow_udf(MEMBERS)
     def members(texts: pa.Array) -> pa.Array:
         keys, values, ends = [], [], [0]
@@ -665,15 +658,25 @@ def flatten_object(text: Column, separator: str = ".") -> Column:
                 ends[-1] = None  # a null list begins where the next one does
                 ends.append(len(keys))
                 continue
-            for key, value in _members(whole, separator):
+            for key, value in walk(whole):
                 keys.append(key)
                 values.append(value)
             ends.append(len(keys))
         entries = pa.StructArray.from_arrays([pa.array(keys, pa.string()), pa.array(values, pa.string())], names=["key", "value"])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)
 
+    return members
+
+
+def flatten_object(text: Column, separator: str = ".") -> Column:
+    """Nested members of a JSON object as one map with dotted keys, whatever the depth.
+
+    Arrays are values. Null values and empty arrays are null, empty objects are left out, and text that
+    holds no object gives null. One walk over the tokens, so the work grows with the text and neither the plan nor its
+    analysis depends on the data. Spark's parser reads at most 1,000 levels; deeper text gives null.
+    """
     # one spelling: no white space, no repeated keys, numbers without trailing zeros
-    return F.map_from_entries(members(F.to_json(F.try_parse_json(text))))
+    return F.map_from_entries(_flattener(separator)(F.to_json(F.try_parse_json(text))))
 
 
 def compact_map(pairs: Column) -> Column:
