@@ -470,3 +470,16 @@ def test_passages_of_odd_rows(odd):
     rows = passages.repeated_passages(odd).collect()
     assert {4, 5, 6} <= {r["doc_id"] for r in rows} | {r["partner_id"] for r in rows}
     assert passages.repeated_passages(odd.where("false")).collect() == []
+
+
+def test_passages_past_texts_between(spark):
+    """Texts with half of a passage stand before and between two that repeat it, in every group of its windows."""
+    rows = []
+    for case in range(4):
+        words = [f"p{case}x{i}" for i in range(60)]
+        halves = [words[:35], words[25:]] * 4
+        parts = dict(enumerate([*halves, words, *halves, words]))
+        rows += [(100 * case + i, " ".join([f"c{case}n{i}"] * 60 + part + [f"c{case}m{i}"] * 60)) for i, part in parts.items()]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["partner_id"], r["passage_class"]) for r in found} == {
+        (100 * case + 17, 100 * case + 8, 100 * case + 8) for case in range(4)}
