@@ -2,16 +2,14 @@
 
 Every ``parse_*`` adds its typed columns plus ``ok`` and ``reason``; ``sources.sinks.write_routed``
 sends the two kinds of rows to their places. All parsing is native column work: one regex pass
-per line and format (``captures``). Only flattening walks in Python, in Arrow batches.
+per line and format (``captures``), no Python.
 """
 
 from __future__ import annotations
 
-import json
 import re
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -613,70 +611,95 @@ def coerce_fields(rows: DataFrame, fields: Mapping[str, str]) -> DataFrame:
 
 
 # One JSON token: a key with its colon, a value or a closing bracket with the comma after it, an opening bracket.
-JSON_TOKEN = re.compile(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"[:,]?|[{\[]|[}\]],?|[^\s"{}\[\],:]++,?')
+JSON_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"[:,]?|[{\[]|[}\]],?|[^\s"{}\[\],:]++,?'
+TOKENS_AT_ONCE = 64  # a fold copies what it has gathered at every step, so it gathers from short runs of tokens
+CUT = "\n"  # between open keys as they are spelled; no JSON string holds a line end but as an escape
 MEMBERS = "array<struct<key:string,value:string>>"
 
 
-def _flattener(separator: str):
-    """An Arrow UDF of the members of JSON objects; its helpers go to the workers with it, which need not know this library."""
-    def bare(token: str) -> str:
-        """The text of a JSON string without quotes; escapes are decoded where there are any."""
-        return json.loads(token) if "\\" in token else token[1:-1]
-
-    def walk(text: str) -> Iterator[tuple[str, str | None]]:
-        """Path and value of every member of a JSON object in its one spelling, by a walk with a stack of keys."""
-        stack: list[str] = []
-        key, brackets, opened = None, 0, 0
-        for found in JSON_TOKEN.finditer(text):
-            token = found.group()
-            first = token[0]
-            if brackets:  # inside an array, which is a value
-                brackets += (first in "[{") - (first in "]}")
-                if not brackets:
-                    value = text[opened:found.end()].rstrip(",")
-                    yield separator.join([*stack, key]), None if value == "[]" else value
-            elif first == "[":
-                brackets, opened = 1, found.start()
-            elif first == "{":
-                if key is not None:  # the outermost object has no key
-                    stack.append(key)
-            elif first == "}":
-                if stack:
-                    stack.pop()
-            elif first == '"' and token[-1] == ":":
-                key = bare(token[:-1])
-            else:
-                value = token.rstrip(",")
-                worded = bare(value) if first == '"' else None if value == "null" else value
-                yield separator.join([*stack, key]), worded
-
-    @F.arrow_udf(MEMBERS)
-    def members(texts: pa.Array) -> pa.Array:
-        keys, values, ends = [], [], [0]
-        for whole in texts.to_pylist():
-            if whole is None or not whole.startswith("{"):
-                ends[-1] = None  # a null list begins where the next one does
-                ends.append(len(keys))
-                continue
-            for key, value in walk(whole):
-                keys.append(key)
-                values.append(value)
-            ends.append(len(keys))
-        entries = pa.StructArray.from_arrays([pa.array(keys, pa.string()), pa.array(values, pa.string())], names=["key", "value"])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)
-
-    return members
+def _bare(token: Column) -> Column:
+    """The text of a JSON string without quotes; escapes are decoded where there are any."""
+    decoded = F.try_variant_get(F.try_parse_json(token), "$", "string")
+    return F.when(F.instr(token, "\\") > 0, decoded).otherwise(F.substring(token, F.lit(2), F.length(token) - 2))
+
+
+def _walk(state: Column, token: Column) -> Column:
+    """Where a walk over JSON tokens stands after one more: open keys, last key, open brackets of an array value."""
+    first = F.left(token, F.lit(1))
+    in_array = state["brackets"] > 0
+    brackets = state["brackets"] + F.when(first.isin("[", "{"), 1).when(first.isin("]", "}"), -1).otherwise(0)
+    is_key = ~in_array & (first == '"') & token.endswith(":")
+    # the outermost object has no key; open keys are one text, as an array would be copied member by member at every step
+    opens, closes = ~in_array & (first == "{") & state["key"].isNotNull(), ~in_array & (first == "}")
+    depth = F.when(opens, state["depth"] + 1).when(closes, F.greatest(state["depth"] - 1, F.lit(0))).otherwise(state["depth"])
+    path = F.when(opens, F.concat(state["path"], state["key"], F.lit(CUT))).when(
+        closes & (state["depth"] > 1), F.concat(F.call_function("substring_index", state["path"], F.lit(CUT), state["depth"] - 1), F.lit(CUT))).when(
+        closes, F.lit("")).otherwise(state["path"])
+    return F.struct(
+        (state["at"] + 1).alias("at"),
+        F.when(in_array | (first != "["), state["opened"]).otherwise(state["at"]).alias("opened"),
+        F.when(in_array, brackets).when(first == "[", 1).otherwise(0).alias("brackets"),
+        path.alias("path"), depth.alias("depth"),
+        F.when(is_key, F.substring(token, F.lit(2), F.length(token) - 3)).otherwise(state["key"]).alias("key"))
+
+
+def _member(state: Column, token: Column, tokens: Column, separator: str) -> Column:
+    """The member that a token completes, a struct of path and value; null if it completes none."""
+    first = F.left(token, F.lit(1))
+    in_array = state["brackets"] > 0
+    closes = in_array & (state["brackets"] == 1) & first.isin("]", "}")
+    scalar = ~in_array & ~first.isin("{", "}", "[") & ~((first == '"') & token.endswith(":"))
+    array = F.array_join(F.slice(tokens, state["opened"], state["at"] - state["opened"] + 1), "")
+    value = F.rtrim(F.when(in_array, array).otherwise(token), F.lit(","))
+    worded = F.when(in_array, F.nullif(value, F.lit("[]"))).when(first == '"', _bare(value)).otherwise(
+        F.nullif(value, F.lit("null")))
+    whole = F.concat(state["path"], state["key"])
+    decoded = F.array_join(F.transform(F.split(whole, CUT), lambda k: _bare(F.concat(F.lit('"'), k, F.lit('"')))), separator)
+    path = F.when(F.instr(whole, "\\") > 0, decoded).otherwise(F.replace(whole, F.lit(CUT), F.lit(separator)))
+    return F.when(closes | scalar, F.struct(path.alias("key"), worded.alias("value")))
 
 
 def flatten_object(text: Column, separator: str = ".") -> Column:
     """Nested members of a JSON object as one map with dotted keys, whatever the depth.
 
     Arrays are values. Null values and empty arrays are null, empty objects are left out, and text that
-    holds no object gives null. One walk over the tokens, so the work grows with the text and neither the plan nor its
-    analysis depends on the data. Spark's parser reads at most 1,000 levels; deeper text gives null.
+    holds no object gives null. A fold walks the tokens with a stack of keys, so neither the plan nor its
+    analysis depends on the data. Long texts are walked twice: first for where the walk stands at the start of each
+    run of tokens, then run by run for the members. Spark's parser reads at most 1,000 levels; deeper text gives null.
     """
+    start = F.struct(
+        F.lit(1).alias("at"), F.lit(0).alias("opened"), F.lit(0).alias("brackets"),
+        F.lit("").alias("path"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("key"))
+
+    def members(tokens: Column) -> Column:
+        run = lambda i: F.slice(tokens, i * TOKENS_AT_ONCE + 1, F.lit(TOKENS_AT_ONCE))
+
+        def gather(acc: Column, token: Column) -> Column:
+            found = _member(acc["state"], token, tokens, separator)
+            return F.struct(
+                _walk(acc["state"], token).alias("state"),
+                F.when(found.isNull(), acc["found"]).otherwise(F.array_append(acc["found"], found)).alias("found"))
+
+        def gathered(part: Column, state: Column) -> Column:
+            begin = F.struct(state.alias("state"), F.array().cast(MEMBERS).alias("found"))
+            return F.aggregate(part, begin, gather, lambda acc: acc["found"])
+
+        def pass_run(acc: Column, i: Column) -> Column:
+            return F.struct(
+                F.aggregate(run(i), acc["state"], _walk).alias("state"), F.array_append(acc["before"], acc["state"]).alias("before"))
+
+        runs = F.sequence(F.lit(0), F.floor((F.size(tokens) - 1) / TOKENS_AT_ONCE).cast("int"))
+        states = F.aggregate(
+            runs, F.struct(start.alias("state"), F.slice(F.array(start), F.lit(1), F.lit(0)).alias("before")), pass_run, lambda acc: acc["before"])
+        long = F.flatten(F.zip_with(runs, states, lambda i, state: gathered(run(i), state)))
+        return F.map_from_entries(F.when(F.size(tokens) <= TOKENS_AT_ONCE, gathered(tokens, start)).otherwise(long))
+
     # one spelling: no white space, no repeated keys, numbers without trailing zeros
-    return F.map_from_entries(_flattener(separator)(F.to_json(F.try_parse_json(text))))
+    whole = F.to_json(F.try_parse_json(text))
+    # arrays of one name values that are used more than once
+    found = F.transform(F.array(whole), lambda w: F.when(
+        w.startswith("{"), F.regexp_extract_all(w, F.lit(JSON_TOKEN), F.lit(0))))
+    return F.transform(found, lambda tokens: F.when(tokens.isNotNull(), members(tokens)))[0]
 
 
 def compact_map(pairs: Column) -> Column:
