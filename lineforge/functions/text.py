@@ -1,17 +1,18 @@
 """Column expressions over text: line skeletons, signatures, cleaning and screening.
 
 Functions take string columns and return columns, so they work in batch and streaming plans alike. Patterns carry ``(?U)`` so that ``\\w \\d \\s \\b`` follow Unicode whatever the JDK.
-Shapes of ASCII text come from Arrow's linear regex engine, a batch at a time; it knows no Unicode classes, so other text takes
-the built-in expressions. A screening pattern is tried only where the text holds a word that a match needs.
+Shapes of ASCII text are matched without it, which gives the same and is cheaper, and a pattern is tried only where the text
+holds the characters or words that a match needs.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
-import pyarrow.compute as pc
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # The ordered shape rules. Order matters and has visible effects: a bare
 # 10:30:00 turns into <IP6> and a dotted version 1.2.3.4 into <IP>.
@@ -29,6 +30,9 @@ SHAPE_RULES: list[tuple[str, str]] = [
     (r"'[^']*'", "'<STR>'"),
 ]
 
+# Characters without which a shape rule cannot match, rule by rule.
+SHAPE_NEEDS = ["-:", "/:", ":", "", "-", ".", ":", "", "", '"', "'"]
+
 # The ordered screening rules and the description each one reports.
 SCREEN_RULES: list[tuple[str, str]] = [
     (r"ignore\s+(all\s+)?(previous|above|prior)\s+(instructions|prompts)", "ignore previous instructions"),
@@ -83,20 +87,23 @@ def is_ascii(text: Column) -> Column:
     return F.length(text) == F.octet_length(text)
 
 
-@F.arrow_udf(T.StringType())
-def _ascii_skeleton(texts: pa.Array) -> pa.Array:
-    """The shape rules on ASCII text, each over a whole Arrow batch; there the patterns mean the same without ``(?U)``."""
-    for pattern, token in SHAPE_RULES:
-        texts = pc.replace_substring_regex(texts, pattern.replace(r"\s", r"[\t-\r ]"), token)
-    return texts
-
-
 def skeleton(text: Column) -> Column:
     """The line with every variable token replaced by a placeholder."""
-    other = text
-    for pattern, token in SHAPE_RULES:
-        other = F.regexp_replace(other, "(?U)" + pattern, token)
-    return F.when(is_ascii(text), _ascii_skeleton(F.when(is_ascii(text), text))).otherwise(other)
+    def replaced(flags: str) -> Column:
+        named = F.array(text)  # an array of one names the text between two rules
+        for (pattern, token), needs in zip(SHAPE_RULES, SHAPE_NEEDS, strict=True):
+            named = F.transform(named, _rule(flags + pattern, token, needs))
+        return named[0]
+
+    return F.when(is_ascii(text), replaced("")).otherwise(replaced("(?U)"))
+
+
+def _rule(pattern: str, token: str, needs: str) -> Callable[[Column], Column]:
+    def apply(text: Column) -> Column:
+        done = F.regexp_replace(text, pattern, token)
+        return F.when(reduce(and_, [text.contains(x) for x in needs]), done).otherwise(text) if needs else done
+
+    return apply
 
 
 def signature_of_skeleton(shape: Column) -> Column:
