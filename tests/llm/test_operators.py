@@ -191,6 +191,31 @@ def test_byte_pairs(spark, docs):
         assert r["decoded_sha256"] == sha(docs[r["doc_id"]])
 
 
+def test_byte_pairs_of_words():
+    """Texts cut before spaces give the library's ids, and the pattern meets a repeated word once."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    content = open(path, "rb").read()
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in content.splitlines() if x)}
+    rng = np.random.default_rng(1)
+    parts = ["a", "word", "'s", "'", "7", "12", ".", "?!", " ", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\x1c", "\x85", "é", "語語", "🙂", "x" * 40]
+    texts = ["", " ", "語" * 500, " a", "a "] + ["".join(rng.choice(parts, rng.integers(1, 60))) for _ in range(2000)]
+    for pattern in (public_tokenizers.PATTERN, r"\s+|\S{1,3}"):
+        plain = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        codec = bpe.Codec(bpe.Vocabulary(content), pattern)
+        for at in range(0, len(texts), 500):
+            ids, bounds = codec.encode(texts[at:at + 500])
+            expected = [plain.encode_ordinary(t) for t in texts[at:at + 500]]
+            assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == expected
+            assert [bytes(x).decode() for x in codec.decode(ids, bounds)] == texts[at:at + 500]
+            assert [bytes(x).decode() for x in codec.listed(ids, bounds)] == [",".join(map(str, x)) for x in expected]
+    assert len(codec.words.slots) == 0  # of another pattern nothing is known
+    codec, met = bpe.Codec(bpe.Vocabulary(content), public_tokenizers.PATTERN), []
+    found = codec.pattern.findall
+    codec.pattern = type("Pattern", (), {"findall": staticmethod(lambda text: met.append(text) or found(text))})
+    codec.encode(["the same words, the same words"] * 100)
+    assert len(met) == len(set(met)) <= 5
+
+
 def test_toxicity(spark, docs):
     rows = query(spark, "op6_toxicity_bigru")
     assert sorted(r["doc_id"] for r in rows) == sorted(docs)
