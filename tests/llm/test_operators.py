@@ -491,6 +491,20 @@ def test_hot_groups_are_linked_along_their_ids(spark, monkeypatch):
     assert [(r["a"], r["b"]) for r in links if r["key"] == 8] == [(3, 50)]
 
 
+def test_texts_travel_once_to_what_is_verified_together(spark, monkeypatch):
+    """Of texts that are all paired with each other each is sent once; split groups lose no pair and no text of one."""
+    pairs = [(a, b) for a in range(20) for b in range(a + 1, 20)] + [(100, 100 + i) for i in range(1, 40)] + [(5, 300), (250, 300)]
+    made = spark.createDataFrame([(a, b, [64]) for a, b in pairs], "a long, b long, offsets array<int>")
+    for most, texts in ((1000, 63), (16, None)):
+        monkeypatch.setattr(passages, "PAIRS", most)
+        rows = passages._parts(made).collect()
+        assert texts is None or len(rows) == texts
+        assert sorted((p["a"], r["id"]) for r in rows for p in r["partners"]) == sorted(pairs)
+        hubs = {(r["group"], r["part"], r["id"]) for r in rows if r["hub"]}
+        assert hubs == {(r["group"], r["part"], p["a"]) for r in rows for p in r["partners"]}
+        assert len({(r["group"], r["part"], r["id"]) for r in rows}) == len(rows)
+
+
 def test_passages_of_odd_rows(odd):
     rows = passages.repeated_passages(odd).collect()
     assert {4, 5, 6} <= {r["doc_id"] for r in rows} | {r["partner_id"] for r in rows}
