@@ -2,6 +2,7 @@
 
 import collections
 import math
+import time
 import zlib
 
 import numpy as np
@@ -160,3 +161,41 @@ def test_sweeps_reach_the_exact_number_of_tables():
         assert found.shape == (s.samples, dishes) and found.min() >= 1 and found.max() <= count
         assert np.abs(found.mean() - exact) < 0.05 * exact
     assert (pitman_yor.seat(np.ones(3, dtype=int), np.ones(3), key[:3], s, 2) == 1).all()
+
+
+def test_stirling_numbers_of_large_dishes():
+    """Series and integrals meet the table, on both sides of its end."""
+    c = pitman_yor.TABULATED
+    for d in (0.5, 0.75, 0.9):
+        logs = pitman_yor._stirling(d)[c * (c - 1) // 2:]
+        at = np.arange(1, c + 1)
+        logs = logs + np.cumsum(np.log(at)) - np.log(at).sum()
+        for first, last in ((1, 22), (1, 200), (400, 900), (1800, c), (c, c)):
+            found = pitman_yor._large(np.zeros(last - first + 1, dtype=int), np.array([c]), at[first - 1:last], np.array([first]), d)
+            assert np.abs(found - logs[first - 1:last]).max() < 1e-7
+    s, many, key = pitman_yor.Settings(), np.full(3000, 1), pitman_yor.mix(np.arange(3000, dtype=np.uint64))
+    for weight in (0.001, 5.0, 300.0, 1e5):
+        one, two = (pitman_yor.seat(many * n, many * weight, key, s, 1) for n in (c, c + 1))
+        assert two.mean() == pytest.approx(one.mean() * (1 + 1 / c) ** 0.5, rel=0.002)
+
+
+def test_a_dish_costs_less_than_its_customers():
+    """Customers are seated at once: a million dishes of two and a dish of a hundred million in seconds."""
+    s, began = pitman_yor.Settings(), time.process_time()
+    pitman_yor.seat(np.full(1_000_000, 2), np.full(1_000_000, 0.5), pitman_yor.mix(np.arange(1_000_000, dtype=np.uint64)), s, 3)
+    found = pitman_yor.seat(np.array([100_000_000]), np.array([50.0]), np.array([7], dtype=np.uint64), s, 3)
+    assert time.process_time() - began < 20 and 30 < found.mean() < 110
+
+
+def test_requests_are_gathered_by_word(monkeypatch):
+    """A word whose requests lie in several batches is one row; of words that none learns from no context is kept."""
+    monkeypatch.setattr(pitman_yor, "GATHERED", 1)
+    rows = [(-5, 1, [2, 9], [0, 3]), (-5, 2, [2, 7], [0, 1]), (-5, 3, [9], [4]), (0, 1, [4], [0]), (8, 1, [1], [2]), (8, 2, [1], [2])]
+    names = ["word", "unit", "contexts", "counts"]
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    whole = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+    expected = [(-5, [7, 9], [1, 7], [1, 2, 3], [2, 2, 1], [2, 9, 2, 7, 9]), (0, [], [], [1], [1], [4]), (8, [1], [4], [1, 2], [1, 1], [1, 1])]
+    for size in (1, 2, 4, 6):
+        batches = [whole.slice(i, size) for i in range(0, len(rows), size)]
+        found = [tuple(r.values()) for b in pitman_yor._gatherer(iter(batches)) for r in b.to_pylist()]
+        assert found == expected
