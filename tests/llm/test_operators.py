@@ -11,12 +11,13 @@ import zlib
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from lineforge.llm import bpe, decontam, hilbert, langid, minhash, passages, pii, pitman_yor, spotsigs
+from lineforge.llm import bpe, decontam, hilbert, langid, minhash, passages, pii, pitman_yor, spotsigs, tokens
 from lineforge.llm import toxicity as toxic
 
 FOLDER = "/root/testdata/sf0.001"
@@ -461,6 +462,26 @@ def test_passage_of_two_texts_among_others(spark):
         (30, 20, 80, 150, 30, 100)]
 
 
+def test_windows_of_whole_texts(monkeypatch):
+    """A batch gives the windows of each text and hash function; a tree is built for texts with equal minima alone."""
+    s, built = passages.Settings(), []
+    tree = passages._tree_windows
+    plain, line = words_of(3, 400), words_of(4, 12)
+    texts = [" ".join(plain), " ".join(line * 9 + words_of(5, 90) + line * 4), "too short", None]
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 9, 10]), pa.array(texts)], names=["doc_id", "text"])
+    seeds = np.random.default_rng(s.seed).integers(1, 1 << 63, s.functions, dtype=np.uint64)
+    expected = []
+    for doc, text in ((7, texts[0]), (8, texts[1])):
+        grams = tokens.shingles(tokens.words(*tokens.column_bytes(pa.array([text]))).hash, s.shingle)
+        for f in seeds:
+            values = tokens.mix(grams ^ f)
+            expected += [(tokens.signed(int(values[mid])), doc, mid) for _, mid, _ in passages.compact_windows(values, s.width).tolist()]
+    monkeypatch.setattr(passages, "_tree_windows", lambda *args: built.append(args) or tree(*args))
+    found = [tuple(r.values()) for b in passages._window_maker(s)(iter([batch])) for r in b.to_pylist()]
+    assert found == expected
+    assert 1 <= len(built) <= s.functions
+
+
 def test_near_copies_of_passages(spark):
     """Of passages of 60 to 120 words with a few words changed at least nine in ten are found; texts without are left alone."""
     rng, rows, planted = np.random.default_rng(5), [], []
