@@ -3,6 +3,7 @@
 import collections
 import math
 import time
+import types
 import zlib
 
 import numpy as np
@@ -199,3 +200,42 @@ def test_requests_are_gathered_by_word(monkeypatch):
         batches = [whole.slice(i, size) for i in range(0, len(rows), size)]
         found = [tuple(r.values()) for b in pitman_yor._gatherer(iter(batches)) for r in b.to_pylist()]
         assert found == expected
+
+
+def test_requests_and_answers_travel_as_arrays(monkeypatch):
+    """A unit's requests are a row for each range of hashes, not for each word; they are the words, contexts and counts of its texts, and answers go back alike."""
+    monkeypatch.setattr(pitman_yor.TaskContext, "get", lambda: types.SimpleNamespace(partitionId=lambda: 0))
+    monkeypatch.setattr(pitman_yor, "UNIT_BYTES", 1)
+    monkeypatch.setattr(pitman_yor, "SLICE_ROWS", 3)
+    texts = [" ".join(f"w{i * j % 5000}" for j in range(3000)) for i in range(1, 6)] + [None, "", "x w0"]
+    learn = [1, 0, 1, 1, 1, 1, 0, 1]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, None, 5, 6, 7, 8]), pa.array(texts), pa.array(learn)], names=["row", "text", "learn"])
+    expected = collections.Counter()
+    for i, (text, known) in enumerate(zip(texts, learn)):
+        context = 0
+        for word in [*(text or "").split(), None]:
+            data = np.frombuffer((word or "x").encode(), dtype=np.uint8)
+            key = int(tokens.words(data, np.array([0, len(data)])).hash[0]) if word else int(pitman_yor.END)
+            expected[i // 3, tokens.signed(key), context] += known
+            context = (word or "").encode()[-1] | (word.encode()[-2] << 8 if len(word) > 1 else 0) if word else 0
+    packed = list(pitman_yor._packer(16)(iter([batch])))
+    requests = [b for b in packed if b["packed"].null_count]
+    assert sum(b.num_rows for b in packed) <= 3 * (16 + 1) and max(b.num_rows for b in requests) <= 3
+    rows = pa.Table.from_batches(requests).combine_chunks().sort_by("range").to_batches()[0]
+    for gathered, size in ((1, 1), (1, 7), (1 << 14, 5)):
+        monkeypatch.setattr(pitman_yor, "GATHERED", gathered)
+        found = list(pitman_yor._opener(rows.slice(at, size) for at in range(0, rows.num_rows, size)))
+        assert len(found) > 1 or gathered > 1
+        found = pa.Table.from_batches(found).to_pylist()
+        assert [r["word"] for r in found] == sorted(r["word"] for r in found)
+        assert {(r["unit"], r["word"], c): n for r in found for c, n in zip(r["contexts"], r["counts"])} == dict(expected)
+        assert sum(len(r["contexts"]) for r in found) == len(expected)
+    answers = [pa.RecordBatch.from_arrays(
+        [pa.array([u for u, *_ in part]), pa.array([w for _, w, *_ in part]), pa.array([n for _, _, n, _ in part]),
+         pa.array([x for *_, x in part], pa.list_(pa.float32()))], names=["unit", "word", "n", "logs"])
+        for part in ([(7, 1, 10, [0.5]), (2, 1, 10, [1.5, 2.5])], [(7, 4, 0, [3.5, 4.5, 5.5])], [(2, 9, 3, [6.5])])]
+    expected = {2: ([1, 9], [10, 3], [2, 1], [1.5, 2.5, 6.5]), 7: ([1, 4], [10, 0], [1, 3], [0.5, 3.5, 4.5, 5.5])}
+    whole, = pitman_yor._answerer(iter(answers))
+    assert {r["unit"]: (r["words"], r["n"], r["widths"], r["logs"]) for r in whole.to_pylist()} == expected
+    monkeypatch.setattr(pitman_yor, "ANSWERED", 2)
+    assert [b.num_rows for b in pitman_yor._answerer(iter(answers))] == [2, 2]
