@@ -543,3 +543,61 @@ def test_passages_past_texts_between(spark):
     found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["partner_id"], r["passage_class"]) for r in found} == {
         (100 * case + 17, 100 * case + 8, 100 * case + 8) for case in range(4)}
+
+
+def test_all_texts_of_large_groups_are_paired(spark):
+    """Of a hundred texts with one passage all pairs are rows; so are two whose other passage meets in groups of all texts alone."""
+    passage, other = words_of(0, 60), words_of(1, 60)
+    rows = [(i, " ".join(words_of(10 + i, 30) + (other if i in (20, 70) else passage) + words_of(200 + i, 30))) for i in range(100)]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    rest = [i for i in range(100) if i not in (20, 70)]
+    expected = {(b, a) for a in rest for b in rest if a < b} | {(70, 20)}
+    assert {(r["doc_id"], r["partner_id"]) for r in found} == expected and len(found) == len(expected)
+    assert {(r["start"], r["end"], r["partner_start"], r["partner_end"]) for r in found} == {(30, 90, 30, 90)}
+    assert {r["passage_class"] for r in found} == {0, 20}
+
+
+def test_near_copies_in_large_groups_are_compared(spark):
+    """Texts of a group that are unlike the first and their neighbours by id, but alike among themselves."""
+    passage = words_of(0, 120)
+    rows = []
+    for i in range(90):
+        part = passage[:60] if i % 2 else passage[60:]
+        rows.append((i, " ".join(words_of(10 + i, 30) + (passage[40:65] if i == 0 else part) + words_of(200 + i, 30))))
+    found = {(r["doc_id"], r["partner_id"]) for r in passages.repeated_passages(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {(b, a) for a in range(1, 90) for b in range(a + 1, 90) if a % 2 == b % 2}
+
+
+def test_different_texts_under_one_id(spark):
+    """Each is read: the passage of either is found, and one that they share names the id twice."""
+    one, two, both = (words_of(i, 70) for i in range(3))
+    rows = [(1, " ".join(one + words_of(10, 40) + both)), (1, " ".join(words_of(11, 30) + both + words_of(12, 40) + two)),
+            (2, " ".join(words_of(13, 40) + one)), (3, " ".join(two + words_of(14, 40)))]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((*sorted((r["doc_id"], r["partner_id"])), r["passage_class"]) for r in found) == [(1, 1, 1), (1, 2, 1), (1, 3, 1)]
+
+
+def test_runs_of_windows_vote_like_single_windows(spark):
+    """Bands of offsets of all pairs of windows, counted one by one, are those of their runs."""
+    rng = np.random.default_rng(2)
+    made = sorted({(int(k), int(d), int(m)) for k, d, m in zip(rng.integers(0, 6, 400), rng.integers(0, 9, 400), rng.integers(0, 2000, 400))})
+    votes = collections.defaultdict(set)
+    for key, a, one in made:
+        for k, b, two in made:
+            if k == key and a < b:
+                offset = (two - one) // passages.OFFSETS
+                votes[a, b, offset].add(key), votes[a, b, offset + 1].add(key)
+    expected = collections.defaultdict(list)
+    for (a, b, band), keys in sorted(votes.items()):
+        if len(keys) >= 2:
+            expected[a, b].append(band * passages.OFFSETS)
+    key, doc, mid = (np.array(x) for x in zip(*made))
+    batch = pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(mid, pa.int32())], names=["key", "doc_id", "mid"])
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(passages, "_window_maker", lambda s: lambda batches: batches)
+        runs = pa.Table.from_batches(passages._run_maker(passages.Settings())(iter([batch]))).to_pylist()
+    assert len(runs) < len(made)
+    entries = spark.createDataFrame([tuple(r.values()) for r in runs], "key long, doc_id long, lo int, hi int")
+    found = passages._candidates(entries, passages.Settings()).collect()
+    assert {(r["a"], r["b"]): r["offsets"] for r in found} == dict(expected)
