@@ -601,3 +601,10 @@ def test_runs_of_windows_vote_like_single_windows(spark):
     entries = spark.createDataFrame([tuple(r.values()) for r in runs], "key long, doc_id long, lo int, hi int")
     found = passages._candidates(entries, passages.Settings()).collect()
     assert {(r["a"], r["b"]): r["offsets"] for r in found} == dict(expected)
+
+
+def test_texts_paired_all_with_all_travel_to_few_parts(spark):
+    pairs = [(a, b) for a in range(130) for b in range(a + 1, 130)]
+    rows = passages._parts(spark.createDataFrame([(a, b, [0]) for a, b in pairs], "a long, b long, offsets array<int>")).collect()
+    assert sorted((p["a"], r["id"]) for r in rows for p in r["partners"]) == pairs
+    assert len(rows) < len(pairs) / 3
