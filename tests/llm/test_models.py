@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from lineforge.llm import pitman_yor
@@ -239,3 +240,63 @@ def test_requests_and_answers_travel_as_arrays(monkeypatch):
     assert {r["unit"]: (r["words"], r["n"], r["widths"], r["logs"]) for r in whole.to_pylist()} == expected
     monkeypatch.setattr(pitman_yor, "ANSWERED", 2)
     assert [b.num_rows for b in pitman_yor._answerer(iter(answers))] == [2, 2]
+
+
+def test_the_whole_word_before_counts(spark):
+    """Two words with the same last two bytes are contexts of their own: what followed one is likelier after it than after the other."""
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10]
+    held = [i for i in range(400) if not zlib.crc32(str(i).encode()) % 10]
+    rows = [(i, "first_ab one" if i % 2 else "second_ab two") for i in ids[:100]]
+    rows += list(zip(held, ["first_ab one", "first_ab two", "second_ab one", "second_ab two"]))
+    found = {r["doc_id"]: r for r in pitman_yor.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seen = [found[i]["score"] for i in held[:4]]
+    assert all(found[i]["held_out"] for i in held[:4])
+    assert seen[0] > seen[1] + 1 and seen[3] > seen[2] + 1
+
+
+def test_predictions_of_a_context_add_up():
+    """Over all known words and the unknown one the chances after any context, seen or not, are one; a word seen there leads its class."""
+    rng, s, plain = np.random.default_rng(4), pitman_yor.Settings(), lambda totals: types.SimpleNamespace(value=totals)
+    words = np.sort(rng.integers(-(1 << 63), 1 << 63, 41, dtype=np.int64))
+    contexts = np.array([k << 48 | i for k in (0, 7, 40_000) for i in range(5)], dtype=np.uint64).view(np.int64)
+    counts = rng.poisson(0.6, (41, 15)).astype(np.int32) * rng.integers(1, 9, (41, 15), dtype=np.int32)
+    counts[:, [3, 14]] = 0  # contexts that nothing follows
+    counts[17] = 0  # the unknown word
+    counts[5, 2] = 5000
+    every = [pa.array([x] * 41, pa.list_(kind)) for x, kind in ((contexts.tolist(), pa.int64()), ([1], pa.int64()), ([15], pa.int32()), (list(range(15)), pa.int32()))]
+    table = pa.table({"bucket": pa.array([3] * 41, pa.int32()), "word": words, "contexts": every[0], "counts": pa.array(counts.tolist(), pa.list_(pa.int32())),
+                      "units": every[1], "widths": every[2], "places": every[3]})
+
+    def split(sums, samples):
+        slots = sums.filter(pc.is_null(sums["bucket"]))
+        flat = np.zeros(samples * (2 * pitman_yor.CONTEXTS + 2) + 2, dtype=np.int64)
+        flat[slots["context"].to_numpy()] = slots["customers"].to_numpy()
+        by = flat[:-2].reshape(samples, -1)
+        own = sums.filter(pc.is_valid(sums["bucket"]))
+        return own, pitman_yor.Totals(by[:, pitman_yor.CONTEXTS:-2], by[:, :pitman_yor.CONTEXTS], by[:, -2], by[:, -1], int(flat[-2]), int(flat[-1]))
+
+    sums, now = split(pitman_yor._summer(None, s, 1)(table), 1)
+    assert (now.known, now.tokens) == (40, counts.sum())
+    assert dict(zip(sums["context"].to_pylist(), sums["tables0"].to_pylist())) == dict(zip(contexts.tolist(), (counts > 0).sum(axis=0).tolist()))
+    for samples in (1, s.samples):
+        before, given = now, sums
+        sums, now = split(pitman_yor._summer(plain(before), s, samples)(table, given), samples)
+    assert dict(zip(sums["context"].to_pylist(), sums["customers"].to_pylist())) == dict(zip(contexts.tolist(), counts.sum(axis=0).tolist()))
+    answer, = pitman_yor._scorer(plain(before), plain(now), s)(table, sums).to_pylist()
+    p = 10 ** np.array(answer["logs"]).reshape(41, 15)
+    assert answer["words"] == words.tolist() and answer["n"] == counts.sum(axis=1).tolist()
+    assert p.sum(axis=0) == pytest.approx(np.ones(15), rel=1e-5)
+    assert p[5, 2] > 0.9 > 10 * p[17, 2]
+    assert not np.allclose(p[:, 0], p[:, 1])
+
+
+def test_gathered_words_keep_what_none_learns():
+    """Contexts that a held-out text alone asks for are there with a count of 0; places name them in the order of the asks."""
+    names = ["word", "unit", "contexts", "counts"]
+    rows = [(-5, 1, [-2, 9], [0, 3]), (-5, 2, [7, -2], [1, 0]), (6, 1, [4], [0])]
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    whole = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+    found = [r for b in pitman_yor._dealt(10)(pitman_yor._gatherer(iter([whole]))) for r in b.to_pylist()]
+    assert [(r["word"], r["contexts"], r["counts"], r["units"], r["widths"], r["places"]) for r in found] == [
+        (-5, [-2, 7, 9], [0, 1, 3], [1, 2], [2, 2], [0, 2, 1, 0]), (6, [4], [0], [1], [1], [0])]
+    assert [r["bucket"] for r in found] == [9, 0]
